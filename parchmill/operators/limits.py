@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmill import schemas as S
-from parchmill.operators.slices import Slices
+from parchmill.operators.hot_windows import open_windows
+from parchmill.operators.slices import SLICE, Slices
 
 WINDOW_US = S.RATE_WINDOW_S * 1_000_000
 
@@ -35,72 +36,88 @@ def rate_limit(
 
     Users are hash-partitioned and sorted, then streamed through in Arrow batches
     with only the open window carried along, so a task's memory does not depend on
-    how many hits a user has. Hot users take the sliced way of ``hot_limits``.
+    how many hits a user has. The hits of hot users are cut into slices that start
+    from the window ``open_windows`` found to be open there.
     """
     if slices is not None and slices.any_hot:
-        from parchmill.operators.hot_limits import count_hot
-
-        counted = _count(slices.ordinary(hits), window_us, user, pos, tie)
-        counted = counted.unionByName(count_hot(slices.hot(hits), slices, window_us, tie))
+        windows = open_windows(hits, slices, window_us)
+        sliced = slices.hot(hits).join(windows, [user, SLICE], "left")
+        sliced = sliced.repartition(user, SLICE).sortWithinPartitions(user, SLICE, pos, tie)
+        hot = count_ordered(sliced, [user, SLICE], pos, window_us, open_window=True).drop(SLICE)
+        counted = _count(slices.ordinary(hits), window_us, user, pos, tie).unionByName(hot)
     else:
         counted = _count(hits, window_us, user, pos, tie)
     return counted.withColumn("limited", F.col("n_in_window") > limit)
 
 
-def counter_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType(
-        [
-            *schema.fields,
-            T.StructField("window_start_us", T.LongType()),
-            T.StructField("n_in_window", T.LongType()),
-        ]
-    )
-
-
 def _count(hits: DataFrame, window_us: int, user: str, pos: str, tie: str) -> DataFrame:
     ordered = hits.repartition(user).sortWithinPartitions(user, pos, tie)
-    return ordered.mapInArrow(_counter(window_us, user, pos), counter_schema(hits.schema))
+    return count_ordered(ordered, [user], pos, window_us)
+
+
+def count_ordered(hits: DataFrame, keys: list[str], pos: str, window_us: int, open_window: bool = False) -> DataFrame:
+    """Count hits that are partitioned by ``keys`` and sorted by keys and time.
+
+    With ``open_window`` the columns open_start and open_count say which window is
+    open before the first row of a key; they are consumed.
+    """
+    consumed = ("open_start", "open_count") if open_window else ()
+    kept = [f for f in hits.schema.fields if f.name not in consumed]
+    schema = T.StructType(
+        [*kept, T.StructField("window_start_us", T.LongType()), T.StructField("n_in_window", T.LongType())]
+    )
+    names = [f.name for f in kept]
+    return hits.mapInArrow(_counter(keys, pos, window_us, open_window, names), schema)
 
 
 def _counter(
-    window_us: int, user: str, pos: str
+    keys: list[str], pos: str, window_us: int, open_window: bool, kept: list[str]
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The open window at the end of the batch before.
-        open_user, open_start, open_count = None, 0, 0
+        # The key at the end of the batch before, and its open window.
+        last_key, start, count = None, None, 0
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            users = batch.column(user).to_numpy(zero_copy_only=False)
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            changes = np.zeros(n - 1, dtype=bool)
+            for column in columns:
+                changes |= column[1:] != column[:-1]
+            key_starts = [0, *(np.flatnonzero(changes) + 1).tolist()]
             at = batch.column(pos).to_numpy(zero_copy_only=False)
             times = at.tolist()
-            user_starts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist()]
 
-            anchors: list[int] = []
-            carried = 0
-            for k, lo in enumerate(user_starts):
-                hi = user_starts[k + 1] if k + 1 < len(user_starts) else n
+            # Runs of rows in one window: first row, start of the window, hits before the run.
+            first: list[int] = []
+            begins: list[int] = []
+            before: list[int] = []
+            for k, lo in enumerate(key_starts):
+                hi = key_starts[k + 1] if k + 1 < len(key_starts) else n
+                key = tuple(column[lo] for column in columns)
+                if key != last_key:
+                    start, count = None, 0
+                    if open_window:
+                        start = batch.column("open_start")[lo].as_py()
+                        count = batch.column("open_count")[lo].as_py()
+                    last_key = key
                 i = lo
-                if k == 0 and open_user is not None and users[0] == open_user:
-                    i = carried = bisect_left(times, open_start + window_us, lo, hi)
                 while i < hi:
-                    anchors.append(i)
-                    i = bisect_left(times, times[i] + window_us, i, hi)
-
-            first = np.asarray(anchors, dtype=np.int64)
-            lengths = np.diff(np.append(first, n))
-            starts = np.concatenate([np.full(carried, open_start), np.repeat(at[first], lengths)])
-            counts = np.concatenate(
-                [
-                    open_count + 1 + np.arange(carried),
-                    np.arange(carried, n) - np.repeat(first, lengths) + 1,
-                ]
-            )
-            open_user, open_start, open_count = users[-1], int(starts[-1]), int(counts[-1])
+                    if start is None or times[i] >= start + window_us:
+                        start, count = times[i], 0
+                    j = bisect_left(times, start + window_us, i, hi)
+                    first.append(i)
+                    begins.append(start)
+                    before.append(count)
+                    count += j - i
+                    i = j
+
+            lengths = np.diff(np.append(np.asarray(first, dtype=np.int64), n))
+            starts = np.repeat(np.asarray(begins, dtype=np.int64), lengths)
+            counts = np.arange(n) + 1 + np.repeat(np.asarray(before, dtype=np.int64) - np.asarray(first), lengths)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())],
-                names=[*batch.schema.names, "window_start_us", "n_in_window"],
+                [*[batch.column(c) for c in kept], pa.array(starts, pa.int64()), pa.array(counts, pa.int64())],
+                names=[*kept, "window_start_us", "n_in_window"],
             )
 
     return run
