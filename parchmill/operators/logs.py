@@ -21,24 +21,24 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Raw lines -> ts, level, module, func, line, message, event, request_id, n_chars.
 
-    Lines of another layout keep only their ``value`` with NULL fields.
+    Lines of another layout keep only their ``value`` with NULL fields. The layout
+    is matched once; the fields are then cut out at their separators.
     """
-    raw = F.col(value)
-    whole = raw.rlike(LINE)
-
-    def part(i: int) -> Column:
-        return F.when(whole, F.regexp_extract(raw, LINE, i))
-
-    fields = lines.withColumns(
+    checked = lines.withColumn("_raw", F.when(F.col(value).rlike(LINE), F.col(value)))
+    stamped = checked.withColumn("_stamp", F.substring_index("_raw", " | ", 1))
+    rest = F.expr("substring(_raw, length(_stamp) + 4)")
+    headed = stamped.withColumn("_rest", rest).withColumn("_head", F.substring_index("_rest", " - ", 1))
+    placed = headed.withColumn("_place", F.split(F.substring_index("_head", "| ", -1), ":"))
+    fields = placed.withColumns(
         {
-            "ts": F.try_to_timestamp(part(1), F.lit(TIME_FORMAT)),
-            "level": part(2),
-            "module": part(3),
-            "func": part(4),
-            "line": part(5).cast("int"),
-            "message": part(6),
+            "ts": F.try_to_timestamp("_stamp", F.lit(TIME_FORMAT)),
+            "level": F.rtrim(F.substring_index("_head", "|", 1)),
+            "module": F.get("_place", F.lit(0)),
+            "func": F.get("_place", F.lit(1)),
+            "line": F.get("_place", F.lit(2)).cast("int"),
+            "message": F.expr("substring(_rest, length(_head) + 4)"),
         }
-    )
+    ).drop("_raw", "_stamp", "_rest", "_head", "_place")
     message = F.col("message")
     event = (
         F.when(message.startswith(SUMMARY_START), F.lit("summary_start"))
@@ -66,7 +66,7 @@ def latencies(rows: DataFrame) -> DataFrame:
     is_start = F.col("event").endswith("_start")
     marked = rows.filter(F.col("request_id").isNotNull())
     paired = marked.groupBy("request_id").agg(
-        F.min(F.regexp_extract("event", "^([a-z]+)_", 1)).alias("service"),
+        F.min(F.substring_index("event", "_", 1)).alias("service"),
         F.min(F.when(is_start, at)).alias("start_ms"),
         F.max(F.when(~is_start, at)).alias("end_ms"),
         F.max("n_chars").alias("n_chars"),

@@ -220,7 +220,7 @@ def qa_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summarize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = summarize(inputs.documents(spark, sf_dir))
+    done = summarize(inputs.spread_documents(spark, sf_dir))
     return done.select(
         "doc_id", "ok", _sha(F.col("summary")).alias("summary_sha"), F.length("summary").cast("bigint").alias("n_chars")
     )
@@ -249,7 +249,7 @@ def translate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def translate_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = Translator(lexicon=inputs.lexicon(spark))
-    done = translate(inputs.documents(spark, sf_dir), words)
+    done = translate(inputs.spread_documents(spark, sf_dir), words)
     done = translate(done, words, out_col="unchunked", ok_col="ok2", chunk_chars=None)
     return done.select(
         "doc_id",
@@ -300,7 +300,7 @@ def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dedup_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = state.compute_once(inputs.documents(spark, sf_dir), "text", summarize, ["summary", "ok"])
+    done = state.compute_once(inputs.spread_documents(spark, sf_dir), "text", summarize, ["summary", "ok"])
     return done.select("doc_id", "content_sha", "ok", _sha(F.col("summary")).alias("summary_sha"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchmill import schemas as S
 from parchmill.functions import text as tx
 from parchmill.operators import logs
-from parchmill.session import configure
+from parchmill.session import configure, spread
 
 # The test events are spread over a month, so the limiter gets a three-day window
 # with which about one message in seven is refused.
@@ -23,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for operators that spend much time per text."""
+    return spread(documents(spark, sf_dir))
+
+
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text submission."""
     return documents(spark, sf_dir).select(
@@ -160,7 +165,7 @@ def _log_line(us: Column, level: str, func_line: str, message: Column) -> Column
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of events (event_id, value): views and clicks are summaries, signups are
     questions, errors are bad frames, purchases are broker failures."""
-    ev = events(spark, sf_dir).withColumn("rid", F.md5(F.col("event_id").cast("string")))
+    ev = spread(events(spark, sf_dir)).withColumn("rid", F.md5(F.col("event_id").cast("string")))
     rid, k, kind = F.col("rid"), F.col("k").cast("string"), F.col("event_type")
     start, end = F.col("ts_us"), F.col("ts_us") + F.col("latency_ms") * 1000
     is_text = kind.isin("view", "click")

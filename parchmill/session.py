@@ -44,6 +44,17 @@ def create_session(app_name: str = "parchmill", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly per-row work on a scan enough tasks.
+
+    A file of one row group is read by one task, however many splits it is cut into.
+    An input of less than two splits per core is therefore dealt out evenly; a larger
+    one is left alone: no shuffle. Only for plain scans, as counting splits plans the query.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
