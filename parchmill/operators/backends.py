@@ -20,6 +20,20 @@ Model = Callable[[Sequence[str]], Sequence[str]]
 ModelFactory = Callable[[], Model]
 
 
+def first_loadable(*factories: ModelFactory) -> ModelFactory:
+    """The first of several factories that works: a local folder, then a model hub."""
+
+    def factory() -> Model:
+        for candidate in factories:
+            try:
+                return candidate()
+            except Exception:
+                log.exception("text model could not be loaded, trying the next place")
+        raise RuntimeError("no text model could be loaded")
+
+    return factory
+
+
 def run_model(
     df: DataFrame, factory: ModelFactory, in_col: str, out_col: str, ok_col: str, on_error: str | None
 ) -> DataFrame:

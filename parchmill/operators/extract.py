@@ -59,22 +59,19 @@ def with_format(files: DataFrame, filename_col: str = "filename") -> DataFrame:
     )
 
 
-def read_parts(
-    df: DataFrame, reader: PartReader, fallback: PartReader | None = None, content_col: str = "content"
-) -> DataFrame:
-    """Replace a binary column by ``parts`` array<string> and ``read_error``.
+def read_parts(df: DataFrame, readers: dict[str, tuple[PartReader, PartReader | None]]) -> DataFrame:
+    """Replace ``content`` by ``parts`` array<string> and ``read_error``.
 
-    A file that cannot be read costs its own row only. When the parts of a file are
-    all blank, ``fallback`` (OCR) reads it instead. NULL contents pass through.
+    ``readers`` maps an extension to its reader and, if there is one, the reader (OCR)
+    to use when all parts are blank. A file that cannot be read costs its own row only.
     """
-    kept = [f for f in df.schema.fields if f.name != content_col]
+    kept = [f for f in df.schema.fields if f.name != "content"]
     schema = T.StructType(
         [*kept, T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("read_error", T.StringType())]
     )
 
-    def read(content: bytes | None) -> tuple[list[str] | None, str | None]:
-        if content is None:
-            return None, None
+    def read(ext: str, content: bytes) -> tuple[list[str], str | None]:
+        reader, fallback = readers[ext]
         try:
             parts = list(reader(content))
             if fallback is not None and not "".join(parts).strip():
@@ -86,7 +83,9 @@ def read_parts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [read(content.as_py()) for content in batch.column(content_col)]
+            done = [
+                read(ext.as_py(), content.as_py()) for ext, content in zip(batch.column("ext"), batch.column("content"))
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(f.name) for f in kept],
@@ -105,45 +104,41 @@ def extract_text(
     ocr_reader: PartReader | None = None,
     docx_reader: PartReader = read_docx_paragraphs,
 ) -> DataFrame:
-    """(filename, content, ...) -> the same without content, with ext, text and error.
+    """(filename, content, ...) -> the same without content, with ext, text, read_error
+    and ``error``, which is set where nothing could be read.
 
-    One branch per format, put together by union. Every branch filters on the file
-    name first, so text files never go through Python and a file is decoded by one
-    branch only. ``text`` is '' whenever nothing could be read.
+    Two branches, put together by union: plain texts and unreadable files stay native,
+    and only documents go through Python.
     """
+    readers = {".docx": (docx_reader, None)}
+    if pdf_reader is not None:
+        readers[".pdf"] = (pdf_reader, ocr_reader)
     typed = with_format(files)
-    plain = typed.filter("ext = '.txt'").withColumns(
-        {"text": decode_text(F.col("content")), "read_error": F.lit(None).cast("string")}
-    )
-    unreadable = typed.filter(~F.col("supported"))
-    documents = read_parts(typed.filter("ext = '.docx'"), docx_reader)
-    branches = [
-        plain.drop("content"),
-        documents.withColumn("text", F.array_join("parts", "\n")).drop("parts"),
-    ]
-    pdf = typed.filter("ext = '.pdf'")
-    if pdf_reader is None:
-        unreadable = unreadable.unionByName(pdf)
-    else:
-        pages = read_parts(pdf, pdf_reader, ocr_reader)
-        branches.append(pages.withColumn("text", F.array_join("parts", "")).drop("parts"))
-    branches.append(
-        unreadable.withColumns({"text": F.lit(""), "read_error": F.lit("unsupported format")}).drop("content")
+    by_python = F.col("ext").isin(*readers)
+
+    is_plain = F.col("ext") == ".txt"
+    native = typed.filter(~by_python).withColumns(
+        {
+            "text": F.when(is_plain, decode_text(F.col("content"))).otherwise(F.lit("")),
+            "read_error": F.when(~is_plain, F.lit("unsupported format")),
+        }
     )
-    out = branches[0]
-    for branch in branches[1:]:
-        out = out.unionByName(branch)
-    return out
+    joined = F.when(F.col("ext") == ".docx", F.array_join("parts", "\n")).otherwise(F.array_join("parts", ""))
+    documents = read_parts(typed.filter(by_python), readers).withColumn("text", joined).drop("parts")
+    texts = native.drop("content").unionByName(documents)
+    # Whitespace counts as text here.
+    unread = F.coalesce(F.col("text"), F.lit("")) == ""
+    return texts.withColumn("error", F.when(unread, F.lit(S.EXTRACT_FAILED)))
 
 
 def accepted_requests(extracted: DataFrame) -> DataFrame:
-    """Files with text. Whitespace counts as text here."""
-    return extracted.filter(F.coalesce(F.col("text"), F.lit("")) != "")
+    """Files with text, on their way to a frame and a state row."""
+    return extracted.filter(F.col("error").isNull())
 
 
 def rejected_requests(extracted: DataFrame) -> DataFrame:
-    """Files without text get an error and neither a frame nor a state row."""
-    return extracted.filter(F.coalesce(F.col("text"), F.lit("")) == "").withColumn("error", F.lit(S.EXTRACT_FAILED))
+    """Files without text: an error, and neither a frame nor a state row."""
+    return extracted.filter(F.col("error").isNotNull())
 
 
 def assemble_pages(pages: DataFrame, key: str = "path", separator: str = "") -> DataFrame:
@@ -158,13 +153,22 @@ def assemble_pages(pages: DataFrame, key: str = "path", separator: str = "") ->
 def with_ocr_fallback(pages: DataFrame, ocr_pages: DataFrame, key: str = "path") -> DataFrame:
     """Assembled texts; where the pages give only blanks, the OCR pages are taken.
 
-    OCR rows are narrowed to the blank files before they are grouped.
+    Which files are blank is a flag per file, and costs no shuffle of text. OCR rows
+    are narrowed to those files, and then all pages are put together in one go. A
+    blank file nothing was recognized in gets the empty text.
     """
-    assembled = assemble_pages(pages, key)
-    blank = tx.is_blank(F.col("text"))
-    wanted = assembled.filter(blank).select(key)
-    recognized = assemble_pages(ocr_pages.join(wanted, key, "left_semi"), key).withColumn("by_ocr", F.lit(True))
-    readable = assembled.filter(~blank).withColumn("by_ocr", F.lit(False))
-    # A blank file nothing was recognized in keeps the empty text.
-    nothing = wanted.join(recognized, key, "left_anti").select(key, F.lit("").alias("text"), F.lit(True).alias("by_ocr"))
-    return readable.unionByName(recognized).unionByName(nothing)
+    blank_page = tx.is_blank(F.col("text"))
+    blank_files = pages.groupBy(key).agg(F.bool_and(blank_page).alias("blank")).filter("blank").select(key)
+    wanted = ocr_pages.join(blank_files, key, "left_semi")
+    columns = [key, "page_no", "text"]
+    both = (
+        pages.select(*columns)
+        .withColumn("by_ocr", F.lit(False))
+        .unionByName(wanted.select(*columns).withColumn("by_ocr", F.lit(True)))
+    )
+    grouped = both.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("page_no", "text", "by_ocr"))).alias("parts"),
+        F.bool_and(blank_page | F.col("by_ocr")).alias("by_ocr"),
+    )
+    chosen = F.filter("parts", lambda p: p["by_ocr"] == F.col("by_ocr"))
+    return grouped.select(key, F.array_join(F.transform(chosen, lambda p: p["text"]), "").alias("text"), "by_ocr")

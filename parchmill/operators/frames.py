@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parchmill import schemas as S
 from parchmill.functions import frames as frame
 from parchmill.functions import text as tx
+from parchmill.operators.joins import join_salted
 
 FORMATS = ("json", "delimited")
 
@@ -105,10 +106,9 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 def pair_questions(files: DataFrame, questions: DataFrame, on: str) -> DataFrame:
     """File texts with the questions asked about them.
 
-    Texts are unique per file, questions are not; a much-asked file makes a large
-    partition on the question side only, which adaptive execution splits.
+    Texts are unique per file, questions are not; a much-asked file is salted.
     """
-    return questions.join(files, on)
+    return join_salted(questions, files, on)
 
 
 def normalize_questions(df: DataFrame, column: str = "question") -> DataFrame:

@@ -65,13 +65,21 @@ def latencies(rows: DataFrame) -> DataFrame:
     at = F.unix_millis("ts")
     is_start = F.col("event").endswith("_start")
     marked = rows.filter(F.col("request_id").isNotNull())
+    # Numbers only, so that the aggregation hashes instead of sorting its input.
     paired = marked.groupBy("request_id").agg(
-        F.min(F.substring_index("event", "_", 1)).alias("service"),
+        F.max(F.col("event").startswith("question")).alias("_asked"),
         F.min(F.when(is_start, at)).alias("start_ms"),
         F.max(F.when(~is_start, at)).alias("end_ms"),
         F.max("n_chars").alias("n_chars"),
     )
-    return paired.withColumn("latency_ms", F.col("end_ms") - F.col("start_ms"))
+    return paired.select(
+        "request_id",
+        F.when(F.col("_asked"), "question").otherwise("summary").alias("service"),
+        "start_ms",
+        "end_ms",
+        "n_chars",
+        (F.col("end_ms") - F.col("start_ms")).alias("latency_ms"),
+    )
 
 
 def level_counts(rows: DataFrame) -> DataFrame:

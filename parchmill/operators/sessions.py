@@ -42,10 +42,12 @@ def add_cache_hits(counted: DataFrame, summary: Column) -> DataFrame:
     """Add ``hit`` to counted messages. A hit needs a result that was ready before, so
     only the earliest result per content matters."""
     cache = build_cache(file_results(counted).withColumns({"summary": summary, "ok": F.lit(True)}))
-    cached = cache.withColumnRenamed("summary", "cached")
-    probed = probe_cache(counted, cached)
-    hit = F.col("hit") & (F.col("kind") == "file") & ~F.col("limited")
-    return probed.withColumn("hit", hit).withColumn("cached", F.when(F.col("hit"), F.col("cached"))).drop("ready_us")
+    asking = (F.col("kind") == "file") & ~F.col("limited")
+    # Only let-through files look into the cache; nothing else needs the shuffle by content.
+    probed = probe_cache(counted.filter(asking), cache.withColumnRenamed("summary", "cached"))
+    probed = probed.withColumn("cached", F.when(F.col("hit"), F.col("cached"))).drop("ready_us")
+    others = counted.filter(~asking).withColumns({"hit": F.lit(False), "cached": F.lit(None).cast("string")})
+    return probed.unionByName(others)
 
 
 def completions(messages: DataFrame) -> DataFrame:

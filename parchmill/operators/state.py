@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.functions import text as tx
+from parchmill.operators.joins import LISTED, SALT_ABOVE, join_salted
+from parchmill.session import cut_lineage
 
 
 def latest_state(state_log: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def latest_state(state_log: DataFrame) -> DataFrame:
 
 def lookup_status(requests: DataFrame, latest: DataFrame) -> DataFrame:
     """Status of every asked id. An absent or empty value is ``not_found``."""
-    found = requests.join(latest.select("request_id", "value", "ok"), "request_id", "left")
+    found = join_salted(requests, latest.select("request_id", "value", "ok"), "request_id", "left")
     value = F.col("value")
     known = value.isNotNull() & (value != "")
     return found.withColumns(
@@ -46,25 +48,22 @@ def build_cache(results: DataFrame) -> DataFrame:
 def probe_cache(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Add ``hit``: was a summary of this content cached when the file came in?
 
-    The cache grows with the data, so no side is forced to be broadcast; a content
-    sent very often is a hot key on the file side only, where adaptive execution
-    splits it.
+    The cache grows with the data, so no side is forced to be broadcast. A content
+    sent very often is a hot key on the file side, and is salted.
     """
-    return files.join(cache, "content_sha", "left").withColumn(
+    return join_salted(files, cache, "content_sha", "left").withColumn(
         "hit", F.coalesce(F.col("ts_us") >= F.col("ready_us"), F.lit(False))
     )
 
 
 def cache_hits(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return files.join(cache, _ready(files, cache), "left_semi")
+    """The files answered from the cache."""
+    return probe_cache(files, cache).filter("hit").select(*files.columns)
 
 
 def cache_misses(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return files.join(cache, _ready(files, cache), "left_anti")
-
-
-def _ready(files: DataFrame, cache: DataFrame):
-    return (files["content_sha"] == cache["content_sha"]) & (files["ts_us"] >= cache["ready_us"])
+    """The files that go on to be summarized."""
+    return probe_cache(files, cache).filter(~F.col("hit")).select(*files.columns)
 
 
 def compute_once(
@@ -74,9 +73,16 @@ def compute_once(
 
     ``compute`` gets (content_sha, content) rows. The map side keeps one copy per
     content and task, so a content that fills a third of the table reaches the
-    shuffle once per task. On the way back only hashes and results are joined.
+    shuffle once per task. The distinct contents are written down with their number
+    of copies: a costly ``compute`` is not repeated for a lost executor's input, and
+    the frequent contents are known for the way back, on which only hashes and
+    results are joined.
     """
     keyed = df.withColumn("content_sha", tx.content_hash(F.col(content_col)))
-    distinct = keyed.groupBy("content_sha").agg(F.first(content_col).alias(content_col))
-    computed = compute(distinct).select("content_sha", *results)
-    return keyed.drop(content_col).join(computed, "content_sha", "left")
+    distinct = cut_lineage(
+        keyed.groupBy("content_sha").agg(F.first(content_col).alias(content_col), F.count(F.lit(1)).alias("n_copies"))
+    )
+    computed = compute(distinct.select("content_sha", content_col)).select("content_sha", *results)
+    frequent = distinct.filter(F.col("n_copies") > SALT_ABOVE)
+    hot = frequent.orderBy(F.desc("n_copies")).limit(LISTED).select("content_sha")
+    return join_salted(keyed.drop(content_col), computed, "content_sha", "left", hot)

@@ -16,7 +16,8 @@ from parchmill.operators.answer import answer
 from parchmill.operators.slices import find_slices
 from parchmill.operators.summarize import summarize
 from parchmill.operators.translate import IDENTITY, Translator, translate
-from parchmill.plans import bot, inputs
+from parchmill.plans import bot, inputs, service
+from parchmill.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,9 +39,13 @@ def _sha(text: Column) -> Column:
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with the text of their document."""
-    return frames.pair_questions(
-        inputs.documents(spark, sf_dir), inputs.questions(spark, sf_dir), "doc_id"
-    )
+    return frames.pair_questions(inputs.documents(spark, sf_dir), inputs.questions(spark, sf_dir), "doc_id")
+
+
+def _asked_in_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``_asked``, with the context cut before it is shuffled."""
+    contexts = inputs.documents(spark, sf_dir).withColumn("text", tx.truncate_context(F.col("text")))
+    return frames.pair_questions(contexts, inputs.questions(spark, sf_dir), "doc_id")
 
 
 # --- frames ---------------------------------------------------------------------------
@@ -156,9 +161,9 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("text")).cast("binary").alias("content"),
     )
     texts = extract.extract_text(files, pdf_reader=_utf8_pages, docx_reader=_utf8_pages)
-    columns = ["doc_id", "filename", "ext", "accepted", "error", F.length("text").cast("bigint").alias("n_chars")]
-    taken = extract.accepted_requests(texts).withColumn("error", F.lit(None).cast("string"))
-    return taken.select(*columns).unionByName(extract.rejected_requests(texts).select(*columns))
+    return texts.select(
+        "doc_id", "filename", "ext", "accepted", "error", F.length("text").cast("bigint").alias("n_chars")
+    )
 
 
 @query
@@ -213,7 +218,7 @@ def normalize_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def qa_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompt = tx.question_prompt(tx.normalize_question(F.col("question")), tx.truncate_context(F.col("text")))
-    return _asked(spark, sf_dir).select(
+    return _asked_in_short(spark, sf_dir).select(
         "request_id", F.md5(prompt.cast("binary")).alias("prompt_md5"), F.length(prompt).cast("bigint").alias("n_chars")
     )
 
@@ -228,7 +233,7 @@ def summarize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = answer(_asked(spark, sf_dir))
+    done = answer(_asked_in_short(spark, sf_dir))
     return done.select(
         "request_id",
         "ok",
@@ -440,3 +445,23 @@ def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.level_counts(_log_rows(spark, sf_dir))
+
+
+# --- the whole service ----------------------------------------------------------------
+
+
+@query
+def request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and questions submitted, framed, parsed, worked off and looked up, with
+    an id that was never submitted for every document."""
+    texts = spread(inputs.text_requests(spark, sf_dir))
+    asked = _asked_in_short(spark, sf_dir)
+    submitted = [
+        service.submit_texts(texts),
+        service.Submission(frames.processing_rows(asked), frames.question_frames(asked)),
+    ]
+    wanted = texts.select("request_id", F.concat(F.lit("x"), F.col("request_id")).alias("absent"))
+    wanted = wanted.select(F.explode(F.array("request_id", "absent")).alias("request_id"))
+    wanted = wanted.unionByName(inputs.questions(spark, sf_dir).select("request_id"))
+    told = service.check_status(wanted, service.run(submitted))
+    return told.select("request_id", "status", "ok", _sha(F.col("summary")).alias("summary_sha"))

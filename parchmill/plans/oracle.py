@@ -180,6 +180,28 @@ summed AS (
   SELECT d.doc_id, count(k.id) > 0 AS ok, coalesce(string_agg(k.s, ' ' ORDER BY k.pos), '') AS summary
   FROM documents d LEFT JOIN kept k ON k.id = d.doc_id GROUP BY d.doc_id)"""
 
+ANSWERS = f"""body AS (SELECT request_id AS id, substring(text, 1, {S.CONTEXT_CHARS}) AS body FROM asked),
+{SENTENCES},
+qword AS (
+  SELECT DISTINCT request_id AS id, unnest({_words(_question("question"))}) AS w FROM asked),
+sword AS (SELECT DISTINCT id, pos, unnest(words) AS w FROM sent),
+score AS (
+  SELECT s.id, s.pos, count(q.w) AS score FROM sword s LEFT JOIN qword q ON q.id = s.id AND q.w = s.w
+  GROUP BY s.id, s.pos),
+best AS (
+  SELECT id, pos, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS rk FROM score) WHERE rk = 1),
+tail AS (
+  SELECT s.id, s.pos, s.s, sum(s.n) OVER (PARTITION BY s.id ORDER BY s.pos) - s.n AS before
+  FROM sent s JOIN best b ON b.id = s.id AND s.pos >= b.pos AND b.score > 0),
+ans AS (
+  SELECT id, {_first_words("string_agg(s, ' ' ORDER BY pos)", S.ANSWER.max_tokens)} AS a
+  FROM tail WHERE before < {S.ANSWER.min_tokens} GROUP BY id),
+answered AS (
+  SELECT k.request_id, coalesce(length(a) >= {S.MIN_ANSWER_CHARS}, false) AS ok, coalesce(b.score, 0) AS score,
+         CASE WHEN length(a) >= {S.MIN_ANSWER_CHARS} THEN a ELSE {_lit(S.ANSWER_NOT_FOUND)} END AS answer
+  FROM asked k LEFT JOIN ans ON ans.id = k.request_id LEFT JOIN best b ON b.id = k.request_id)"""
+
 
 def _pages() -> str:
     return """pages AS (
@@ -316,29 +338,8 @@ SELECT request_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS
     sql["summarize_documents"] = f"""WITH {SUMMARY}
 SELECT doc_id, ok, sha256(summary) AS summary_sha, CAST(length(summary) AS BIGINT) AS n_chars FROM summed"""
 
-    sql["answer_questions"] = f"""WITH {ASKED},
-body AS (SELECT request_id AS id, substring(text, 1, {S.CONTEXT_CHARS}) AS body FROM asked),
-{SENTENCES},
-qword AS (
-  SELECT DISTINCT request_id AS id, unnest({_words(_question("question"))}) AS w FROM asked),
-sword AS (SELECT DISTINCT id, pos, unnest(words) AS w FROM sent),
-score AS (
-  SELECT s.id, s.pos, count(q.w) AS score FROM sword s LEFT JOIN qword q ON q.id = s.id AND q.w = s.w
-  GROUP BY s.id, s.pos),
-best AS (
-  SELECT id, pos, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS rk FROM score) WHERE rk = 1),
-tail AS (
-  SELECT s.id, s.pos, s.s, sum(s.n) OVER (PARTITION BY s.id ORDER BY s.pos) - s.n AS before
-  FROM sent s JOIN best b ON b.id = s.id AND s.pos >= b.pos AND b.score > 0),
-ans AS (
-  SELECT id, {_first_words("string_agg(s, ' ' ORDER BY pos)", S.ANSWER.max_tokens)} AS a
-  FROM tail WHERE before < {S.ANSWER.min_tokens} GROUP BY id),
-final AS (
-  SELECT k.request_id, coalesce(length(a) >= {S.MIN_ANSWER_CHARS}, false) AS ok, coalesce(b.score, 0) AS score,
-         CASE WHEN length(a) >= {S.MIN_ANSWER_CHARS} THEN a ELSE {_lit(S.ANSWER_NOT_FOUND)} END AS answer
-  FROM asked k LEFT JOIN ans ON ans.id = k.request_id LEFT JOIN best b ON b.id = k.request_id)
-SELECT request_id, ok, score, sha256(answer) AS answer_sha, CAST(length(answer) AS BIGINT) AS n_chars FROM final"""
+    sql["answer_questions"] = f"""WITH {ASKED}, {ANSWERS}
+SELECT request_id, ok, score, sha256(answer) AS answer_sha, CAST(length(answer) AS BIGINT) AS n_chars FROM answered"""
 
     sql["translate_identity"] = f"""WITH {_chunks()}, t AS (
   SELECT doc_id, string_agg(chunk, ' ' ORDER BY pos) AS t FROM chunk GROUP BY doc_id)
@@ -443,6 +444,19 @@ SELECT conv_id, n_messages, turn, type, sha256(raw) AS text_sha FROM s WHERE rn
 UNION ALL {polled("bot_answer", bot_looks, 120000, 120000)}
 UNION ALL {polled("web", web_looks, 30000, 29000)}"""
 
+    # Both halves name their steps alike, so each sits in its own subquery.
+    sql["request_lifecycle"] = f"""WITH {REQUESTS}, {ASKED},
+result AS (
+  SELECT request_id, ok, summary AS value FROM req JOIN (WITH {SUMMARY} SELECT * FROM summed) USING (doc_id)
+  UNION ALL
+  SELECT request_id, ok, answer FROM (WITH {ANSWERS} SELECT * FROM answered)),
+wanted AS (
+  SELECT request_id FROM req UNION ALL SELECT 'x' || request_id FROM req
+  UNION ALL SELECT 'q-' || conv_id || '-' || turn FROM conversations WHERE role = 'user')
+SELECT w.request_id, CASE WHEN value <> '' THEN 'done' ELSE 'not_found' END AS status,
+       coalesce(value <> '' AND ok, false) AS ok, CASE WHEN value <> '' THEN sha256(value) END AS summary_sha
+FROM wanted w LEFT JOIN result USING (request_id)"""
+
     sql["log_parse"] = f"""WITH {EV}, {_log_rows()}
 SELECT event_id, ts_ms, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS log_date, level, '__main__' AS module,
        'main' AS func, CAST(line AS BIGINT) AS line, event, request_id, n_chars, sha256(message) AS message_sha FROM lrow"""

@@ -8,7 +8,7 @@ The text operators are map-only, so a micro-batch has no shuffle at all.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,39 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parchmill import schemas as S
 from parchmill.operators import frames
-from parchmill.operators.answer import answer
-from parchmill.operators.backends import ModelFactory
-from parchmill.operators.summarize import summarize
-from parchmill.operators.translate import Translator
-from parchmill.sources import results
-
-
-@dataclass(frozen=True)
-class Models:
-    """Plug-ins; the native operators are used where there is none."""
-
-    summarize: ModelFactory | None = None
-    answer: ModelFactory | None = None
-    to_model: Translator | None = None
-    from_model: Translator | None = None
-
-
-def process(parsed: DataFrame, models: Models = Models()) -> DataFrame:
-    """Parsed frames -> state rows with the results."""
-
-    def rows(done: DataFrame, column: str) -> DataFrame:
-        return done.select(
-            "request_id", F.col(column).alias("value"), F.lit(1).alias("state_rank"), "ok", F.col("timestamp").alias("ts")
-        )
-
-    summaries = summarize(frames.good_frames(parsed, S.TOPIC_SUMMARIZE), model=models.summarize)
-    answers = answer(
-        frames.good_frames(parsed, S.TOPIC_QUESTION),
-        model=models.answer,
-        to_model=models.to_model,
-        from_model=models.from_model,
-    )
-    return rows(summaries, "summary").unionByName(rows(answers, "answer"))
+from parchmill.plans.service import Models, process
+from parchmill.sources import results, topics
 
 
 def run_worker(
@@ -78,10 +47,30 @@ def run_worker(
     )
 
 
+# Takes the topic rows of a micro-batch and its number.
+TopicSink = Callable[[DataFrame, int], None]
+
+
+def folder_sink(path: str) -> TopicSink:
+    """Topic rows as parquet files; a replayed batch replaces itself."""
+
+    def send(rows: DataFrame, batch_id: int) -> None:
+        placed = rows.withColumns({"partition": F.lit(0), "offset": F.lit(None).cast("bigint")})
+        placed.select(*S.TOPIC_ROW.names).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return send
+
+
+def kafka_sink(servers: str) -> TopicSink:
+    """Topic rows to Kafka; a replayed batch is sent again, which the worker's state
+    absorbs."""
+    return lambda rows, batch_id: topics.write_topics(rows, servers)
+
+
 def run_gateway(
     requests: DataFrame,
     state_path: str,
-    topic_path: str,
+    sink: TopicSink,
     checkpoint: str,
     wire: str = "json",
     trigger: dict | None = None,
@@ -99,10 +88,7 @@ def run_gateway(
             results.write_batch(frames.processing_rows(accepted), state_path, batch_id, "gateway")
             summaries = frames.summarize_frames(accepted.filter(F.col("question").isNull()), wire)
             questions = frames.question_frames(accepted.filter(F.col("question").isNotNull()), wire)
-            sent = summaries.unionByName(questions).withColumns(
-                {"partition": F.lit(0), "offset": F.lit(None).cast("bigint")}
-            )
-            sent.select(*S.TOPIC_ROW.names).write.mode("overwrite").parquet(f"{topic_path}/batch={batch_id}")
+            sink(summaries.unionByName(questions), batch_id)
         finally:
             accepted.unpersist()
 

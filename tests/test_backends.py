@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from parchmill import schemas as S
 from parchmill.operators.answer import answer
+from parchmill.operators.backends import first_loadable
 from parchmill.operators.summarize import summarize
 from parchmill.operators.translate import IDENTITY, INLINE_LEXICON_ROWS, Translator, translate
 
@@ -35,6 +36,12 @@ def test_a_model_that_does_not_load_fails_every_row(spark):
     assert told == (S.ANSWER_FAILED, False)
 
 
+def test_second_place_to_load_from(spark):
+    df = spark.createDataFrame([("a",)], "text string")
+    assert summarize(df, model=first_loadable(missing, shouting)).first().summary == "SUMMARIZE: A"
+    assert not summarize(df, model=first_loadable(missing, missing)).first().ok
+
+
 def test_models_load_once_per_task(spark):
     loads = spark.sparkContext.accumulator(0)
 

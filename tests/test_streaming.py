@@ -55,7 +55,7 @@ def test_gateway_and_worker(spark, tmp_path, wire):
     path = {k: str(tmp_path / k) for k in ("in", "state", "topic", "dead", "cp1", "cp2")}
     write_parts(requests, "request_id", path["in"], 3)
 
-    worker.run_gateway(stream_of(spark, path["in"], requests.schema), path["state"], path["topic"], path["cp1"], wire).awaitTermination(120)
+    worker.run_gateway(stream_of(spark, path["in"], requests.schema), path["state"], worker.folder_sink(path["topic"]), path["cp1"], wire).awaitTermination(120)
     latest = results.read_latest(spark, path["state"])
     assert {r.request_id: r.value for r in latest.collect()} == {"a": "processing", "b": "processing"}
 
@@ -199,3 +199,28 @@ def test_topic_folder(spark, tmp_path):
     topics.append_to_topic_folder(df, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert sorted((r.topic, r.key, bytes(r.value)) for r in back.collect()) == [("question", "b", b"y"), ("summarize", "a", b"x")]
+
+
+def test_service_in_one_batch_plan(spark):
+    from parchmill.plans import service
+
+    ts = F.timestamp_seconds(F.lit(5))
+    files = spark.createDataFrame([("a.txt", b"One fish. Two fish."), ("b.doc", b"x"), ("c.txt", b"")], "filename string, content binary")
+    uploads = files.withColumns({"request_id": F.concat(F.lit("s-"), "filename"), "ts": ts})
+    asked = spark.createDataFrame(
+        [("q1", "a.txt", "two"), ("q2", "a.txt", "zebra"), ("q3", "b.doc", "x")], "request_id string, filename string, question string"
+    ).withColumn("ts", ts)
+    summaries = service.submit_files(uploads)
+    questions = service.submit_questions(files, asked)
+    assert sorted(r.request_id for r in summaries.rejected.collect()) == ["s-b.doc", "s-c.txt"]
+    assert [r.request_id for r in questions.rejected.collect()] == ["q3"]
+    ids = uploads.select("request_id").unionByName(asked.select("request_id"))
+    told = service.check_status(ids, service.run([summaries, questions]))
+    assert {r.request_id: (r.status, r.summary, r.ok) for r in told.collect()} == {
+        "s-a.txt": ("done", "One fish Two fish.", True),
+        "s-b.doc": ("not_found", None, False),
+        "s-c.txt": ("not_found", None, False),
+        "q1": ("done", "Two fish.", True),
+        "q2": ("done", S.ANSWER_NOT_FOUND, False),
+        "q3": ("not_found", None, False),
+    }
