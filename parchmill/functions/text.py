@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill import schemas as S
@@ -31,6 +31,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """As ``withColumns``, for costly columns that later get filtered on.
+
+    A filter on a plain column is pushed below it by writing the column's expression
+    into the filter, which then computes it once more. It does not get past a generator.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends (``trim`` only removes spaces)."""
     return F.regexp_replace(text, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")

@@ -117,11 +117,12 @@ def extract_text(
     by_python = F.col("ext").isin(*readers)
 
     is_plain = F.col("ext") == ".txt"
-    native = typed.filter(~by_python).withColumns(
+    native = tx.computed(
+        typed.filter(~by_python),
         {
             "text": F.when(is_plain, decode_text(F.col("content"))).otherwise(F.lit("")),
             "read_error": F.when(~is_plain, F.lit("unsupported format")),
-        }
+        },
     )
     joined = F.when(F.col("ext") == ".docx", F.array_join("parts", "\n")).otherwise(F.array_join("parts", ""))
     documents = read_parts(typed.filter(by_python), readers).withColumn("text", joined).drop("parts")

@@ -83,14 +83,13 @@ def parse_frames(rows: DataFrame, wire: str = "json") -> DataFrame:
         .when(~readable, F.lit("not UTF-8"))
         .when(~complete, F.lit("malformed frame"))
     )
-    return parsed.withColumns(
-        {
-            "reason": reason,
-            "request_id": F.when(complete, rid),
-            "text": F.when(complete, text),
-            "question": F.when(complete & is_question, question),
-        }
-    ).drop("_body")
+    fields = {
+        "reason": reason,
+        "request_id": F.when(complete, rid),
+        "text": F.when(complete, text),
+        "question": F.when(complete & is_question, question),
+    }
+    return tx.computed(parsed, fields).drop("_body")
 
 
 def good_frames(parsed: DataFrame, topic: str) -> DataFrame:

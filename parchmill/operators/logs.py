@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.functions import text as tx
+
 # Line layout and the messages that mark a request's start and end.
 LINE = r"^(\S+ \S+) \| (\w+)\s*\| ([\w.]+):(\w+):(\d+) - (.*)$"
 SUMMARY_START = "Получено сообщение для суммаризации: ID="
@@ -19,7 +21,7 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Raw lines -> ts, level, module, func, line, message, event, request_id, n_chars.
+    """Raw lines -> ts, level, module, func, line, message.
 
     Lines of another layout keep only their ``value`` with NULL fields. The layout
     is matched once; the fields are then cut out at their separators.
@@ -29,7 +31,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     rest = F.expr("substring(_raw, length(_stamp) + 4)")
     headed = stamped.withColumn("_rest", rest).withColumn("_head", F.substring_index("_rest", " - ", 1))
     placed = headed.withColumn("_place", F.split(F.substring_index("_head", "| ", -1), ":"))
-    fields = placed.withColumns(
+    return placed.withColumns(
         {
             "ts": F.try_to_timestamp("_stamp", F.lit(TIME_FORMAT)),
             "level": F.rtrim(F.substring_index("_head", "|", 1)),
@@ -39,6 +41,10 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
             "message": F.expr("substring(_rest, length(_head) + 4)"),
         }
     ).drop("_raw", "_stamp", "_rest", "_head", "_place")
+
+
+def mark_requests(rows: DataFrame) -> DataFrame:
+    """Parsed rows with event, request_id and n_chars, NULL where a message has none."""
     message = F.col("message")
     event = (
         F.when(message.startswith(SUMMARY_START), F.lit("summary_start"))
@@ -48,15 +54,16 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
         .when(message.startswith(BAD_FRAME), F.lit("bad_frame"))
         .when(message.startswith(BROKER_DOWN), F.lit("broker_down"))
     )
-    request_id = F.regexp_extract(message, r"ID=([^,\s]+)", 1)
     # The question in between is free text; the length is the last thing on the line.
     length = F.regexp_extract(message, rf"(?:{TEXT_LENGTH}|{CONTEXT_LENGTH})(\d+)\z", 1)
-    marks = F.col("event").isin("summary_start", "summary_end", "question_start", "question_end")
-    return fields.withColumn("event", event).withColumns(
+    marks = event.isin("summary_start", "summary_end", "question_start", "question_end")
+    return tx.computed(
+        rows,
         {
-            "request_id": F.when(marks, request_id),
-            "n_chars": F.when(marks & (length != ""), length.cast("int")),
-        }
+            "event": event,
+            "request_id": F.when(marks, F.regexp_extract(message, r"ID=([^,\s]+)", 1)),
+            "n_chars": F.when(marks, F.nullif(length, F.lit("")).cast("int")),
+        },
     )
 
 

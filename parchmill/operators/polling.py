@@ -33,6 +33,11 @@ def outcome(latency_ms: Column, policy: S.PollPolicy, known: Column | None = Non
     return state, observed
 
 
+def web_error(state: Column) -> Column:
+    """The error text of a web poll that did not end in a result."""
+    return F.when(state == "not_found", F.lit(S.POLL_NOT_FOUND)).when(state == "timeout", F.lit(S.POLL_TIMEOUT))
+
+
 def latencies(requests: DataFrame, results: DataFrame) -> DataFrame:
     """(request_id, ts_us) with (request_id, done_us): add latency_ms, NULL without a result.
 

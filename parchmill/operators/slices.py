@@ -15,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.operators.joins import frequent_keys, local_table
+
 # Rows of one key that one task may hold.
 HOT_ROWS = 4_000_000
 # Every entry of a slice table owns more than ``hot_rows`` rows, so the tables hold
@@ -73,28 +74,35 @@ class Slices:
 
 
 def find_slices(df: DataFrame, key: str, pos: str, hot_rows: int = HOT_ROWS) -> Slices:
-    """Count rows per key (map-side combined, two narrow columns) and cut the hot keys.
+    """Find the hot keys and cut them.
 
-    Runs at plan time. Only entries above ``hot_rows`` reach the driver.
+    Runs at plan time, on two narrow columns. A sketch lists the candidates without a
+    shuffle by key; if there are any, they are counted exactly, and only entries above
+    ``hot_rows`` reach the driver.
     """
     narrow = df.select(key, pos)
+    candidates = [k for k in frequent_keys(narrow, key, hot_rows) if k is not None]
+    if not candidates:
+        return Slices(key, pos)
+    # At most LISTED keys.
+    listed = local_table(df.sparkSession, {key: candidates}, narrow.schema)
+    suspects = narrow.join(F.broadcast(listed), key, "left_semi")
     levels: list[DataFrame] = []
-    found = _crowded(narrow, [key], pos, hot_rows)
+    found = _crowded(suspects, [key], pos, hot_rows)
     while len(found) > MAX_ENTRIES:
         hot_rows *= 4
-        found = _crowded(narrow, [key], pos, hot_rows)
+        found = _crowded(suspects, [key], pos, hot_rows)
     n_slices: dict[object, int] = {}
     while found and len(levels) < MAX_LEVELS:
         depth = len(levels)
-        entries = []
+        entries: dict[str, list] = {key: [], "_start" if depth == 0 else SLICE: [], "_width": []}
         for row in found:
             start = row["lo"] if depth == 0 else row[SLICE]
             parts = 2 * -(-row["n"] // hot_rows)
-            width = max(1, -(-(row["hi"] - start + 1) // parts))
-            entries.append((row[key], start, width))
+            for column, value in zip(entries.values(), (row[key], start, max(1, -(-(row["hi"] - start + 1) // parts)))):
+                column.append(value)
             n_slices[row[key]] = n_slices.get(row[key], 1) + parts
-        start_name = "_start" if depth == 0 else SLICE
-        levels.append(_local_table(df.sparkSession, narrow, key, start_name, entries))
+        levels.append(local_table(df.sparkSession, entries, narrow.schema))
         so_far = Slices(key, pos, tuple(levels))
         found = _crowded(so_far.hot(narrow), [key, SLICE], pos, hot_rows)
     return Slices(key, pos, tuple(levels), max(n_slices.values(), default=1))
@@ -106,16 +114,6 @@ def _crowded(df: DataFrame, keys: list[str], pos: str, hot_rows: int) -> list:
     return counted.filter((F.col("n") > hot_rows) & (F.col("lo") < F.col("hi"))).limit(MAX_ENTRIES + 1).collect()
 
 
-def _local_table(
-    spark: SparkSession, df: DataFrame, key: str, start_name: str, entries: Sequence[tuple]
-) -> DataFrame:
-    keys, starts, widths = zip(*entries)
-    table = pa.table(
-        {key: list(keys), start_name: pa.array(starts, pa.int64()), "_width": pa.array(widths, pa.int64())}
-    )
-    return spark.createDataFrame(table).withColumn(key, F.col(key).cast(df.schema[key].dataType))
-
-
 @dataclass(frozen=True)
 class Running:
     """A running value over the *earlier* rows of a key.

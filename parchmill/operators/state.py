@@ -45,6 +45,14 @@ def build_cache(results: DataFrame) -> DataFrame:
     )
 
 
+def merge_cache(cache: DataFrame, more: DataFrame) -> DataFrame:
+    """Two caches as one: the earlier entry of each content stays."""
+    both = cache.unionByName(more)
+    return both.groupBy("content_sha").agg(
+        F.min("ready_us").alias("ready_us"), F.min_by("summary", F.struct("ready_us", "summary")).alias("summary")
+    )
+
+
 def probe_cache(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Add ``hit``: was a summary of this content cached when the file came in?
 
@@ -83,6 +91,6 @@ def compute_once(
         keyed.groupBy("content_sha").agg(F.first(content_col).alias(content_col), F.count(F.lit(1)).alias("n_copies"))
     )
     computed = compute(distinct.select("content_sha", content_col)).select("content_sha", *results)
-    frequent = distinct.filter(F.col("n_copies") > SALT_ABOVE)
-    hot = frequent.orderBy(F.desc("n_copies")).limit(LISTED).select("content_sha")
+    copies = distinct.select("content_sha", "n_copies").filter(F.col("n_copies") > SALT_ABOVE)
+    hot = [r["content_sha"] for r in copies.orderBy(F.desc("n_copies")).limit(LISTED).collect()]
     return join_salted(keyed.drop(content_col), computed, "content_sha", "left", hot)

@@ -361,7 +361,7 @@ def web_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     latency = inputs.events(spark, sf_dir).select("event_id", "k", (F.col("latency_ms") % 60_000).alias("latency_ms"))
     seen = waiting.join(latency, "event_id")
     outcome, _ = polling.outcome(F.col("latency_ms"), S.WEB_POLL)
-    error = F.when(outcome == "timeout", F.lit(S.POLL_TIMEOUT))
+    error = polling.web_error(outcome)
     summary = F.when(F.col("k") % 9 != 0, bot.summary_of(F.col("event_id")))
     return seen.select(
         "event_id", outcome.alias("outcome"), sessions.web_reply(summary, error, F.col("kind")).alias("shown")
@@ -411,7 +411,7 @@ def poll_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.parse_lines(inputs.log_lines(spark, sf_dir))
+    return logs.mark_requests(logs.parse_lines(inputs.log_lines(spark, sf_dir)))
 
 
 @query
@@ -444,7 +444,7 @@ def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.level_counts(_log_rows(spark, sf_dir))
+    return logs.level_counts(logs.parse_lines(inputs.log_lines(spark, sf_dir)))
 
 
 # --- the whole service ----------------------------------------------------------------

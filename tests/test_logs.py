@@ -16,7 +16,7 @@ LINES = [
 
 
 def test_parse_pair_and_roll_up(spark):
-    rows = logs.parse_lines(spark.createDataFrame([(x,) for x in LINES], "value string"))
+    rows = logs.mark_requests(logs.parse_lines(spark.createDataFrame([(x,) for x in LINES], "value string")))
     got = rows.collect()
     assert [r.event for r in got] == ["summary_start", "summary_end", "question_start", "question_end", "broker_down", None]
     assert [(r.level, r.func, r.line) for r in got][4:] == [("ERROR", "main", 242), (None, None, None)]
@@ -48,7 +48,7 @@ def test_folders_labels_and_daily_table(spark, tmp_path):
 def test_log_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("\n".join(LINES))
-    rows = logs.parse_lines(log_source.stream_logs(spark, {"worker": str(tmp_path / "in" / "*.log")}))
+    rows = logs.mark_requests(logs.parse_lines(log_source.stream_logs(spark, {"worker": str(tmp_path / "in" / "*.log")})))
     query = (
         rows.writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))

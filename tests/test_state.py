@@ -45,6 +45,8 @@ def test_cache(spark):
     )
     cache = state.build_cache(results)
     assert [tuple(r) for r in cache.collect()] == [("x", 10, "early")]
+    more = spark.createDataFrame([("x", 3, "older"), ("z", 4, "new")], cache.schema)
+    assert sorted(tuple(r) for r in state.merge_cache(cache, more).collect()) == [("x", 3, "older"), ("z", 4, "new")]
     files = spark.createDataFrame([(1, "x", 9), (2, "x", 10), (3, "y", 99)], "id int, content_sha string, ts_us bigint")
     assert {r.id: r.hit for r in state.probe_cache(files, cache).collect()} == {1: False, 2: True, 3: False}
     assert [r.id for r in state.cache_hits(files, cache).collect()] == [2]
