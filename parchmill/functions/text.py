@@ -68,7 +68,7 @@ def first_words(text: Column, n: int) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
 
 
 def sentences(text: Column) -> Column:
