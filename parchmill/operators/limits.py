@@ -20,6 +20,8 @@ from parchmill import schemas as S
 from parchmill.operators.hot_windows import open_windows
 from parchmill.operators.slices import SLICE, Slices
 
+# One row of four numbers per slice: 32 MB at most.
+BROADCAST_SLICES = 1_000_000
 WINDOW_US = S.RATE_WINDOW_S * 1_000_000
 
 
@@ -41,17 +43,29 @@ def rate_limit(
     """
     if slices is not None and slices.any_hot:
         windows = open_windows(hits, slices, window_us)
+        if slices.total_slices <= BROADCAST_SLICES:
+            windows = F.broadcast(windows)
         sliced = slices.hot(hits).join(windows, [user, SLICE], "left")
-        sliced = sliced.repartition(user, SLICE).sortWithinPartitions(user, SLICE, pos, tie)
-        hot = count_ordered(sliced, [user, SLICE], pos, window_us, open_window=True).drop(SLICE)
+        ordered = in_one_task(sliced, user, SLICE).sortWithinPartitions(user, SLICE, pos, tie)
+        hot = count_ordered(ordered, [user, SLICE], pos, window_us, open_window=True).drop(SLICE)
         counted = _count(slices.ordinary(hits), window_us, user, pos, tie).unionByName(hot)
     else:
         counted = _count(hits, window_us, user, pos, tie)
     return counted.withColumn("limited", F.col("n_in_window") > limit)
 
 
+def in_one_task(df: DataFrame, *keys: str) -> DataFrame:
+    """Bring the rows of equal keys into one partition, for a Python stage that relies on it.
+
+    The planner does not know that the stage does. Partitioning by the bare keys would
+    be dropped if the input came from a join on them, and adaptive execution may split
+    such a join's partitions; a hash of the keys is nothing it can take for granted.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def _count(hits: DataFrame, window_us: int, user: str, pos: str, tie: str) -> DataFrame:
-    ordered = hits.repartition(user).sortWithinPartitions(user, pos, tie)
+    ordered = in_one_task(hits, user).sortWithinPartitions(user, pos, tie)
     return count_ordered(ordered, [user], pos, window_us)
 
 

@@ -42,8 +42,9 @@ class Slices:
     key: str
     pos: str
     levels: tuple[DataFrame, ...] = ()
-    # Upper bound on the slices of any one key.
+    # Upper bounds on the slices of any one key, and of all hot keys together.
     max_slices: int = 1
+    total_slices: int = 0
 
     @property
     def any_hot(self) -> bool:
@@ -105,7 +106,7 @@ def find_slices(df: DataFrame, key: str, pos: str, hot_rows: int = HOT_ROWS) ->
         levels.append(local_table(df.sparkSession, entries, narrow.schema))
         so_far = Slices(key, pos, tuple(levels))
         found = _crowded(so_far.hot(narrow), [key, SLICE], pos, hot_rows)
-    return Slices(key, pos, tuple(levels), max(n_slices.values(), default=1))
+    return Slices(key, pos, tuple(levels), max(n_slices.values(), default=1), sum(n_slices.values()))
 
 
 def _crowded(df: DataFrame, keys: list[str], pos: str, hot_rows: int) -> list:

@@ -77,3 +77,29 @@ def test_hot_users_are_cut_and_counted_the_same(spark, window):
 def test_no_hot_user_no_slices(spark):
     df = spark.createDataFrame([(1, 1, 1), (2, 2, 2)], HITS)
     assert not find_slices(df, "user_id", "ts_us").any_hot
+
+
+def test_partitions_split_by_an_earlier_join_do_no_harm(spark):
+    """A skewed join on the user before the limiter, with adaptive splitting forced."""
+    rows = [(i, 0 if i % 2 else i % 40, i * 3) for i in range(20_000)]
+    hits = spark.createDataFrame(rows, HITS)
+    names = spark.createDataFrame([(u, f"n{u}") for u in range(40)], "user_id bigint, name string")
+    forced = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+    }
+    for key, value in forced.items():
+        spark.conf.set(key, value)
+    try:
+        got = rate_limit(hits.join(names, "user_id"), 100).collect()
+        df = hits.join(names, "user_id")
+        cut = rate_limit(df, 100, slices=find_slices(df, "user_id", "ts_us", hot_rows=2000)).collect()
+    finally:
+        for key in forced:
+            spark.conf.unset(key)
+    want = model(rows, 100)
+    for result in (got, cut):
+        assert {r.event_id: (r.window_start_us, r.n_in_window, r.limited) for r in result} == want
