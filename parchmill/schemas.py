@@ -55,6 +55,16 @@ STATE_ROW = T.StructType(
     ]
 )
 
+CACHE_LOG = T.StructType(
+    [
+        T.StructField("content_sha", T.StringType()),
+        T.StructField("summary", T.StringType()),
+        T.StructField("done_us", T.LongType()),
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ok", T.BooleanType()),
+    ]
+)
+
 DEAD_LETTER = T.StructType(
     [
         T.StructField("topic", T.StringType()),

@@ -1,4 +1,5 @@
-"""The state log: an append-only table of request states, read as latest per request."""
+"""Append-only result tables: the state log, read as latest per request, and the file-cache
+log, read as earliest per content."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill import schemas as S
-from parchmill.operators.state import latest_state
+from parchmill.operators.state import build_cache, latest_state
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int, writer: str) -> None:
@@ -30,3 +31,13 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
         F.max_by(F.struct("value", "state_rank", "ok", "ts"), F.struct("ts", "state_rank", "value")).alias("s")
     )
     newest.select("request_id", "s.*").write.mode("overwrite").parquet(f"{target}/writer=compact/batch=0")
+
+
+def append_cache(results: DataFrame, path: str, batch_id: int, writer: str = "bot") -> None:
+    """Log file results (content_sha, summary, done_us, event_id, ok) for the cache."""
+    write_batch(results.select(*S.CACHE_LOG.names), path, batch_id, writer)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache as of now: the earliest good result of every content."""
+    return build_cache(spark.read.schema(S.CACHE_LOG).parquet(path).select(*S.CACHE_LOG.names))

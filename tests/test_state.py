@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from parchmill import schemas as S
 from parchmill.operators import polling, state
 from parchmill.operators.summarize import summarize
+from parchmill.sources import results
 
 
 def log(spark, rows):
@@ -39,11 +40,11 @@ def test_latest_and_status(spark):
 
 
 def test_cache(spark):
-    results = spark.createDataFrame(
+    logged = spark.createDataFrame(
         [("x", "late", 20, 2, True), ("x", "early", 10, 1, True), ("x", "failed", 5, 0, False), ("y", "failed", 1, 3, False)],
         "content_sha string, summary string, done_us bigint, event_id bigint, ok boolean",
     )
-    cache = state.build_cache(results)
+    cache = state.build_cache(logged)
     assert [tuple(r) for r in cache.collect()] == [("x", 10, "early")]
     more = spark.createDataFrame([("x", 3, "older"), ("z", 4, "new")], cache.schema)
     assert sorted(tuple(r) for r in state.merge_cache(cache, more).collect()) == [("x", 3, "older"), ("z", 4, "new")]
@@ -53,6 +54,12 @@ def test_cache(spark):
     assert sorted(r.id for r in state.cache_misses(files, cache).collect()) == [1, 3]
 
 
+def test_cache_log(spark, tmp_path):
+    for batch, rows in enumerate([[("x", "a", 20, 1, True)], [("x", "b", 10, 2, True), ("y", "c", 5, 3, False)]]):
+        results.append_cache(spark.createDataFrame(rows, S.CACHE_LOG), str(tmp_path / "cache"), batch)
+    assert [tuple(r) for r in results.read_cache(spark, str(tmp_path / "cache")).collect()] == [("x", 10, "b")]
+
+
 def test_compute_once_runs_per_distinct_content(spark):
     df = spark.createDataFrame([(i, f"Text {i % 3}. More.") for i in range(30)], "i int, text string")
     seen = []
@@ -84,8 +91,8 @@ def test_compute_once_runs_per_distinct_content(spark):
 def test_poll_boundaries(spark, policy, latency, want):
     requests = spark.createDataFrame([(1, 1_000_000)], "request_id int, ts_us bigint")
     done = [] if latency is None else [(1, 1_000_000 + latency * 1000), (1, 999_000_000_000)]
-    results = spark.createDataFrame(done, "request_id int, done_us bigint")
-    row = polling.poll(requests, results, policy).first()
+    written = spark.createDataFrame(done, "request_id int, done_us bigint")
+    row = polling.poll(requests, written, policy).first()
     assert (row.outcome, row.observed_ms) == want
 
 
