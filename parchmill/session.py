@@ -63,7 +63,8 @@ def create_session(app_name: str = "parchmill", master: str | None = None, **con
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, "spark.ui.enabled": "false", **conf}.items():
+    local = {"spark.ui.enabled": "false"} if master and master.startswith("local") else {}
+    for key, value in {**RUNTIME_CONF, **local, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

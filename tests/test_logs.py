@@ -32,13 +32,13 @@ def test_parse_pair_and_roll_up(spark):
 
 
 def test_folders_labels_and_daily_table(spark, tmp_path):
-    for job, lines in (("worker", LINES[:4]), ("fastapi", LINES[4:])):
+    for job, lines in (("worker", LINES[:4]), ("gateway", LINES[4:])):
         (tmp_path / job).mkdir()
         (tmp_path / job / "x.log").write_text("\n".join(lines) + "\n")
         (tmp_path / job / "x.txt").write_text("not a log\n")
-    jobs = {job: str(tmp_path / job / "*.log") for job in ("worker", "fastapi")}
+    jobs = {job: str(tmp_path / job / "*.log") for job in ("worker", "gateway")}
     lines = log_source.read_logs(spark, jobs)
-    assert {(r.job, r.n) for r in lines.groupBy("job").agg(F.count("*").alias("n")).collect()} == {("worker", 4), ("fastapi", 2)}
+    assert {(r.job, r.n) for r in lines.groupBy("job").agg(F.count("*").alias("n")).collect()} == {("worker", 4), ("gateway", 2)}
     assert all(r.labels["job"] == r.job and r.file_path.endswith("x.log") for r in lines.collect())
     log_source.write_log_table(logs.parse_lines(lines), str(tmp_path / "table"))
     days = spark.read.parquet(str(tmp_path / "table")).groupBy("log_date").count().collect()
