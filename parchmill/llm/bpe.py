@@ -30,6 +30,12 @@ TOGETHER = 128  # bytes; a longer pre-token gets a queue run of its own and is n
 CHARS_AT_ONCE = 6_000_000  # texts encoded together, one at least
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file: base64 token and rank on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class RankQueue:
     """Positions by rank; gives the lowest rank first and the lowest position within it."""
 
