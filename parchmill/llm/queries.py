@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parchmill.llm import bpe
-from parchmill.session import configure
+from parchmill.llm import positional_index as index
+from parchmill.session import configure, cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,13 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+@query
+def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = cut_lineage(index.build(table(spark, sf_dir, "documents", "doc_id", "text")))
+    hits = index.search(segments, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return index.contamination(hits).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")

@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parchmill.llm import bpe
-from parchmill.llm.queries import vocabulary
+from parchmill.llm import positional_index as index
+from parchmill.llm.queries import table, vocabulary
+from parchmill.session import cut_lineage
+
+
+def without_texts(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` but those whose text has one of the hashes ``bad`` (one column, xxhash64 of a text)."""
+    bad = bad.toDF("_text_hash").distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_text_hash"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stands in windows of the benchmark."""
+    segments = cut_lineage(index.build(docs.select(F.xxhash64("text").alias("doc_id"), "text")))
+    found = index.contamination(index.search(segments, table(spark, sf_dir, "benchmark", "item_id", "text")))
+    return without_texts(docs, found.where("contaminated").select("id"))
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
