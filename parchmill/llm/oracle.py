@@ -4,6 +4,54 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op2_positional_index"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT r, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+hit_words AS (SELECT r, count(*) AS n_hit FROM (
+  SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits)) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+ORACLES["op5_warc"] = r"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS r, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex
+  FROM pages),
+five AS (
+  SELECT *, list_transform(range(0, 4), lambda g: ('0x' || hex[g * 10 + 1:g * 10 + 10])::BIGINT) AS part FROM p),
+text AS (
+  SELECT *, array_to_string(list_transform(range(0, 32),
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((part[(k // 8 + 1)::INT] >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)), '')
+    AS digest FROM five),
+kept AS (
+  SELECT *, first_value(r) OVER w AS of, first_value(page_id) OVER w AS of_page
+  FROM text WINDOW w AS (PARTITION BY hex ORDER BY page_id DESC NULLS LAST, r DESC))
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN r = of THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN r <> of THEN of_page END AS refers_to
+FROM kept
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmill.llm import bpe
+from parchmill.llm import bpe, warc
 from parchmill.llm import positional_index as index
-from parchmill.session import configure, cut_lineage
+from parchmill.session import configure, cut_lineage, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,13 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.contamination(hits).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    lines = warc.archive_and_index(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return lines.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
