@@ -79,6 +79,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def windows(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes at each start, letters as in words."""
+    total = np.zeros(len(starts), dtype=_U)
+    for i in range(size):
+        total += _VALUE[data[starts + i]] * _U(pow(_BASE, i, 1 << 64))
+    return mix(total)
+
+
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of every word of one UTF-8 buffer."""
     if len(data) <= PIECE:
