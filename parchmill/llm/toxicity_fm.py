@@ -4,7 +4,7 @@
 
 The linear part weighs terms, the factors weigh pairs of terms, so that an insult beside the
 mention of a group counts more than the two apart. Terms are words and word beginnings (one
-insult has many endings) as 64-bit hashes; x_i is how often a stretch of words has term i. A
+insult has many endings) as 64-bit hashes; x_i is 1 if a stretch of words has term i. A
 document scores as its highest stretch, as a short insult in a long text is still one.
 
 The model is fitted on a bounded sample of labelled training rows; scoring is map-only.
@@ -31,12 +31,12 @@ SAMPLE_ROWS = 4_000  # of each label
 SAMPLE_CHARS = 20_000_000
 BEGINNINGS = (4, 5, 6)  # bytes
 HALF = 16  # words; a stretch is two halves in a row
-MIN_DOCUMENTS = 3  # of the sample that a term must stand in
+MIN_DOCUMENTS = 5  # of the sample that a term must stand in
 FACTORS = 4
-EPOCHS = 12
+EPOCHS = 10
 BATCH = 128
 RATE = 0.1
-SHRINK = 1e-4
+SHRINK = 1e-5
 
 
 def text_terms(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,23 +71,30 @@ class Machine:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, at, -1)
 
-    def stretch_logits(self, known: np.ndarray, half: np.ndarray, n_halves: int) -> np.ndarray:
-        """Logit of every stretch, from known terms and the number of their half."""
-        if not n_halves:
+    def stretches(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Known terms of each stretch, once each, the number of their stretch, and how many there are."""
+        terms, places = text_terms(data)
+        halves = -(-(int(places.max()) + 1) // HALF) if len(places) else 0
+        n = max(halves - 1, min(halves, 1))
+        known = self.find(terms)
+        half = places // HALF
+        own = np.concatenate([half, half - 1])
+        known = np.concatenate([known, known])
+        keep = (known >= 0) & (own >= 0) & (own < n)
+        pairs = np.unique(own[keep] << 32 | known[keep])
+        return pairs & 0xFFFFFFFF, pairs >> 32, n
+
+    def logits(self, known: np.ndarray, stretch: np.ndarray, n: int) -> np.ndarray:
+        """Logit of every stretch; the bias alone if there is none."""
+        if not n:
             return np.array([self.bias])
-        linear = np.bincount(half, self.weights[known], n_halves)
-        squares = np.bincount(half, (self.factors[known] ** 2).sum(axis=1), n_halves)
-        sums = np.stack([np.bincount(half, self.factors[known, f], n_halves) for f in range(self.factors.shape[1])])
-        if n_halves > 1:
-            linear, squares, sums = (x[..., 1:] + x[..., :-1] for x in (linear, squares, sums))
+        linear = np.bincount(stretch, self.weights[known], n)
+        squares = np.bincount(stretch, (self.factors[known] ** 2).sum(axis=1), n)
+        sums = np.stack([np.bincount(stretch, self.factors[known, f], n) for f in range(self.factors.shape[1])])
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=0) - squares)
 
     def score(self, data: np.ndarray) -> float:
-        terms, places = text_terms(data)
-        known = self.find(terms)
-        mine = known >= 0
-        halves = -(-(int(places.max()) + 1) // HALF) if len(places) else 0
-        logit = self.stretch_logits(known[mine], places[mine] // HALF, halves).max()
+        logit = self.logits(*self.stretches(data)).max()
         return float(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
 
 
@@ -104,16 +111,10 @@ def fit(rows: list, prior: float | None = None, seed: int = 0) -> Machine:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
         return Machine(np.zeros(0, np.uint64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)))
 
-    texts = [text_terms(x) for x in W.text_buffers(pa.array([row.text for row in rows], type=pa.string()))]
-    seen, seen_in = np.unique(np.concatenate([np.unique(terms) for terms, _ in texts]), return_counts=True)
+    texts = list(W.text_buffers(pa.array([row.text for row in rows], type=pa.string())))
+    seen, seen_in = np.unique(np.concatenate([np.unique(text_terms(x)[0]) for x in texts]), return_counts=True)
     model = Machine(seen[seen_in >= MIN_DOCUMENTS], 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    docs = []
-    for terms, places in texts:
-        known = model.find(terms)
-        mine = known >= 0
-        halves = -(-(int(places.max()) + 1) // HALF) if len(places) else 0
-        docs.append((known[mine], places[mine] // HALF, halves))
-    del texts
+    docs = [model.stretches(data) for data in texts]
 
     # Start from the log odds of a term's documents: they point at the stretch that matters.
     n = len(model.terms)
@@ -121,9 +122,10 @@ def fit(rows: list, prior: float | None = None, seed: int = 0) -> Machine:
     for (known, _, _), label in zip(docs, labels, strict=True):
         with_term[int(label), np.unique(known)] += 1
     share = (with_term + 0.5) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 1)
-    model.weights = np.clip(np.log(share[1] / share[0]), -3, 3) * 0.3
+    seen_in = with_term.sum(axis=0)
+    model.weights = np.clip(np.log(share[1] / share[0]), -5, 5) * seen_in / (seen_in + 30)  # rare terms say little
     model.factors = rng.normal(0, 0.01, (n, FACTORS))
-    weight_steps, factor_steps, bias_steps = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
+    weight_steps, factor_steps, bias_steps = np.full(n, 1e-3), np.full((n, FACTORS), 1e-2), 1e-3
 
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
@@ -131,11 +133,11 @@ def fit(rows: list, prior: float | None = None, seed: int = 0) -> Machine:
             picked = order[start : start + BATCH]
             top, owner, logits = [], [], np.zeros(len(picked))
             for k, i in enumerate(picked):
-                known, half, halves = docs[i]
-                stretch = model.stretch_logits(known, half, halves)
-                best = int(stretch.argmax())
-                logits[k] = stretch[best]
-                inside = known[(half == best) | (half == best + 1)]
+                known, stretch, n_own = docs[i]
+                every = model.logits(known, stretch, n_own)
+                best = int(every.argmax())
+                logits[k] = every[best]
+                inside = known[stretch == best]
                 top.append(inside)
                 owner.append(np.full(len(inside), k))
             error = 1 / (1 + np.exp(-np.clip(logits, -35, 35))) - labels[picked]
