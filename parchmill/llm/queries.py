@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmill.llm import bpe, toxicity_fm, warc
+from parchmill.llm import bpe, mil_quality, toxicity_fm, warc
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -53,6 +53,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op6_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = mil_quality.train(documents, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return mil_quality.quality(documents, model)
+
+
 @query
 def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")

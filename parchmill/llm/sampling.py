@@ -1,13 +1,16 @@
-"""Bounded labelled samples for the classifiers of this folder."""
+"""Bounded labelled samples and scoring for the classifiers of this folder."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parchmill.llm import words as W
 
 HASH_SPACE = 1 << 32
 
@@ -51,3 +54,15 @@ def sample(rows: DataFrame, most: int, max_chars: int) -> list:
         share = min(1.0, 0.9 * most / n if n > most else 1.0, 0.8 * max_chars / len(sizes) / max(1, chars))
         keep |= (F.col("label") == label) & (F.col("draw") < int(share * HASH_SPACE))
     return rows.where(keep).orderBy("draw", "text").limit(most * len(sizes)).collect()
+
+
+def scored(docs: DataFrame, score: Callable[[np.ndarray], float], text: str = "text", name: str = "score") -> DataFrame:
+    """Append ``score(bytes)`` of each text. ``docs`` must not have the column yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            made = pa.array([score(data) for data in W.text_buffers(column)], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

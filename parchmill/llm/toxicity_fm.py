@@ -13,17 +13,15 @@ Null and empty texts have no term and score sigmoid(w0). Repeated rows give repe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parchmill.llm import words as W
-from parchmill.llm.sampling import labelled, remainder, sample
+from parchmill.llm.sampling import labelled, remainder, sample, scored
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -172,18 +170,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     return fit(sample(rows, SAMPLE_ROWS, SAMPLE_CHARS), counts.get(1, 0) / total if total else None)
 
 
-def scored(docs: DataFrame, score, text: str = "text", name: str = "score") -> DataFrame:
-    """Append ``score(bytes)`` of each text. ``docs`` must not have the column yet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            made = pa.array([score(data) for data in W.text_buffers(column)], type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
-
-
 def toxicity(docs: DataFrame, model: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; the score depends on the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
