@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmill.llm import bpe, mil_quality, toxicity_fm, warc
+from parchmill.llm import bpe, mil_quality, toxicity_fm, warc, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -46,6 +46,11 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.contamination(hits).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+
+
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
