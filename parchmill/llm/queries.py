@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parchmill.llm import bpe, mil_quality, toxicity_fm, warc, weighted_minhash
+from parchmill.llm import bpe, mil_quality, suffix_dedup, toxicity_fm, warc, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -46,6 +47,19 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.contamination(hits).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    keyed = documents.withColumn("doc", suffix_dedup.document_key(F.col("doc_id"), F.col("text")))
+    spans = suffix_dedup.repeats(keyed).select("doc_id", F.explode("spans").alias("span"))
+    return spans.select(
+        "doc_id",
+        F.col("span.start_word").cast("long").alias("start_word"),
+        (F.col("span.end_word") - F.col("span.start_word")).cast("long").alias("n_words"),
+        F.col("span.first_doc_id").alias("first_doc_id"),
+    )
+
+
 @query
 def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])

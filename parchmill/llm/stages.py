@@ -1,27 +1,60 @@
-"""The operators as stages of a pipeline over documents (see corpus_pipeline.py)."""
+"""The operators as stages of a pipeline over documents (see corpus_pipeline.py).
+
+Every stage takes all rows of its predecessor and, but for the last, gives back the columns of
+``docs``, whatever they are. Names that start with ``_pm_`` are used inside.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import bpe
+from parchmill.llm import bpe, mil_quality, suffix_dedup, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.llm.queries import table, vocabulary
+from parchmill.llm.sampling import scored
 from parchmill.session import cut_lineage
 
 
-def without_texts(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` but those whose text has one of the hashes ``bad`` (one column, xxhash64 of a text)."""
-    bad = bad.toDF("_text_hash").distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_text_hash"], "left_anti")
+def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    model = mil_quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    shared = spark.sparkContext.broadcast(model)
+    rows = scored(docs, lambda data: shared.value.score(data), name="_pm_score")
+    return rows.where(F.col("_pm_score") >= mil_quality.THRESHOLD).drop("_pm_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest doc_id; documents without words stay."""
+    placed = weighted_minhash.classes(docs.select("doc_id", "text"), ["_row"])
+    others = placed.where(~F.col("first")).select(F.col("_row").alias("_pm_other"))
+    rows = docs.withColumn("_pm_row", F.monotonically_increasing_id())
+    return rows.join(others, F.col("_pm_row") == F.col("_pm_other"), "left_anti").drop("_pm_row")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each without the passages that an earlier one has. n_chars follows the text."""
+    own = docs.select("doc_id", "text").withColumn("doc", suffix_dedup.document_key(F.col("doc_id"), F.col("text")))
+    found = suffix_dedup.repeats(own).select(F.col("doc").alias("_pm_doc"), F.col("spans").alias("_pm_spans"))
+    # Rows equal in doc_id and text have equal spans.
+    found = cut_lineage(found).dropDuplicates(["_pm_doc"])
+    key = suffix_dedup.document_key(docs["doc_id"], docs["text"])
+    joined = docs.join(found, key == found["_pm_doc"], "left")
+    cut = F.col("_pm_spans").isNotNull()
+    text = F.when(cut, suffix_dedup.without_spans("text", "_pm_spans")).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        n_chars = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = n_chars
+    return joined.select(*(changed[name].alias(name) if name in changed else docs[name] for name in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stands in windows of the benchmark."""
     segments = cut_lineage(index.build(docs.select(F.xxhash64("text").alias("doc_id"), "text")))
     found = index.contamination(index.search(segments, table(spark, sf_dir, "benchmark", "item_id", "text")))
-    return without_texts(docs, found.where("contaminated").select("id"))
+    bad = found.where("contaminated").select(F.col("id").alias("_pm_text")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_pm_text"], "left_anti")
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
