@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmill.llm.stages import encode_and_decode
+from parchmill.llm.stages import (
+    decontaminate,
+    drop_near_duplicates,
+    drop_rejected,
+    drop_repeated_passages,
+    encode_and_decode,
+)
 from parchmill.session import configure, cut_lineage
 
-STAGES = [("tokens", encode_and_decode)]
+STAGES = [
+    ("quality", drop_rejected),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("decontamination", decontaminate),
+    ("tokens", encode_and_decode),
+]
 
 # The stages fit a model, draw hashes and merge byte pairs; SQL expresses none of these.
 # tests/llm/test_pipeline.py holds run() against a brute-force version.
