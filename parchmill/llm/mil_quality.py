@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.llm import words as W
-from parchmill.llm.sampling import labelled, remainder, sample, scored
+from parchmill.llm.sampling import remainder, sample, scored
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -195,10 +195,8 @@ def fit(rows: list, prior: float | None = None, seed: int = 0) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on at most SAMPLE_ROWS training rows of each label, SAMPLE_CHARS characters in all."""
-    rows = labelled(docs, labels, label, remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    return fit(sample(rows, SAMPLE_ROWS, SAMPLE_CHARS), counts.get(1, 0) / total if total else None)
+    training = remainder(F.col("doc_id"), FOLDS) != HELD_OUT
+    return fit(*sample(docs, labels, label, training, SAMPLE_ROWS, SAMPLE_CHARS))
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -20,40 +20,40 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column) -> DataFrame:
-    """(doc_id, text, label) of training documents with one label of 0 or 1; copies of rows count once."""
+def sample(
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, max_chars: int
+) -> tuple[list, float | None]:
+    """Training rows (text, label), and the share of label 1 among all training labels (None without any).
+
+    Documents are drawn by a hash of their id from the label table alone: at most ``most`` of each
+    label of 0 or 1, so the list of ids has a fixed bound and is broadcast; texts are not shuffled.
+    If the drawn texts have more than ``max_chars`` characters, a smaller part is taken. A document
+    with both labels, or with a null id, is no training row.
+    """
     marks = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
-        .where(F.col("label").isin(0, 1) & train)
+        .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & train)
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("most"))
         .where(F.col("label") == F.col("most"))
-        .drop("most")
-    )
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
-def sample(rows: DataFrame, most: int, max_chars: int) -> list:
-    """At most ``most`` rows of each label with texts of ``max_chars`` at most in total, drawn by hash of the text.
-
-    Label counts set a hash threshold for each label, so nothing is sorted, and the draw is the
-    same wherever the rows lie. The total of characters is bounded by a lower threshold if needed.
-    """
-    rows = rows.select(
-        F.coalesce("text", F.lit("")).alias("text"),
-        "label",
-        F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(HASH_SPACE)).alias("draw"),
+        .select("doc_id", "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(HASH_SPACE)).alias("draw"))
     )
-    sizes = {r.label: (r.n, r.chars) for r in rows.groupBy("label").agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")
-    ).collect()}
+    sizes = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
     if not sizes:
-        return []
+        return [], None
+    prior = sizes.get(1, 0) / sum(sizes.values())
     keep = F.lit(False)
-    for label, (n, chars) in sizes.items():
-        share = min(1.0, 0.9 * most / n if n > most else 1.0, 0.8 * max_chars / len(sizes) / max(1, chars))
-        keep |= (F.col("label") == label) & (F.col("draw") < int(share * HASH_SPACE))
-    return rows.where(keep).orderBy("draw", "text").limit(most * len(sizes)).collect()
+    for value, n in sizes.items():
+        share = min(1.0, 0.95 * most / n) if n > most else 1.0
+        keep |= (F.col("label") == value) & (F.col("draw") < int(share * HASH_SPACE))
+    drawn = marks.where(keep).limit(most * len(sizes))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        # The draws are spread evenly over the part of the hash space that was kept.
+        part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(HASH_SPACE))
+        rows = rows.where(part < int(0.9 * max_chars / chars * HASH_SPACE))
+    return rows.select("text", "label").orderBy("doc_id").collect(), prior
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray], float], text: str = "text", name: str = "score") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.llm import words as W
-from parchmill.llm.sampling import labelled, remainder, sample, scored
+from parchmill.llm.sampling import remainder, sample, scored
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -121,7 +121,7 @@ def fit(rows: list, prior: float | None = None, seed: int = 0) -> Machine:
         with_term[int(label), np.unique(known)] += 1
     share = (with_term + 0.5) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 1)
     seen_in = with_term.sum(axis=0)
-    model.weights = np.clip(np.log(share[1] / share[0]), -5, 5) * seen_in / (seen_in + 30)  # rare terms say little
+    model.weights = np.clip(np.log(share[1] / share[0]), -5, 5) * seen_in / (seen_in + 10)  # rare terms say little
     model.factors = rng.normal(0, 0.01, (n, FACTORS))
     weight_steps, factor_steps, bias_steps = np.full(n, 1e-3), np.full((n, FACTORS), 1e-2), 1e-3
 
@@ -164,10 +164,8 @@ def fit(rows: list, prior: float | None = None, seed: int = 0) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     """Fit on at most SAMPLE_ROWS training rows of each label, SAMPLE_CHARS characters in all."""
-    rows = labelled(docs, labels, label, remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    return fit(sample(rows, SAMPLE_ROWS, SAMPLE_CHARS), counts.get(1, 0) / total if total else None)
+    training = remainder(F.col("doc_id"), FOLDS) != HELD_OUT
+    return fit(*sample(docs, labels, label, training, SAMPLE_ROWS, SAMPLE_CHARS))
 
 
 def toxicity(docs: DataFrame, model: Machine) -> DataFrame:

@@ -236,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` (doc_id, text), with
+    """The columns ``keep`` of every row of ``docs`` (``_row``: its number in the scan), with
 
     ``class_id``: smallest doc_id of the class (the row's own without words), ``class_size``:
     rows in it, and ``first``: true for one row of each class, of the smallest doc_id.
@@ -245,7 +245,7 @@ def classes(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY) ->
     frequency, n = document_frequency(docs)
     idf = inverse_frequency(frequency, n)
     # The row number comes back with the columns of the table that is written here.
-    signed = cut_lineage(signatures(rows.select(*dict.fromkeys(["doc_id", "text", *keep]), "_key", "_row"), idf))
+    signed = cut_lineage(signatures(rows.select(*dict.fromkeys(["doc_id", "text", *keep, "_key", "_row"])), idf))
     labels = components(links(signed, rows, idf, similarity))
     # Without words a row is on its own; with equal words it is at least with its copies.
     labels = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
