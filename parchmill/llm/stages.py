@@ -40,13 +40,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = cut_lineage(found).dropDuplicates(["_pm_doc"])
     key = suffix_dedup.document_key(docs["doc_id"], docs["text"])
     joined = docs.join(found, key == found["_pm_doc"], "left")
-    cut = F.col("_pm_spans").isNotNull()
-    text = F.when(cut, suffix_dedup.without_spans("text", "_pm_spans")).otherwise(F.col("text"))
-    changed = {"text": text}
+    spans = found["_pm_spans"]
+    text = F.when(spans.isNotNull(), suffix_dedup.without_spans(docs["text"], spans)).otherwise(docs["text"])
+    others = [docs[name] for name in docs.columns if name != "text"]
+    rows = joined.select(*others, text.alias("text"), spans.isNotNull().alias("_pm_cut"))
     if "n_chars" in docs.columns:
-        n_chars = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        changed["n_chars"] = n_chars
-    return joined.select(*(changed[name].alias(name) if name in changed else docs[name] for name in docs.columns))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(F.col("_pm_cut"), length).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def without_spans(text: str, spans: str) -> Column:
+def without_spans(text: Column, spans: Column) -> Column:
     """``text`` without the byte ranges of ``spans``."""
     data = F.encode(text, "UTF-8")
     count = F.size(spans)
