@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import bpe, mil_quality, suffix_dedup, toxicity_fm, warc, weighted_minhash
+from parchmill.llm import bpe, mil_quality, rp_forest, suffix_dedup, toxicity_fm, warc, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -90,3 +90,9 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trip(documents, *vocabulary()).drop("text")
+
+
+@query
+def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return rp_forest.neighbours(embeddings, F.col("id") % 50 == 0)
