@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees.
 
 The trees are fitted on a bounded sample of the distinct vectors: each node splits its sample
-at the median of the projection on the difference of two of its points. Every vector of the
+at the median of the projection on the difference of two of its points, of PAIRS such the one
+that spreads them most. Every vector of the
 table then gets its leaf in every tree. A query walks all trees through one priority queue,
-nearest cell first, until the leaves it has reached hold SEARCH rows; these are ranked
+nearest cell first (by the squared distances to the walls between), until the leaves it has reached hold SEARCH rows; these are ranked
 exactly, in double precision.
 
 Equal vectors are one entry with the few smallest ids that any answer can name, and equal
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 from parchmill.session import cut_lineage
 
 NEIGHBOURS = 5
-TREES = 10
+TREES = 12
 SAMPLE = 20_000
+PAIRS = 8  # directions tried for a split
 LEAF_SAMPLE = 6  # a node with no more than twice as many sampled points is not split
-LEAF_ROWS = 48  # vectors wanted in a leaf while the sample is fine enough
-SEARCH = 16_000  # rows of the leaves that a query reaches; a vector has a row in every tree
+LEAF_ROWS = 256  # vectors wanted in a leaf while the sample is fine enough
+SEARCH = 32_000  # rows of the leaves that a query reaches; a vector has a row in every tree
 BLOCK = 4_096  # vectors, and queries, of one leaf that meet in one group
 
 
@@ -61,7 +63,7 @@ class Forest:
 
     def search(self, vector: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
         """Leaves in order of nearness over all trees, until they hold ``wanted`` vectors."""
-        queue = [(-np.inf, root) for root in self.roots]
+        queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         reached, held = [], 0
         while queue and held < wanted:
@@ -73,7 +75,7 @@ class Forest:
             margin = float(vector @ self.directions[node] - self.thresholds[node])
             near, far = self.children[node, [int(margin > 0), int(margin <= 0)]].tolist()
             heapq.heappush(queue, (cost, near))
-            heapq.heappush(queue, (max(cost, abs(margin)), far))
+            heapq.heappush(queue, (cost + margin * margin, far))
         return reached
 
 
@@ -89,9 +91,12 @@ def plant(sample: np.ndarray, n_vectors: int, trees: int = TREES, seed: int = 0)
             points, parent, side = waiting.pop()
             node, halves = None, None
             if len(points) > most:
-                a, b = sample[rng.choice(points, 2, replace=False)].astype(np.float64)
-                direction = (a - b) / (np.linalg.norm(a - b) or 1.0)
-                reach = sample[points] @ direction
+                ends = sample[[rng.choice(points, 2, replace=False) for _ in range(PAIRS)]]
+                tried = ends[:, 0] - ends[:, 1]
+                tried /= np.maximum(np.linalg.norm(tried, axis=1, keepdims=True), 1e-300)
+                reaches = sample[points] @ tried.T
+                widest = int(reaches.var(axis=0).argmax())
+                direction, reach = tried[widest], reaches[:, widest]
                 threshold = float(np.median(reach))
                 far = reach > threshold
                 if far.any() and not far.all():
