@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from parchmill.llm.license_scan import TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op2_positional_index"] = r"""
@@ -52,6 +54,40 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM kept
 """
 
+_TEMPLATE_ROWS = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in TEMPLATES.items() for text in texts
+)
+
+ORACLES["op8_license_scan"] = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS t, license,
+         regexp_extract_all(lower(text), '[a-z0-9]+') AS w
+  FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, text)),
+tg AS (SELECT t, license, w[i] || ' ' || w[i + 1] AS gram, count(*) AS often
+       FROM (SELECT t, license, w, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL),
+tn AS (SELECT t, license, sum(often) AS n FROM tg GROUP BY ALL),
+parts AS (
+  SELECT r, doc_id, 'line' AS kind, unnest(x) AS text, unnest(range(0, len(x))) AS number
+  FROM (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS x FROM documents)
+  UNION ALL
+  SELECT r, doc_id, 'paragraph', unnest(x), unnest(range(0, len(x)))
+  FROM (SELECT row_number() OVER () AS r, doc_id,
+               regexp_split_to_array(text, '(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)') AS x FROM documents)),
+words AS (
+  SELECT r, doc_id, kind, number,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w
+  FROM parts WHERE kind = 'line' OR regexp_matches(text, '[^\r\n][\r\n]+[^\r\n]')),
+dg AS (SELECT r, doc_id, kind, number, w[i] || ' ' || w[i + 1] AS gram, count(*) AS often
+       FROM (SELECT r, doc_id, kind, number, w, unnest(range(1, len(w))) AS i FROM words) GROUP BY ALL),
+dn AS (SELECT r, doc_id, kind, number, sum(often) AS n FROM dg GROUP BY ALL),
+met AS (SELECT r, kind, number, t, sum(least(dg.often, tg.often)) AS common FROM dg JOIN tg USING (gram) GROUP BY ALL),
+scores AS (
+  SELECT dn.r, doc_id, kind, number, license, 2.0::DOUBLE * common / (dn.n + tn.n) AS dice
+  FROM met JOIN dn USING (r, kind, number) JOIN tn USING (t))
+SELECT doc_id, kind, number, license, dice FROM scores WHERE dice >= 0.75
+QUALIFY row_number() OVER (PARTITION BY r, kind, number ORDER BY dice DESC, license) = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import bpe, mil_quality, rp_forest, suffix_dedup, toxicity_fm, warc, weighted_minhash
+from parchmill.llm import bpe, license_scan, mil_quality, rp_forest, suffix_dedup, toxicity_fm, warc, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -86,6 +86,11 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.toxicity(documents, model)
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
