@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import bpe, license_scan, mil_quality, rp_forest, suffix_dedup, toxicity_fm, warc, weighted_minhash
+from parchmill.llm import bpe, html_text, license_scan, mil_quality, rp_forest, suffix_dedup, toxicity_fm, warc, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -40,6 +40,11 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = cut_lineage(index.build(table(spark, sf_dir, "documents", "doc_id", "text")))
