@@ -4,9 +4,11 @@
    column, one of IDF_COLUMNS, counted over all documents; a column starts near the mean, so a
    shingle of a large part of the corpus stands out at any corpus size.
 2. HASHES consistent samples of a text are cut into BANDS bands. Equal texts are one node.
-3. In each bucket of a band the members are compared with the bucket's head. Those that are not
-   similar enough are a bucket of their own in the next round, until none is left: no pairs
-   within a group are emitted and nothing is capped.
+3. In each bucket of a band the members are compared with the bucket's head, its member that
+   most others meet anywhere. Those that are not similar enough to it are compared with each
+   other where their samples promise it: AGREE of HASHES or more are equal, which a pair of
+   similarity 0.8 misses once in a thousand. That is looked up inside groups of bounded size; a
+   larger group is split by further bands first. A pair already connected needs no comparison.
 4. A comparison is the exact weighted Jaccard similarity of both whole texts.
 5. Classes are the connected components of the links, by label propagation and pointer jumps.
 
@@ -33,6 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 IDF_COLUMNS = 1 << 16
 HASHES, BANDS = 64, 16
+AGREE = 41  # equal samples of a pair that is worth a comparison
+GROUP = 1024  # members whose samples are compared with each other in one place
 DRAWS = 1 << 16  # prepared triples of random variables
 AT_ONCE = 2048  # shingles times HASHES in one step
 
@@ -121,23 +125,25 @@ def bands_of(drawn: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Append ``_bands`` (array of BANDS longs, null without words) and drop ``text``."""
+    """Append ``_bands`` (BANDS longs) and ``_samples`` (binary), null without words, and drop ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     kept = [field for field in docs.schema.fields if field.name != "text"]
     at = docs.columns.index("text")
 
-    def bands(data: np.ndarray) -> np.ndarray | None:
-        shingles, weights = weigh(data, shared.value)
-        return bands_of(samples(shingles, weights)).view(np.int64) if len(shingles) else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bands(data) for data in W.text_buffers(batch.column(at))]
+            bands, packed = [], []
+            for data in W.text_buffers(batch.column(at)):
+                shingles, weights = weigh(data, shared.value)
+                drawn = samples(shingles, weights) if len(shingles) else None
+                bands.append(None if drawn is None else bands_of(drawn).view(np.int64))
+                packed.append(None if drawn is None else drawn.astype("<u4").tobytes())
             rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            arrays = [*rest, pa.array(made, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), "_bands"])
+            arrays = [*rest, pa.array(bands, type=pa.list_(pa.int64())), pa.array(packed, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), "_bands", "_samples"])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("_bands", T.ArrayType(T.LongType()))]))
+    made = [T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_samples", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([*kept, *made]))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -175,42 +181,95 @@ def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "head long, member long, similarity double")
 
 
-def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """(head, member) text keys of similar texts, enough of them to connect every class.
-
-    ``signed`` has _key and _bands, ``docs`` _key and text.
+def _promising(group: pa.Table) -> pa.Table:
+    """Pairs of a group with AGREE equal samples, each in the first group that both are left in."""
+    group = group.combine_chunks()
+    keys = group["_key"].to_pylist()
+    bucket = group["bucket"][0].as_py()
+    left_in = [set(own) for own in group["left_in"].to_pylist()]
+    packed = np.frombuffer(b"".join(group["_samples"].to_pylist()), dtype="<u4").reshape(len(keys), HASHES)
+    out: dict[str, list] = {"head": [], "member": [], "agree": []}
+    for i in range(len(keys) - 1):
+        agree = (packed[i + 1 :] == packed[i]).sum(axis=1)
+        for j in (np.flatnonzero(agree >= AGREE) + i + 1).tolist():
+            if min(left_in[i] & left_in[j]) == bucket:
+                a, b = sorted((keys[i], keys[j]))
+                out["head"].append(a)
+                out["member"].append(b)
+                out["agree"].append(int(agree[j - i - 1]))
+    return pa.table(out, schema=pa.schema([("head", pa.int64()), ("member", pa.int64()), ("agree", pa.int32())]))
+
+
+def _bounded_groups(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, _key) of ``left`` (bucket, place, _key) in groups of at most GROUP members.
+
+    A larger group is split by each later band; members that agree in all bands are one group.
     """
-    order = F.struct(F.xxhash64(F.lit(5), "_key").alias("draw"), "_key")
-    nodes = signed.where("_bands IS NOT NULL").groupBy("_key").agg(F.first("_bands").alias("_bands"))
-    rows = nodes.select(F.explode("_bands").alias("bucket"), "_key")
-    heads = rows.groupBy("bucket").agg(F.min(order)["_key"].alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = cut_lineage(rows.join(heads.drop("n"), "bucket").withColumnRenamed("_key", "member"))
-    met = met.where("member <> head")
-    needed = met.select(F.col("member").alias("_key")).union(met.select(F.col("head").alias("_key"))).distinct()
-    texts = cut_lineage(docs.select("_key", "text").join(needed, "_key", "left_semi").dropDuplicates(["_key"]))
-    tried = None
-    found = []
+    bands = nodes.select("_key", F.posexplode("_bands").alias("next", "band"))
+    parts = []
     while True:
-        pairs = met.select("head", "member").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("head", "member"), ["head", "member"], "left_anti")
-        seen = cut_lineage(compare(pairs, texts, idf))
-        tried = seen if tried is None else tried.unionByName(seen)
-        found.append(seen.where(F.col("similarity") >= similarity).select("head", "member"))
-        # Who is not similar to the head looks for another among the others of that kind.
-        left = met.join(
-            tried.where(F.col("similarity") < similarity).select("head", "member"), ["head", "member"], "left_semi"
-        ).select("bucket", F.col("member").alias("_key"))
-        heads = left.groupBy("bucket").agg(F.min(order)["_key"].alias("head"), F.count("*").alias("n")).where("n > 1")
-        met = cut_lineage(left.join(heads.drop("n"), "bucket").withColumnRenamed("_key", "member").where("member <> head"))
-        if met.isEmpty():
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        sized = cut_lineage(left.join(sizes, "bucket"))
+        fits = (F.col("n") <= GROUP) | (F.col("place") == BANDS - 1)
+        parts.append(sized.where(fits).select("bucket", "_key"))
+        large = sized.where(~fits)
+        if large.isEmpty():
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        split = large.join(bands, "_key").where(F.col("next") > F.col("place"))
+        left = split.select(F.xxhash64("bucket", "band").alias("bucket"), F.col("next").alias("place"), "_key")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(head, member) text keys of similar texts, enough of them to connect every class.
+
+    ``signed`` has _key, _bands and _samples, ``docs`` _key and text.
+    """
+    nodes = signed.where("_bands IS NOT NULL").groupBy("_key").agg(
+        F.first("_bands").alias("_bands"), F.first("_samples").alias("_samples")
+    )
+    rows = nodes.select("_key", F.posexplode("_bands").alias("place", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut_lineage(rows.join(shared, "bucket"))
+    degrees = met.groupBy("_key").agg(F.sum("n").alias("degree"))
+    ranked = met.join(degrees, "_key").withColumn("order", F.struct(-F.col("degree"), "_key"))
+    heads = ranked.groupBy("bucket").agg(F.min("order")["_key"].alias("head"))
+    starred = cut_lineage(met.join(heads, "bucket").select("bucket", "place", F.col("_key").alias("member"), "head"))
+    starred = starred.where("member <> head")
+    texts = cut_lineage(
+        docs.select("_key", "text").join(met.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    )
+
+    def similar(seen: DataFrame) -> DataFrame:
+        return seen.where(F.col("similarity") >= similarity).select("head", "member")
+
+    seen = cut_lineage(compare(starred.select("head", "member").distinct(), texts, idf))
+    unlike = seen.where(F.col("similarity") < similarity).select("head", "member")
+    left = starred.join(unlike, ["head", "member"]).select("bucket", "place", F.col("member").alias("_key"))
+    groups = cut_lineage(_bounded_groups(left, nodes))
+    left_in = groups.groupBy("_key").agg(F.collect_set("bucket").alias("left_in"))
+    known = nodes.select("_key", "_samples").join(left_in, "_key")
+    hopes = groups.join(known, "_key").groupBy("bucket").applyInArrow(_promising, "head long, member long, agree int")
+    hopes = cut_lineage(hopes)
+    # The most promising pairs of each text first: they connect most of what is connected.
+    each = hopes.select(F.col("head").alias("_key"), F.struct("agree", "head", "member").alias("pair")).union(
+        hopes.select(F.col("member").alias("_key"), F.struct("agree", "head", "member").alias("pair"))
+    )
+    best = each.groupBy("_key").agg(F.max("pair").alias("pair")).select("pair.head", "pair.member").distinct()
+    first = cut_lineage(compare(best, texts, idf))
+    edges = similar(seen).unionByName(similar(first))
+    labels = components(edges)
+    rest = hopes.select("head", "member").join(first.select("head", "member"), ["head", "member"], "left_anti")
+    of = {side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")) for side in ("head", "member")}
+    apart = rest.join(of["head"], "head", "left").join(of["member"], "member", "left")
+    apart = apart.where(~F.col("head_label").eqNullSafe(F.col("member_label")) | F.col("head_label").isNull())
+    second = cut_lineage(compare(apart.select("head", "member"), texts, idf))
+    return edges.unionByName(similar(second))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the component of each node of ``edges`` (head, member)."""
     both = cut_lineage(
@@ -251,7 +310,7 @@ def classes(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY) ->
     labels = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
     lone = F.col("_bands").isNull()
     placed = (
-        signed.join(labels, F.col("_key") == F.col("_node"), "left")
+        signed.drop("_samples").join(labels, F.col("_key") == F.col("_node"), "left")
         .withColumn("_alone", F.when(lone, F.col("_row")))
         .withColumn("_class", F.when(~lone, F.coalesce("_label", "_key")))
     )
