@@ -84,10 +84,11 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def matches(docs: DataFrame) -> DataFrame:
     """Retained suffixes whose key an earlier document has, with the first holder's place."""
     every = suffixes(docs)
-    repeated = every.groupBy("key").count().where("count > 1").select("key")
+    # What is joined is written first: with an aggregate below it, a join on a hot key could not be split.
+    repeated = cut_lineage(every.groupBy("key").count().where("count > 1").select("key"))
     members = cut_lineage(every.join(repeated, "key"))
     order = F.struct("doc_id", "doc", "at")
-    first = members.groupBy("key").agg(F.min(order).alias("first"))
+    first = cut_lineage(members.groupBy("key").agg(F.min(order).alias("first")))
     return members.join(first, "key").where("doc <> first.doc").select(
         "doc",
         "at",
