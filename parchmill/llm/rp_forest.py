@@ -115,7 +115,7 @@ def plant(sample: np.ndarray, n_vectors: int, trees: int = TREES, seed: int = 0)
     width = sample.shape[1] if sample.ndim == 2 else 0
     return Forest(
         roots,
-        np.array(directions, dtype=np.float64).reshape(-1, width),
+        np.array(directions, dtype=np.float64).reshape(len(directions), width),
         np.array(thresholds),
         np.array(children, dtype=np.int64).reshape(-1, 2),
         n_leaves,
