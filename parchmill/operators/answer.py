@@ -46,7 +46,11 @@ def answer(
     found = F.coalesce(F.length("_a") >= S.MIN_ANSWER_CHARS, F.lit(False))
     work = work.withColumns({"_found": found, ok_col: found & F.col("_model_ok")})
     if from_model is not None:
+        # The fixed text of a failed model stays as it is and does not reach the translator.
+        failed = ~F.coalesce(F.col("_model_ok"), F.lit(False))
+        work = work.withColumns({"_raw": F.col("_a"), "_a": F.when(failed, F.lit("")).otherwise(F.col("_a"))})
         work = translate(work, from_model, "_a", "_a", "_a_ok", chunk_chars=None).drop("_a_ok")
+        work = work.withColumn("_a", F.when(failed, F.col("_raw")).otherwise(F.col("_a"))).drop("_raw")
     return work.withColumns(
         {
             out_col: F.when(F.col("_found"), F.col("_a")).otherwise(F.lit(S.ANSWER_NOT_FOUND)),

@@ -84,17 +84,28 @@ def count_ordered(hits: DataFrame, keys: list[str], pos: str, window_us: int, op
     return hits.mapInArrow(_counter(keys, pos, window_us, open_window, names), schema)
 
 
+def _exact(column: pa.Array) -> list[np.ndarray]:
+    """A key column as arrays that are equal where the keys are: null is a key of its own.
+
+    A nullable integer column with nulls would become floats, in which large keys meet.
+    """
+    if not column.null_count:
+        return [column.to_numpy(zero_copy_only=False)]
+    filled = column.fill_null(pa.scalar("" if pa.types.is_string(column.type) else 0, column.type))
+    return [filled.to_numpy(zero_copy_only=False), np.asarray(column.is_valid())]
+
+
 def _counter(
     keys: list[str], pos: str, window_us: int, open_window: bool, kept: list[str]
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The key at the end of the batch before, and its open window.
-        last_key, start, count = None, None, 0
+        # The key at the end of the batch before, as Arrow values, and its open window.
+        last_key, start, count = (), None, 0
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            columns = [part for k in keys for part in _exact(batch.column(k))]
             changes = np.zeros(n - 1, dtype=bool)
             for column in columns:
                 changes |= column[1:] != column[:-1]
@@ -108,7 +119,7 @@ def _counter(
             before: list[int] = []
             for k, lo in enumerate(key_starts):
                 hi = key_starts[k + 1] if k + 1 < len(key_starts) else n
-                key = tuple(column[lo] for column in columns)
+                key = tuple(batch.column(k)[lo].as_py() for k in keys)
                 if key != last_key:
                     start, count = None, 0
                     if open_window:

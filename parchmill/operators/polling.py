@@ -14,18 +14,25 @@ def deadline_ms(policy: S.PollPolicy) -> int:
     return looks_at * policy.interval_ms
 
 
-def outcome(latency_ms: Column, policy: S.PollPolicy, known: Column | None = None) -> tuple[Column, Column]:
+def outcome(
+    latency_ms: Column, policy: S.PollPolicy, known: Column | None = None, has_text: Column | None = None
+) -> tuple[Column, Column]:
     """(outcome, observed_ms) for a latency in whole milliseconds, NULL if no result came.
 
     A result is seen at the first look at or after it. A client that gives up on
-    unknown ids does so at its first look.
+    unknown ids does so at its first look. An empty result reads as an unknown id: such a
+    client gives up when it comes, another one looks on until its deadline.
     """
     step = policy.interval_ms
     done = F.coalesce(latency_ms <= deadline_ms(policy), F.lit(False))
     looks = F.call_function("div", latency_ms + (step - 1), F.lit(step))
     if policy.sleep_first:
         looks = F.greatest(looks, F.lit(1).cast("bigint"))
+    if has_text is not None and not policy.fails_on_unknown:
+        done = done & has_text
     state = F.when(done, F.lit("done")).otherwise(F.lit("timeout"))
+    if has_text is not None and policy.fails_on_unknown:
+        state = F.when(done & ~has_text, F.lit("not_found")).otherwise(state)
     observed = F.when(done, looks * step).otherwise(F.lit(policy.attempts * step).cast("bigint"))
     if known is not None and policy.fails_on_unknown:
         state = F.when(~known, F.lit("not_found")).otherwise(state)

@@ -35,11 +35,11 @@ def lookup_status(requests: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def build_cache(results: DataFrame) -> DataFrame:
-    """(content_sha, summary, done_us, event_id, ok) -> earliest good result per content.
+    """(content_sha, summary, done_us, event_id, ok) -> earliest good result per content. Empty is not good.
 
     One small group per distinct content; copies are combined before the shuffle.
     """
-    good = results.filter("ok")
+    good = results.filter("ok AND summary <> ''")
     return good.groupBy("content_sha").agg(
         F.min("done_us").alias("ready_us"), F.min_by("summary", F.struct("done_us", "event_id")).alias("summary")
     )

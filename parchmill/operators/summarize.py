@@ -128,7 +128,7 @@ def summarize(
     work = work.withColumns(
         {
             out_col: F.array_join(F.transform(in_text_order, lambda s: s["text"]), " "),
-            ok_col: F.size("_sents") > 0,
+            ok_col: F.coalesce(F.size("_sents") > 0, F.lit(False)),
         }
     )
     return work.drop("_sents", "_ranked", "_kept")

@@ -55,9 +55,17 @@ def translate(
 
 
 def _by_lexicon(df: DataFrame, lexicon: DataFrame, out_col: str, ok_col: str) -> DataFrame:
-    """Replace known words, keep everything else as it is."""
+    """Replace known words, keep everything else as it is.
+
+    A key is a lower-cased run of ``WORD_OR_GAP``, a word or what stands between two, whatever
+    the size of the lexicon. Entries without a source or a target are left out. A lexicon that
+    is too large for the plan is joined, which a stream cannot do.
+    """
+    lexicon = lexicon.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
     lexicon = lexicon.groupBy("src").agg(F.min("tgt").alias("tgt"))
     entries = lexicon.limit(INLINE_LEXICON_ROWS + 1).collect()
+    if len(entries) > INLINE_LEXICON_ROWS and df.isStreaming:
+        raise ValueError(f"a stream takes a lexicon of {INLINE_LEXICON_ROWS} entries at most")
     if len(entries) <= INLINE_LEXICON_ROWS:
         known = F.create_map(*[F.lit(x) for row in entries for x in (row["src"], row["tgt"])])
         work = df.withColumn("_pieces", _map_words(F.col("_pieces"), known) if entries else F.col("_pieces"))
@@ -94,7 +102,8 @@ def _join_lexicon(df: DataFrame, lexicon: DataFrame) -> DataFrame:
             F.array_distinct(
                 F.flatten(
                     F.transform(
-                        "_pieces", lambda p: F.regexp_extract_all(F.lower(p), F.lit(r"\p{L}+"), F.lit(0))
+                        "_pieces",
+                        lambda p: F.transform(F.regexp_extract_all(p, F.lit(tx.WORD_OR_GAP), F.lit(0)), F.lower),
                     )
                 )
             )

@@ -360,9 +360,9 @@ def web_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     waiting = routed.filter(F.col("route").isin("summarize_file", "summarize_text", "question"))
     latency = inputs.events(spark, sf_dir).select("event_id", "k", (F.col("latency_ms") % 60_000).alias("latency_ms"))
     seen = waiting.join(latency, "event_id")
-    outcome, _ = polling.outcome(F.col("latency_ms"), S.WEB_POLL)
-    error = polling.web_error(outcome)
     summary = F.when(F.col("k") % 9 != 0, bot.summary_of(F.col("event_id")))
+    outcome, _ = polling.outcome(F.col("latency_ms"), S.WEB_POLL, has_text=summary.isNotNull())
+    error = polling.web_error(outcome)
     return seen.select(
         "event_id", outcome.alias("outcome"), sessions.web_reply(summary, error, F.col("kind")).alias("shown")
     )

@@ -414,11 +414,12 @@ FROM seen"""
 SELECT event_id, segment, action, route, target, CASE WHEN kind = 'text' THEN typed END AS user_text FROM web"""
 
     sql["web_replies"] = f"""WITH {EV}, {WEB}
-SELECT event_id, CASE WHEN latency_ms % 60000 > 29000 THEN 'timeout' ELSE 'done' END AS outcome,
-  CASE WHEN latency_ms % 60000 > 29000 THEN
+SELECT event_id, CASE WHEN latency_ms % 60000 > 29000 THEN 'timeout' WHEN k % 9 = 0 THEN 'not_found' ELSE 'done' END
+    AS outcome,
+  CASE WHEN latency_ms % 60000 > 29000 OR k % 9 = 0 THEN
          CASE kind WHEN 'upload' THEN {_lit(S.WEB_FILE_FAILED)} WHEN 'continue' THEN {_lit(S.WEB_CONTINUE_FAILED)}
               ELSE {_lit(S.WEB_REQUEST_FAILED)} END
-       WHEN k % 9 <> 0 THEN 'summary ' || event_id ELSE {_lit(S.WEB_NO_SUMMARY)} END AS shown
+       ELSE 'summary ' || event_id END AS shown
 FROM web WHERE route IN ('summarize_file', 'summarize_text', 'question')"""
 
     sql["transcript"] = f"""WITH {TURNS}, s AS (

@@ -91,3 +91,24 @@ def test_answer_is_translated_both_ways(spark):
     back = Translator(lexicon=spark.createDataFrame([("cat", "кот")], "src string, tgt string"))
     df = spark.createDataFrame([("Это кот дома.", "Где кот")], "text string, question string")
     assert answer(df, to_model=there, from_model=back).first().answer == "Это кот дома."
+
+
+def test_lexicon_keys_do_not_depend_on_its_size(spark):
+    df = spark.createDataFrame([(1, "one, two 42 İx"), (2, None)], "i int, text string")
+    own = [(", ", "; "), ("one", "uno"), (" 42 ", " N "), ("i̇x", "Q"), (None, "void"), ("two", None)]
+    filler = [(f"filler{i}", "x") for i in range(INLINE_LEXICON_ROWS + 10)]
+    texts = []
+    for entries in (own, own + filler):
+        lexicon = spark.createDataFrame(entries, "src string, tgt string")
+        texts.append({r.i: r.translation for r in translate(df, Translator(lexicon=lexicon)).collect()})
+    assert texts[0] == texts[1] and texts[0][1] == "uno; two N Q"
+
+
+def test_the_text_of_a_failed_model_is_not_translated(spark):
+    df = spark.createDataFrame([(1, "a context", "why")], "i int, text string, question string")
+    row = answer(df, model=missing, from_model=Translator(model=shouting)).first()
+    assert (row.answer, row.ok) == (S.ANSWER_FAILED, False)
+
+
+def test_null_text_is_not_ok(spark):
+    assert summarize(spark.createDataFrame([(None,)], "text string")).first().ok is False

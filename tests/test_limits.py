@@ -103,3 +103,18 @@ def test_partitions_split_by_an_earlier_join_do_no_harm(spark):
     want = model(rows, 100)
     for result in (got, cut):
         assert {r.event_id: (r.window_start_us, r.n_in_window, r.limited) for r in result} == want
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_null_and_very_large_user_ids_are_users_of_their_own(spark, batch):
+    big = 2**60
+    users = [None, big, big + 1, None, big, big + 1, 2**53 + 1, 2**53]
+    rows = [(i, user, i * 1000) for i, user in enumerate(users * 3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = run(spark, rows, WINDOW_US)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = model([(i, -1 if user is None else user, ts) for i, user, ts in rows], WINDOW_US)
+    assert got == want

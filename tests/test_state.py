@@ -100,3 +100,13 @@ def test_unknown_ids_fail_at_once_for_the_page_only(spark):
     df = spark.createDataFrame([(None, False)], "lat bigint, known boolean")
     for policy, want in ((S.WEB_POLL, ("not_found", 0)), (S.BOT_ANSWER_POLL, ("timeout", 120_000))):
         assert tuple(df.select(*polling.outcome(F.col("lat"), policy, F.col("known"))).first()) == want
+
+
+def test_an_empty_result_is_no_result(spark):
+    df = spark.createDataFrame([(100, "x"), (100, ""), (10**9, "")], "latency bigint, text string")
+    for policy, want in ((S.WEB_POLL, ["done", "not_found", "timeout"]), (S.BOT_SUMMARY_POLL, ["done", "timeout", "timeout"])):
+        seen, _ = polling.outcome(F.col("latency"), policy, has_text=F.col("text") != "")
+        assert [r[0] for r in df.select(seen).collect()] == want
+    results = spark.createDataFrame([("a", "", 1, 1, True), ("a", "s", 2, 2, True), ("b", "", 1, 3, True)],
+                                    "content_sha string, summary string, done_us long, event_id long, ok boolean")
+    assert [tuple(r) for r in state.build_cache(results).select("content_sha", "summary").collect()] == [("a", "s")]
