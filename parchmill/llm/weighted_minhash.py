@@ -317,7 +317,8 @@ def classes(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY) ->
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row").alias("row")))
     # Rows of one text first, then texts of one class: a large class is summed up before it meets.
     of_class = placed.where(~lone).groupBy("_class").agg(smallest.alias("_first"), F.count("*").alias("_n"))
-    of_class = of_class.withColumnRenamed("_class", "_its_class")
+    # Written first, so that the join below can be split at a large class.
+    of_class = cut_lineage(of_class.withColumnRenamed("_class", "_its_class"))
     joined = placed.join(of_class, F.col("_class") == F.col("_its_class"), "left")
     return joined.select(
         *keep,
