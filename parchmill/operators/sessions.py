@@ -174,35 +174,36 @@ def web_reply(summary: Column, poll_error: Column, kind: Column) -> Column:
     return F.when(poll_error.isNotNull(), generic).when(present, summary).otherwise(F.lit(S.WEB_NO_SUMMARY))
 
 
+def _shown(messages: DataFrame) -> Column:
+    """The text of a message; a model message without one shows the fixed text."""
+    missing = (F.col("type") == "model") & (F.coalesce(F.col("text"), F.lit("")) == "")
+    return F.when(missing, F.lit(S.WEB_NO_SUMMARY)).otherwise(F.col("text"))
+
+
 def transcript(messages: DataFrame, slices: Slices | None = None) -> DataFrame:
-    """Numbered messages per conversation and segment.
+    """Numbered messages of the page's two lists, ``main`` and ``after``.
 
-    ``messages``: conv_id, turn, type, text, file_info. A file message opens a new
-    segment, and the list restarts. A model message without text shows the fixed one.
+    ``messages``: conv_id, turn, type, text, file_info, target (the list) and asks (a question
+    was announced here). The main list numbers on for ever (segment 0). A file and an
+    announced question empty the other list: it starts a new segment.
     """
-    opened = add_running(
-        messages,
-        ["conv_id"],
+    empties = F.coalesce((F.col("type") == "file") | F.col("asks"), F.lit(False)).cast("bigint")
+    opened = add_running(messages, ["conv_id"], ["turn"], {"emptied": Running("sum", empties)}, slices)
+    after = F.col("target") == "after"
+    segmented = opened.withColumn("segment", F.when(after, F.col("emptied") + empties).otherwise(F.lit(0).cast("bigint")))
+    numbered = add_running(
+        segmented,
+        ["conv_id", "target", "segment"],
         ["turn"],
-        {"files": Running("sum", (F.col("type") == "file").cast("bigint"))},
+        {"before": Running("sum", F.lit(1).cast("bigint"))},
         slices,
     )
-    segmented = opened.withColumn("segment", F.col("files") + (F.col("type") == "file").cast("bigint"))
-    numbered = add_running(
-        segmented, ["conv_id", "segment"], ["turn"], {"before": Running("sum", F.lit(1).cast("bigint"))}, slices
-    )
-    missing = (F.col("type") == "model") & (F.coalesce(F.col("text"), F.lit("")) == "")
-    return numbered.withColumns(
-        {
-            "seq": F.col("before") + 1,
-            "text": F.when(missing, F.lit(S.WEB_NO_SUMMARY)).otherwise(F.col("text")),
-        }
-    ).drop("files", "before")
+    return numbered.withColumns({"seq": F.col("before") + 1, "text": _shown(messages)}).drop("emptied", "before")
 
 
 def last_messages(messages: DataFrame) -> DataFrame:
-    """The newest message of every conversation, combined before the shuffle."""
-    newest = F.max_by(F.struct("turn", "type", "text"), "turn").alias("m")
+    """The newest message of every conversation as it is shown, combined before the shuffle."""
+    newest = F.max_by(F.struct("turn", "type", _shown(messages).alias("text")), "turn").alias("m")
     return messages.groupBy("conv_id").agg(newest, F.count(F.lit(1)).alias("n_messages")).select(
         "conv_id", "n_messages", "m.turn", "m.type", "m.text"
     )

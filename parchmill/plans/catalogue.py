@@ -375,6 +375,7 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(
         "conv_id",
         "turn",
+        "target",
         "segment",
         "seq",
         "type",

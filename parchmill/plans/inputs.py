@@ -143,7 +143,7 @@ def document_pages(spark: SparkSession, sf_dir: str, n_chars: int = 1000) -> Dat
 
 def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcripts; a system turn stands for an upload, and some model
-    replies are missing."""
+    replies are missing. Which list a message is in and where a question is announced is made up."""
     turns = table(spark, sf_dir, "conversations")
     role, text = F.col("role"), F.col("text")
     size = F.length(text).cast("bigint")
@@ -159,6 +159,8 @@ def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text)
         .alias("text"),
         info.alias("file_info"),
+        F.when((role != "system") & (F.col("turn") % 4 >= 2), "after").otherwise("main").alias("target"),
+        ((role == "assistant") & (size % 5 == 0)).alias("asks"),
     )
 
 

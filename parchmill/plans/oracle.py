@@ -150,9 +150,8 @@ TURNS = f"""turns AS (
          CASE WHEN role = 'system' THEN replace({_lit(S.WEB_UPLOADED)}, '{{}}', 'f' || conv_id || '.txt')
               WHEN role = 'assistant' AND (length(text) % 7 = 0 OR text = '') THEN {_lit(S.WEB_NO_SUMMARY)}
               ELSE text END AS shown,
-         CASE WHEN role = 'assistant' AND length(text) % 7 = 0 THEN NULL
-              WHEN role = 'system' THEN replace({_lit(S.WEB_UPLOADED)}, '{{}}', 'f' || conv_id || '.txt')
-              ELSE text END AS raw,
+         CASE WHEN role <> 'system' AND turn % 4 >= 2 THEN 'after' ELSE 'main' END AS target,
+         role = 'assistant' AND length(text) % 5 = 0 AS asks,
          CASE WHEN role = 'system' THEN 'f' || conv_id || '.txt' END AS file_name,
          CASE WHEN role = 'system' THEN CAST(length(text) AS BIGINT) END AS file_size
   FROM conversations)"""
@@ -423,15 +422,16 @@ SELECT event_id, CASE WHEN latency_ms % 60000 > 29000 THEN 'timeout' WHEN k % 9
 FROM web WHERE route IN ('summarize_file', 'summarize_text', 'question')"""
 
     sql["transcript"] = f"""WITH {TURNS}, s AS (
-  SELECT *, CAST(sum(CASE WHEN type = 'file' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT)
-    AS segment FROM turns)
-SELECT conv_id, turn, segment, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn) AS seq, type,
-       sha256(shown) AS text_sha, file_name, file_size FROM s"""
+  SELECT *, CASE WHEN target = 'main' THEN 0 ELSE
+           CAST(count(*) FILTER (type = 'file' OR asks) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) END AS segment
+  FROM turns)
+SELECT conv_id, turn, target, segment, row_number() OVER (PARTITION BY conv_id, target, segment ORDER BY turn) AS seq,
+       type, sha256(shown) AS text_sha, file_name, file_size FROM s"""
 
     sql["transcript_last"] = f"""WITH {TURNS}, s AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn,
          count(*) OVER (PARTITION BY conv_id) AS n_messages FROM turns)
-SELECT conv_id, n_messages, turn, type, sha256(raw) AS text_sha FROM s WHERE rn = 1"""
+SELECT conv_id, n_messages, turn, type, sha256(shown) AS text_sha FROM s WHERE rn = 1"""
 
     def polled(name: str, looks: str, shown: int, deadline: int) -> str:
         done = f"event_type <> 'error' AND latency_ms <= {deadline}"

@@ -136,10 +136,22 @@ def test_transcript_is_the_same_when_a_conversation_is_cut(spark, sf_dir):
     plain = sessions.transcript(messages)
     cut = find_slices(messages, "conv_id", "turn", hot_rows=5)
     assert cut.any_hot
-    names = ["conv_id", "turn", "segment", "seq", "type", "text"]
+    names = ["conv_id", "turn", "target", "segment", "seq", "type", "text"]
     assert sorted(sessions.transcript(messages, cut).select(*names).collect()) == sorted(plain.select(*names).collect())
 
 
+def test_only_the_second_list_restarts(spark):
+    rows = [
+        (1, "user", "main", False), (2, "file", "main", False), (3, "model", "after", False), (4, "user", "after", False),
+        (5, "model", "main", True), (6, "user", "after", False), (7, "file", "main", None), (8, "model", "after", False),
+    ]
+    df = spark.createDataFrame([(9, turn, kind, None, target, asks) for turn, kind, target, asks in rows],
+                               "conv_id long, turn long, type string, text string, target string, asks boolean")
+    got = {r.turn: (r.target, r.segment, r.seq) for r in sessions.transcript(df).collect()}
+    assert [got[t] for t in (1, 2, 5, 7)] == [("main", 0, n) for n in (1, 2, 3, 4)]
+    assert [got[t] for t in (3, 4, 6, 8)] == [("after", 1, 1), ("after", 1, 2), ("after", 2, 1), ("after", 3, 1)]
+
+
 def test_replies(spark):
     rows = [
         ("rate_limited", None, None),
