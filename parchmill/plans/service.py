@@ -1,4 +1,8 @@
-"""The request service on tables: submit, process, look up. One lazy plan in batch."""
+"""The request service on tables: submit, process, look up.
+
+Extracted texts are written once; states, frames and refusals are read from there, so a file
+is opened once whatever is made of it.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from parchmill.operators.answer import answer
 from parchmill.operators.backends import ModelFactory
 from parchmill.operators.summarize import summarize
 from parchmill.operators.translate import Translator
+from parchmill.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -35,8 +40,10 @@ class Submission:
 
 
 def submit_texts(requests: DataFrame, wire: str = "json") -> Submission:
-    """(request_id, text, ts)"""
-    return Submission(frames.processing_rows(requests), frames.summarize_frames(requests, wire))
+    """(request_id, text, ts). An empty text is a text; without one a request is refused."""
+    taken = requests.filter(F.col("text").isNotNull())
+    refused = requests.filter(F.col("text").isNull()).withColumn("error", F.lit(S.NO_TEXT))
+    return Submission(frames.processing_rows(taken), frames.summarize_frames(taken, wire), refused)
 
 
 def submit_files(
@@ -46,7 +53,7 @@ def submit_files(
     wire: str = "json",
 ) -> Submission:
     """(request_id, filename, content, ts)"""
-    texts = extract.extract_text(files, pdf_reader, ocr_reader)
+    texts = cut_lineage(extract.extract_text(files, pdf_reader, ocr_reader))
     taken = extract.accepted_requests(texts)
     return Submission(
         frames.processing_rows(taken), frames.summarize_frames(taken, wire), extract.rejected_requests(texts)
@@ -59,15 +66,25 @@ def submit_questions(
     pdf_reader: extract.PartReader | None = None,
     ocr_reader: extract.PartReader | None = None,
     wire: str = "json",
+    on: str = "filename",
 ) -> Submission:
-    """(filename, content) and (request_id, filename, question, ts). A file is read once,
-    however many questions it gets."""
+    """(filename, content) and (request_id, filename, question, ts), paired by ``on``.
+
+    A file is read once, however many questions it gets. File names need not be unique where
+    files come from several folders: pair such by a path or upload id that both sides have. Two
+    files under one key are refused with the questions about them, as is a question without a file.
+    """
     texts = extract.extract_text(files, pdf_reader, ocr_reader)
-    asked = frames.pair_questions(texts, questions, "filename")
+    if on != "filename":
+        questions = questions.drop("filename")
+    texts = cut_lineage(texts)
+    several = texts.groupBy(on).count().filter("count > 1").select(on)
+    asked = cut_lineage(frames.pair_questions(texts.join(several, on, "left_anti"), questions, on))
     taken = extract.accepted_requests(asked)
-    return Submission(
-        frames.processing_rows(taken), frames.question_frames(taken, wire), extract.rejected_requests(asked)
-    )
+    lost = questions.join(asked.select("request_id"), "request_id", "left_anti")
+    refused = extract.rejected_requests(asked).select("request_id", on, "error")
+    refused = refused.unionByName(lost.select("request_id", on, F.lit(S.NO_FILE).alias("error")))
+    return Submission(frames.processing_rows(taken), frames.question_frames(taken, wire), refused)
 
 
 def process(parsed: DataFrame, models: Models = Models()) -> DataFrame:

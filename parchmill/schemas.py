@@ -180,6 +180,8 @@ WEB_POLL = PollPolicy(attempts=30, interval_ms=1000, sleep_first=False, fails_on
 SUMMARY_FAILED = "Ошибка при суммаризации текста"
 ANSWER_FAILED = "Ошибка при обработке вопроса"
 ANSWER_NOT_FOUND = "Не удалось найти ответ на ваш вопрос в предоставленном контексте."
+NO_TEXT = "the request has no text"
+NO_FILE = "no file for this question"
 EXTRACT_FAILED = "Не удалось извлечь текст из файла"
 REPLY_LIMITED = "⏳ Вы превысили лимит: 5 запросов в минуту. Пожалуйста, подождите."
 REPLY_NO_FILE = "❌ Нет загруженного файла для вопросов."

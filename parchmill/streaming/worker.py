@@ -74,23 +74,34 @@ def run_gateway(
     checkpoint: str,
     wire: str = "json",
     trigger: dict | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Start the intake on a stream of submissions (request_id, text, question, ts).
 
-    A NULL question makes a summary request. Rows without text get no frame and no
-    state. The state is written before the frames, as a reader of the frames may
+    A NULL question makes a summary request, and any text will do for it. What has no text, and
+    a question to an empty one, gets no frame and no state, and goes to the folder ``rejects``
+    (request_id, error, ts; a folder per batch). The state is written before the frames, as a reader of the frames may
     answer at once.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        accepted = batch.filter(F.coalesce(F.col("text"), F.lit("")) != "").persist()
+        batch = batch.persist()
+        text, question = F.col("text"), F.col("question")
+        fits = text.isNotNull() & (question.isNull() | (text != ""))
+        accepted = batch.filter(fits)
         try:
+            if rejects is not None:
+                refused = batch.filter(~fits)
+                error = F.when(F.col("text").isNull(), S.NO_TEXT).otherwise(S.EXTRACT_FAILED)
+                refused.select("request_id", error.alias("error"), "ts").write.mode("overwrite").parquet(
+                    f"{rejects}/batch={batch_id}"
+                )
             results.write_batch(frames.processing_rows(accepted), state_path, batch_id, "gateway")
             summaries = frames.summarize_frames(accepted.filter(F.col("question").isNull()), wire)
             questions = frames.question_frames(accepted.filter(F.col("question").isNotNull()), wire)
             sink(summaries.unionByName(questions), batch_id)
         finally:
-            accepted.unpersist()
+            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(handle)

@@ -50,14 +50,18 @@ def test_gateway_and_worker(spark, tmp_path, wire):
         ("a", "First thing. Second thing.", None, None),
         ("b", "The cat sat. Dogs ran.", "who sat", None),
         ("c", "", None, None),
+        ("d", None, None, None),
+        ("e", "", "who", None),
     ]
     requests = spark.createDataFrame(rows, REQUEST).withColumn("ts", F.timestamp_seconds(F.lit(100)))
     path = {k: str(tmp_path / k) for k in ("in", "state", "topic", "dead", "cp1", "cp2")}
     write_parts(requests, "request_id", path["in"], 3)
 
-    worker.run_gateway(stream_of(spark, path["in"], requests.schema), path["state"], worker.folder_sink(path["topic"]), path["cp1"], wire).awaitTermination(120)
+    worker.run_gateway(stream_of(spark, path["in"], requests.schema), path["state"], worker.folder_sink(path["topic"]), path["cp1"], wire, rejects=str(tmp_path / "no")).awaitTermination(120)
     latest = results.read_latest(spark, path["state"])
-    assert {r.request_id: r.value for r in latest.collect()} == {"a": "processing", "b": "processing"}
+    assert {r.request_id: r.value for r in latest.collect()} == {"a": "processing", "b": "processing", "c": "processing"}
+    refused = spark.read.parquet(str(tmp_path / "no")).collect()
+    assert {r.request_id: r.error for r in refused} == {"d": S.NO_TEXT, "e": S.EXTRACT_FAILED}
 
     bad = spark.createDataFrame([("question", "z", b"no delimiter", 0, 1)], "topic string, key string, value binary, partition int, offset bigint")
     bad.withColumn("timestamp", F.timestamp_seconds(F.lit(0))).write.parquet(path["topic"] + "/batch=900")
@@ -76,7 +80,7 @@ def test_gateway_and_worker(spark, tmp_path, wire):
 
     results.compact(spark, path["state"], str(tmp_path / "compact"))
     compacted = results.read_state_log(spark, str(tmp_path / "compact"))
-    assert compacted.count() == 2
+    assert compacted.count() == 3
     assert sorted(compacted.select("request_id", "value").collect()) == sorted(
         results.read_latest(spark, path["state"]).select("request_id", "value").collect()
     )
@@ -201,6 +205,40 @@ def test_topic_folder(spark, tmp_path):
     assert sorted((r.topic, r.key, bytes(r.value)) for r in back.collect()) == [("question", "b", b"y"), ("summarize", "a", b"x")]
 
 
+def test_questions_meet_one_file_or_are_refused(spark):
+    from parchmill.plans import service
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def reader(content):
+        calls.add(1)
+        return [content.decode()]
+
+    files = spark.createDataFrame(
+        [("d1/x.txt", "x.txt", b"One."), ("d2/x.txt", "x.txt", b"Two."), ("y.pdf", "y.pdf", b"Three.")],
+        "path string, filename string, content binary",
+    )
+    asked = spark.createDataFrame(
+        [("q1", "d1/x.txt", "x.txt", "one"), ("q2", "d9/x.txt", "x.txt", "one"), ("q3", "y.pdf", "y.pdf", "three")],
+        "request_id string, path string, filename string, question string",
+    ).withColumn("ts", F.timestamp_seconds(F.lit(5)))
+    by_name = service.submit_questions(files, asked.drop("path"), pdf_reader=reader)
+    assert sorted(r.request_id for r in by_name.frames.withColumnRenamed("key", "request_id").collect()) == ["q3"]
+    assert sorted((r.request_id, r.error) for r in by_name.rejected.collect()) == [("q1", S.NO_FILE), ("q2", S.NO_FILE)]
+    assert calls.value == 1
+    by_path = service.submit_questions(files, asked, pdf_reader=reader, on="path")
+    assert sorted(r.key for r in by_path.frames.collect()) == ["q1", "q3"]
+    assert [r.request_id for r in by_path.rejected.collect()] == ["q2"]
+
+
+def test_texts_are_refused_only_if_there_is_none(spark):
+    from parchmill.plans import service
+
+    texts = spark.createDataFrame([("a", ""), ("b", None)], "request_id string, text string")
+    sent = service.submit_texts(texts.withColumn("ts", F.timestamp_seconds(F.lit(5))))
+    assert [r.key for r in sent.frames.collect()] == ["a"] and [r.request_id for r in sent.rejected.collect()] == ["b"]
+
+
 def test_service_in_one_batch_plan(spark):
     from parchmill.plans import service
 
