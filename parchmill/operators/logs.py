@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from parchmill.functions import text as tx
 
-# Line layout and the messages that mark a request's start and end.
+# Line layout and the messages that mark a request's submission, start and end.
 LINE = r"^(\S+ \S+) \| (\w+)\s*\| ([\w.]+):(\w+):(\d+) - (.*)$"
 SUMMARY_START = "Получено сообщение для суммаризации: ID="
 SUMMARY_END = "Суммаризация завершена: ID="
 QUESTION_START = "Получен вопрос: ID="
 QUESTION_END = "Ответ на вопрос подготовлен: ID="
+FILE_SENT = ("Файл ", " отправлен на суммаризацию, ID=")
+QUESTION_SENT = ("Вопрос к файлу ", " отправлен, ID=")
 BAD_FRAME = "Неверный формат сообщения для вопроса: "
 BROKER_DOWN = "Ошибка подключения к Kafka: "
 TEXT_LENGTH = "длина текста="
@@ -43,6 +45,10 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     ).drop("_raw", "_stamp", "_rest", "_head", "_place")
 
 
+def _sent(message: Column, parts: tuple[str, str]) -> Column:
+    return message.startswith(parts[0]) & message.contains(parts[1])
+
+
 def mark_requests(rows: DataFrame) -> DataFrame:
     """Parsed rows with event, request_id and n_chars, NULL where a message has none."""
     message = F.col("message")
@@ -51,6 +57,8 @@ def mark_requests(rows: DataFrame) -> DataFrame:
         .when(message.startswith(SUMMARY_END), F.lit("summary_end"))
         .when(message.startswith(QUESTION_START), F.lit("question_start"))
         .when(message.startswith(QUESTION_END), F.lit("question_end"))
+        .when(_sent(message, FILE_SENT), F.lit("summary_sent"))
+        .when(_sent(message, QUESTION_SENT), F.lit("question_sent"))
         .when(message.startswith(BAD_FRAME), F.lit("bad_frame"))
         .when(message.startswith(BROKER_DOWN), F.lit("broker_down"))
     )
@@ -61,7 +69,10 @@ def mark_requests(rows: DataFrame) -> DataFrame:
         rows,
         {
             "event": event,
-            "request_id": F.when(marks, F.regexp_extract(message, r"ID=([^,\s]+)", 1)),
+            # A submission names a file first, so its id is the last thing on the line.
+            "request_id": F.when(marks, F.regexp_extract(message, r"ID=([^,\s]+)", 1)).when(
+                event.endswith("_sent"), F.substring_index(message, "ID=", -1)
+            ),
             "n_chars": F.when(marks, F.nullif(length, F.lit("")).cast("int")),
         },
     )
@@ -71,7 +82,7 @@ def latencies(rows: DataFrame) -> DataFrame:
     """Start and end lines paired by request id: one conditional aggregation, no join."""
     at = F.unix_millis("ts")
     is_start = F.col("event").endswith("_start")
-    marked = rows.filter(F.col("request_id").isNotNull())
+    marked = rows.filter(F.col("request_id").isNotNull() & ~F.col("event").endswith("_sent"))
     # Numbers only, so that the aggregation hashes instead of sorting its input.
     paired = marked.groupBy("request_id").agg(
         F.max(F.col("event").startswith("question")).alias("_asked"),
@@ -89,6 +100,27 @@ def latencies(rows: DataFrame) -> DataFrame:
     )
 
 
+def queue_waits(rows: DataFrame) -> DataFrame:
+    """How long a request lay between its submission and the start of the work on it.
+
+    A request without both lines is left out; of repeated lines the first submission and the
+    first start count.
+    """
+    at = F.unix_millis("ts")
+    sent = F.col("event").endswith("_sent")
+    marked = rows.filter(sent | F.col("event").endswith("_start"))
+    paired = marked.groupBy("request_id").agg(
+        F.max(F.col("event").startswith("question")).alias("_asked"),
+        F.min(F.when(sent, at)).alias("sent_ms"),
+        F.min(F.when(~sent, at)).alias("start_ms"),
+    )
+    return paired.filter("sent_ms is not null and start_ms is not null").select(
+        "request_id",
+        F.when(F.col("_asked"), "question").otherwise("summary").alias("service"),
+        (F.col("start_ms") - F.col("sent_ms")).alias("wait_ms"),
+    )
+
+
 def level_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("level", "func").agg(F.count(F.lit(1)).alias("n_lines"))
 

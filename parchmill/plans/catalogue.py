@@ -438,6 +438,12 @@ def log_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.select("request_id", "service", "latency_ms", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
+@query
+def log_queue_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.log_lines(spark, sf_dir).unionByName(inputs.gateway_lines(spark, sf_dir))
+    return logs.queue_waits(logs.mark_requests(logs.parse_lines(lines)))
+
+
 @query
 def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.latency_stats(logs.latencies(_log_rows(spark, sf_dir)))

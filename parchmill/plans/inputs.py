@@ -204,6 +204,20 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.explode(F.array_compact(F.array(first, second))).alias("value"))
 
 
+def gateway_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submission lines (event_id, value) of the requests in ``log_lines``, some milliseconds earlier."""
+    ev = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click", "signup"))
+    sent_us = F.col("ts_us") - (F.col("k") + 1) * 7000
+    asked = F.col("event_type") == "signup"
+
+    def message(parts: tuple[str, str]) -> Column:
+        name = F.concat(F.lit("ID=x "), F.col("k").cast("string"), F.lit(".txt"))
+        return F.concat(F.lit(parts[0]), name, F.lit(parts[1]), F.md5(F.col("event_id").cast("string")))
+
+    text = F.when(asked, message(logs.QUESTION_SENT)).otherwise(message(logs.FILE_SENT))
+    return ev.select("event_id", _log_line(sent_us, "INFO", "intake:9", text).alias("value"))
+
+
 # A small function-word lexicon for the word-by-word translator.
 LEXICON = {
     "the": "этот", "and": "и", "of": "из", "in": "в", "is": "есть", "was": "был", "that": "что", "on": "на",

@@ -464,6 +464,11 @@ SELECT event_id, ts_ms, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS lo
 
     sql["log_latency"] = f"WITH {EV}, {_log_rows()} SELECT request_id, service, latency_ms, n_chars FROM paired"
 
+    sql["log_queue_wait"] = f"""WITH {EV}
+SELECT md5(CAST(event_id AS VARCHAR)) AS request_id,
+       CASE event_type WHEN 'signup' THEN 'question' ELSE 'summary' END AS service, CAST(7 * (k + 1) AS BIGINT) AS wait_ms
+FROM ev WHERE event_type IN ('view', 'click', 'signup')"""
+
     sql["log_metrics"] = f"""WITH {EV}, {_log_rows()}, r AS (
   SELECT *, row_number() OVER (PARTITION BY service ORDER BY latency_ms) AS rn,
          count(*) OVER (PARTITION BY service) AS n FROM paired)
