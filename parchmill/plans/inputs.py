@@ -182,24 +182,24 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = (
         F.when(
             is_text,
-            _log_line(start, "INFO", "main:254", F.concat(F.lit(logs.SUMMARY_START), rid, F.lit(", " + logs.TEXT_LENGTH), k)),
+            _log_line(start, "INFO", "main:11", F.concat(F.lit(logs.SUMMARY_START), rid, F.lit(", " + logs.TEXT_LENGTH), k)),
         )
         .when(
             kind == "signup",
             _log_line(
                 start,
                 "INFO",
-                "main:267",
+                "main:13",
                 F.concat(
                     F.lit(logs.QUESTION_START), rid, F.lit(", вопрос=q, "), k, F.lit("?, " + logs.CONTEXT_LENGTH), k
                 ),
             ),
         )
-        .when(kind == "error", _log_line(start, "ERROR", "main:274", F.concat(F.lit(logs.BAD_FRAME), k)))
-        .otherwise(_log_line(start, "ERROR", "main:242", F.lit(logs.BROKER_DOWN + "NoBrokersAvailable")))
+        .when(kind == "error", _log_line(start, "ERROR", "main:15", F.concat(F.lit(logs.BAD_FRAME), k)))
+        .otherwise(_log_line(start, "ERROR", "main:16", F.lit(logs.BROKER_DOWN + "NoBrokersAvailable")))
     )
-    second = F.when(is_text, _log_line(end, "INFO", "main:259", F.concat(F.lit(logs.SUMMARY_END), rid))).when(
-        kind == "signup", _log_line(end, "INFO", "main:272", F.concat(F.lit(logs.QUESTION_END), rid))
+    second = F.when(is_text, _log_line(end, "INFO", "main:12", F.concat(F.lit(logs.SUMMARY_END), rid))).when(
+        kind == "signup", _log_line(end, "INFO", "main:14", F.concat(F.lit(logs.QUESTION_END), rid))
     )
     return ev.select("event_id", F.explode(F.array_compact(F.array(first, second))).alias("value"))
 

@@ -223,26 +223,26 @@ def _log_rows() -> str:
 
     rid = "md5(CAST(event_id AS VARCHAR))"
     return f"""lrow AS (
-  SELECT event_id, ts_us // 1000 AS ts_ms, 'INFO' AS level, 254 AS line, 'summary_start' AS event, {rid} AS request_id,
+  SELECT event_id, ts_us // 1000 AS ts_ms, 'INFO' AS level, 11 AS line, 'summary_start' AS event, {rid} AS request_id,
          k AS n_chars, {msg(_lit(logs.SUMMARY_START), rid, _lit(", " + logs.TEXT_LENGTH), "k")} AS message
   FROM ev WHERE event_type IN ('view', 'click')
   UNION ALL
-  SELECT event_id, (ts_us + latency_ms * 1000) // 1000, 'INFO', 259, 'summary_end', {rid}, NULL,
+  SELECT event_id, (ts_us + latency_ms * 1000) // 1000, 'INFO', 12, 'summary_end', {rid}, NULL,
          {msg(_lit(logs.SUMMARY_END), rid)}
   FROM ev WHERE event_type IN ('view', 'click')
   UNION ALL
-  SELECT event_id, ts_us // 1000, 'INFO', 267, 'question_start', {rid}, k,
+  SELECT event_id, ts_us // 1000, 'INFO', 13, 'question_start', {rid}, k,
          {msg(_lit(logs.QUESTION_START), rid, "', вопрос=q, '", "k", _lit("?, " + logs.CONTEXT_LENGTH), "k")}
   FROM ev WHERE event_type = 'signup'
   UNION ALL
-  SELECT event_id, (ts_us + latency_ms * 1000) // 1000, 'INFO', 272, 'question_end', {rid}, NULL,
+  SELECT event_id, (ts_us + latency_ms * 1000) // 1000, 'INFO', 14, 'question_end', {rid}, NULL,
          {msg(_lit(logs.QUESTION_END), rid)}
   FROM ev WHERE event_type = 'signup'
   UNION ALL
-  SELECT event_id, ts_us // 1000, 'ERROR', 274, 'bad_frame', NULL, NULL, {msg(_lit(logs.BAD_FRAME), "k")}
+  SELECT event_id, ts_us // 1000, 'ERROR', 15, 'bad_frame', NULL, NULL, {msg(_lit(logs.BAD_FRAME), "k")}
   FROM ev WHERE event_type = 'error'
   UNION ALL
-  SELECT event_id, ts_us // 1000, 'ERROR', 242, 'broker_down', NULL, NULL,
+  SELECT event_id, ts_us // 1000, 'ERROR', 16, 'broker_down', NULL, NULL,
          {_lit(logs.BROKER_DOWN + "NoBrokersAvailable")}
   FROM ev WHERE event_type = 'purchase'),
 paired AS (
