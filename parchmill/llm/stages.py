@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parchmill.llm import bpe, mil_quality, suffix_dedup, weighted_minhash
 from parchmill.llm import positional_index as index
+from parchmill.llm.joins import broadcast_if_small
 from parchmill.llm.queries import table, vocabulary
 from parchmill.llm.sampling import scored
 from parchmill.session import cut_lineage
@@ -27,7 +28,7 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that of the smallest doc_id; documents without words stay."""
     placed = weighted_minhash.classes(docs.select("doc_id", "text"), ["_row"])
-    others = placed.where(~F.col("first")).select(F.col("_row").alias("_pm_other"))
+    others = broadcast_if_small(cut_lineage(placed.where(~F.col("first")).select(F.col("_row").alias("_pm_other"))))
     rows = docs.withColumn("_pm_row", F.monotonically_increasing_id())
     return rows.join(others, F.col("_pm_row") == F.col("_pm_other"), "left_anti").drop("_pm_row")
 
@@ -37,7 +38,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     own = docs.select("doc_id", "text").withColumn("doc", suffix_dedup.document_key(F.col("doc_id"), F.col("text")))
     found = suffix_dedup.repeats(own).select(F.col("doc").alias("_pm_doc"), F.col("spans").alias("_pm_spans"))
     # Rows equal in doc_id and text have equal spans.
-    found = cut_lineage(found).dropDuplicates(["_pm_doc"])
+    found = cut_lineage(cut_lineage(found).dropDuplicates(["_pm_doc"]))
+    n_values = found.agg(F.sum(5 * F.size("_pm_spans") + 1)).first()[0] or 0
+    found = broadcast_if_small(found, values=n_values)
     key = suffix_dedup.document_key(docs["doc_id"], docs["text"])
     joined = docs.join(found, key == found["_pm_doc"], "left")
     spans = found["_pm_spans"]
@@ -55,6 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     segments = cut_lineage(index.build(docs.select(F.xxhash64("text").alias("doc_id"), "text")))
     found = index.contamination(index.search(segments, table(spark, sf_dir, "benchmark", "item_id", "text")))
     bad = found.where("contaminated").select(F.col("id").alias("_pm_text")).distinct()
+    bad = broadcast_if_small(cut_lineage(bad))
     return docs.join(bad, F.xxhash64(docs["text"]) == bad["_pm_text"], "left_anti")
 
 

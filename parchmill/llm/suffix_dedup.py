@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from parchmill.llm import words as W
+from parchmill.llm.joins import broadcast_if_small
 from parchmill.session import cut_lineage
 
 MIN_WORDS = 50
@@ -86,7 +87,7 @@ def matches(docs: DataFrame) -> DataFrame:
     every = suffixes(docs)
     # What is joined is written first: with an aggregate below it, a join on a hot key could not be split.
     repeated = cut_lineage(every.groupBy("key").count().where("count > 1").select("key"))
-    members = cut_lineage(every.join(repeated, "key"))
+    members = cut_lineage(every.join(broadcast_if_small(repeated), "key"))
     order = F.struct("doc_id", "doc", "at")
     first = cut_lineage(members.groupBy("key").agg(F.min(order).alias("first")))
     return members.join(first, "key").where("doc <> first.doc").select(
@@ -107,10 +108,11 @@ def _words(hashes: np.ndarray) -> np.ndarray:
 
 def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """The REACH words before and behind the key of wanted suffixes (first_doc, first_at), nearest first."""
-    asked = wanted.distinct().groupBy("first_doc").agg(F.collect_list("first_at").alias("places"))
+    asked = cut_lineage(wanted.distinct().groupBy("first_doc").agg(F.collect_list("first_at").alias("places")))
+    n_places = asked.agg(F.sum(F.size("places") + 1)).first()[0] or 0
     texts = docs.select(F.col("doc").alias("first_doc"), "text")
     # Rows that agree in everything are one document: any of them will do.
-    rows = texts.join(asked, "first_doc").select("first_doc", "text", "places")
+    rows = texts.join(broadcast_if_small(asked, values=n_places), "first_doc").select("first_doc", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +194,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     ])
     schema = T.StructType([id_field, docs.schema["doc"], T.StructField("spans", T.ArrayType(span))])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
-    rows = docs.select("doc", "doc_id", "text").join(chains.join(extended, "doc"), "doc")
+    chained = cut_lineage(chains.join(extended, "doc"))
+    n_values = chained.agg(F.sum(4 * F.size("chain") + (2 * REACH + 3) * F.size("ends"))).first()[0] or 0
+    rows = docs.select("doc", "doc_id", "text").join(broadcast_if_small(chained, values=n_values), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmill.llm import words as W
+from parchmill.llm.joins import broadcast_if_small
 from parchmill.session import cut_lineage
 
 SHINGLE = 5
@@ -239,9 +240,8 @@ def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
     heads = ranked.groupBy("bucket").agg(F.min("order")["_key"].alias("head"))
     starred = cut_lineage(met.join(heads, "bucket").select("bucket", "place", F.col("_key").alias("member"), "head"))
     starred = starred.where("member <> head")
-    texts = cut_lineage(
-        docs.select("_key", "text").join(met.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
-    )
+    needed = broadcast_if_small(cut_lineage(met.select("_key").distinct()))
+    texts = cut_lineage(docs.select("_key", "text").join(needed, "_key", "left_semi").dropDuplicates(["_key"]))
 
     def similar(seen: DataFrame) -> DataFrame:
         return seen.where(F.col("similarity") >= similarity).select("head", "member")
