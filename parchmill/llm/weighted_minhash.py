@@ -5,10 +5,13 @@
    shingle of a large part of the corpus stands out at any corpus size.
 2. HASHES consistent samples of a text are cut into BANDS bands. Equal texts are one node.
 3. In each bucket of a band the members are compared with the bucket's head, its member that
-   most others meet anywhere. Those that are not similar enough to it are compared with each
-   other where their samples promise it: AGREE of HASHES or more are equal, which a pair of
-   similarity 0.8 misses once in a thousand. That is looked up inside groups of bounded size; a
-   larger group is split by further bands first. A pair already connected needs no comparison.
+   most others meet anywhere. In a bucket that this leaves in several components all members are
+   compared with each other where their samples promise it: AGREE of HASHES or more are equal,
+   which a pair of similarity 0.8 misses once in a thousand. That is looked up inside groups of
+   bounded size. The members of a larger bucket are grouped anew by their PREFIX rarest samples,
+   of which a pair with AGREE equal ones shares one at least; what is still larger is dealt into
+   blocks, and each two blocks meet. Pairs come in rounds, the most promising of each text first,
+   and the last round has all that are still in different components.
 4. A comparison is the exact weighted Jaccard similarity of both whole texts.
 5. Classes are the connected components of the links, by label propagation and pointer jumps.
 
@@ -20,7 +23,7 @@ repeated rows are in one class.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,9 @@ SIMILARITY = 0.8
 IDF_COLUMNS = 1 << 16
 HASHES, BANDS = 64, 16
 AGREE = 41  # equal samples of a pair that is worth a comparison
+PREFIX = HASHES - AGREE + 1  # rarest samples of a text, one of which every such pair shares
 GROUP = 1024  # members whose samples are compared with each other in one place
+ROUNDS = (1, 8, 64, 0)  # pairs that a text brings to a round from a group; 0: all
 DRAWS = 1 << 16  # prepared triples of random variables
 AT_ONCE = 2048  # shingles times HASHES in one step
 
@@ -182,46 +187,91 @@ def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "head long, member long, similarity double")
 
 
-def _promising(group: pa.Table) -> pa.Table:
-    """Pairs of a group with AGREE equal samples, each in the first group that both are left in."""
-    group = group.combine_chunks()
-    keys = group["_key"].to_pylist()
-    bucket = group["bucket"][0].as_py()
-    left_in = [set(own) for own in group["left_in"].to_pylist()]
-    packed = np.frombuffer(b"".join(group["_samples"].to_pylist()), dtype="<u4").reshape(len(keys), HASHES)
-    out: dict[str, list] = {"head": [], "member": [], "agree": []}
-    for i in range(len(keys) - 1):
-        agree = (packed[i + 1 :] == packed[i]).sum(axis=1)
-        for j in (np.flatnonzero(agree >= AGREE) + i + 1).tolist():
-            if min(left_in[i] & left_in[j]) == bucket:
-                a, b = sorted((keys[i], keys[j]))
-                out["head"].append(a)
-                out["member"].append(b)
-                out["agree"].append(int(agree[j - i - 1]))
-    return pa.table(out, schema=pa.schema([("head", pa.int64()), ("member", pa.int64()), ("agree", pa.int32())]))
-
-
-def _bounded_groups(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bucket, _key) of ``left`` (bucket, place, _key) in groups of at most GROUP members.
-
-    A larger group is split by each later band; members that agree in all bands are one group.
-    """
-    bands = nodes.select("_key", F.posexplode("_bands").alias("next", "band"))
-    parts = []
-    while True:
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        sized = cut_lineage(left.join(sizes, "bucket"))
-        fits = (F.col("n") <= GROUP) | (F.col("place") == BANDS - 1)
-        parts.append(sized.where(fits).select("bucket", "_key"))
-        large = sized.where(~fits)
-        if large.isEmpty():
-            break
-        split = large.join(bands, "_key").where(F.col("next") > F.col("place"))
-        left = split.select(F.xxhash64("bucket", "band").alias("bucket"), F.col("next").alias("place"), "_key")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _promising(most: int) -> Callable[[pa.Table], pa.Table]:
+    """For a group: pairs of different components with AGREE equal samples, the ``most`` best of
+    each text (0: all), and whether the text has more of them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("_key")
+        keys, labels = group["_key"].to_numpy(), group["label"].to_numpy()
+        blocks, across = group["block"].to_numpy(), group["low"][0].as_py() != group["high"][0].as_py()
+        packed = np.frombuffer(b"".join(group["_samples"].to_pylist()), dtype="<u4").reshape(len(keys), HASHES)
+        names, sizes = np.unique(labels, return_counts=True)
+        # The pairs of the largest component are brought by their other sides.
+        own = np.flatnonzero(labels != names[sizes.argmax()])
+        out: list[list[np.ndarray]] = [[], [], []]
+        for i in own.tolist():
+            agree = (packed == packed[i]).sum(axis=1)
+            fits = (agree >= AGREE) & (labels != labels[i])
+            if across:
+                fits &= blocks != blocks[i]
+            found = np.flatnonzero(fits)
+            more = 0 < most < len(found)
+            if more:
+                found = found[np.argsort(-agree[found], kind="stable")[:most]]
+            out[0].append(np.minimum(keys[found], keys[i]))
+            out[1].append(np.maximum(keys[found], keys[i]))
+            out[2].append(np.full(len(found), more))
+        kinds = (("head", np.int64), ("member", np.int64), ("more", np.bool_))
+        return pa.table({
+            name: np.concatenate(part or [np.zeros(0)]).astype(kind) for (name, kind), part in zip(kinds, out, strict=True)
+        })
+
+    return run
+
+
+def _rarest(wide: DataFrame) -> DataFrame:
+    """(bucket, _key): groups by the PREFIX rarest samples of each text of ``wide`` (_key, _samples)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(HASHES, dtype=np.int64) << 32
+        for batch in batches:
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").reshape(-1, HASHES)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(packed)), HASHES))), pa.array((packed + place).ravel())],
+                ["_key", "sample"],
+            )
+
+    drawn = cut_lineage(wide.select("_key", "_samples").mapInArrow(run, "_key long, sample long"))
+    # Written first, so that the join can be split at a sample that very many texts have.
+    counts = cut_lineage(drawn.groupBy("sample").agg(F.count("*").alias("n")))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "sample")))
+    rare = drawn.join(counts, "sample").groupBy("_key").agg(F.slice(ordered, 1, PREFIX).alias("rare"))
+    return rare.select(F.explode("rare").alias("at"), "_key").where("at.n > 1").select(
+        F.xxhash64("at.sample").alias("bucket"), "_key"
+    )
+
+
+def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups (bucket, _key) with texts of several components, with label and group size n."""
+    own = groups.join(labels.select(F.col("node").alias("_key"), "label"), "_key", "left")
+    own = cut_lineage(own.withColumn("label", F.coalesce("label", "_key")))
+    sizes = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("last"), F.count("*").alias("n"))
+    return own.join(cut_lineage(sizes.where("least <> last").select("bucket", "n")), "bucket")
+
+
+def _hopes(groups: DataFrame, nodes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(head, member, more): promising pairs of different components, see ``_promising``."""
+    dealt = _mixed(groups, labels).withColumn("blocks", F.when(F.col("n") > GROUP, F.ceil(F.col("n") * 2 / GROUP)).otherwise(1))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "_key"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    dealt = dealt.withColumn("other", other).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_key", "label"
+    )
+    met = cut_lineage(dealt).join(nodes.select("_key", "_samples"), "_key")
+    pairs = met.groupBy("bucket", "low", "high").applyInArrow(_promising(most), "head long, member long, more boolean")
+    return cut_lineage(pairs.groupBy("head", "member").agg(F.max("more").alias("more")))
+
+
+def _groups(met: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, _key): groups in which every promising pair of a bucket of ``met`` meets."""
+    mixed = cut_lineage(_mixed(met.select("bucket", "_key"), labels))
+    groups = mixed.where(F.col("n") <= GROUP).select("bucket", "_key")
+    large = mixed.where(F.col("n") > GROUP)
+    if large.isEmpty():
+        return groups
+    wide = nodes.join(large.select("_key").distinct(), "_key", "left_semi")
+    return cut_lineage(groups.unionByName(_rarest(wide)))
 
 
 def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,13 +282,13 @@ def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
     nodes = signed.where("_bands IS NOT NULL").groupBy("_key").agg(
         F.first("_bands").alias("_bands"), F.first("_samples").alias("_samples")
     )
-    rows = nodes.select("_key", F.posexplode("_bands").alias("place", "bucket"))
+    rows = nodes.select("_key", F.explode("_bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = cut_lineage(rows.join(shared, "bucket"))
     degrees = met.groupBy("_key").agg(F.sum("n").alias("degree"))
     ranked = met.join(degrees, "_key").withColumn("order", F.struct(-F.col("degree"), "_key"))
     heads = ranked.groupBy("bucket").agg(F.min("order")["_key"].alias("head"))
-    starred = cut_lineage(met.join(heads, "bucket").select("bucket", "place", F.col("_key").alias("member"), "head"))
+    starred = cut_lineage(met.join(heads, "bucket").select("bucket", F.col("_key").alias("member"), "head"))
     starred = starred.where("member <> head")
     needed = broadcast_if_small(cut_lineage(met.select("_key").distinct()))
     texts = cut_lineage(docs.select("_key", "text").join(needed, "_key", "left_semi").dropDuplicates(["_key"]))
@@ -247,27 +297,20 @@ def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
         return seen.where(F.col("similarity") >= similarity).select("head", "member")
 
     seen = cut_lineage(compare(starred.select("head", "member").distinct(), texts, idf))
-    unlike = seen.where(F.col("similarity") < similarity).select("head", "member")
-    left = starred.join(unlike, ["head", "member"]).select("bucket", "place", F.col("member").alias("_key"))
-    groups = cut_lineage(_bounded_groups(left, nodes))
-    left_in = groups.groupBy("_key").agg(F.collect_set("bucket").alias("left_in"))
-    known = nodes.select("_key", "_samples").join(left_in, "_key")
-    hopes = groups.join(known, "_key").groupBy("bucket").applyInArrow(_promising, "head long, member long, agree int")
-    hopes = cut_lineage(hopes)
-    # The most promising pairs of each text first: they connect most of what is connected.
-    each = hopes.select(F.col("head").alias("_key"), F.struct("agree", "head", "member").alias("pair")).union(
-        hopes.select(F.col("member").alias("_key"), F.struct("agree", "head", "member").alias("pair"))
-    )
-    best = each.groupBy("_key").agg(F.max("pair").alias("pair")).select("pair.head", "pair.member").distinct()
-    first = cut_lineage(compare(best, texts, idf))
-    edges = similar(seen).unionByName(similar(first))
+    edges, tried = similar(seen), seen.select("head", "member")
     labels = components(edges)
-    rest = hopes.select("head", "member").join(first.select("head", "member"), ["head", "member"], "left_anti")
-    of = {side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")) for side in ("head", "member")}
-    apart = rest.join(of["head"], "head", "left").join(of["member"], "member", "left")
-    apart = apart.where(~F.col("head_label").eqNullSafe(F.col("member_label")) | F.col("head_label").isNull())
-    second = cut_lineage(compare(apart.select("head", "member"), texts, idf))
-    return edges.unionByName(similar(second))
+    groups = _groups(met, nodes, labels)
+    for most in ROUNDS:
+        hopes = _hopes(groups, nodes, labels, most)
+        # A bucket's head may be on either side.
+        known = tried.unionByName(tried.select(F.col("member").alias("head"), F.col("head").alias("member")))
+        fresh = hopes.select("head", "member").join(known, ["head", "member"], "left_anti")
+        found = cut_lineage(compare(fresh, texts, idf))
+        edges, tried = edges.unionByName(similar(found)), tried.unionByName(found.select("head", "member"))
+        if hopes.where("more").isEmpty():
+            break
+        labels = components(edges)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:

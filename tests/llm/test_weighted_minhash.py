@@ -68,3 +68,31 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40)], "head long, member long")
     found = dict(map(tuple, minhash.components(edges).collect()))
     assert set(found.values()) == {0, 40} and len(found) == 23
+
+
+def links_of_windows(spark, starts, bucket_place, samples):
+    """Links of texts that are 1,000 words of one row of words each, and meet in one band alone."""
+    words = [f"w{i}" for i in range(max(starts) + 1000)]
+    docs = [(key, " ".join(words[start : start + 1000])) for key, start in enumerate(starts)]
+    signed = []
+    for key in range(len(starts)):
+        bands = [1000 * (key + 1) + place for place in range(minhash.BANDS)]
+        bands[bucket_place] = 7
+        signed.append((key, bands, np.array(samples[key], dtype="<u4").tobytes()))
+    table = spark.createDataFrame(signed, "_key long, _bands array<long>, _samples binary")
+    texts = spark.createDataFrame(docs, "_key long, text string")
+    found = minhash.links(table, texts, np.ones(minhash.IDF_COLUMNS, dtype=np.float32)).distinct()
+    idf = np.ones(minhash.IDF_COLUMNS, dtype=np.float32)
+    weighed = [minhash.weigh(data(text), idf) for _, text in docs]
+    want = {
+        (a, b) for a, b in combinations(range(len(docs)), 2)
+        if minhash.weighted_jaccard(weighed[a], weighed[b]) >= minhash.SIMILARITY
+    }
+    return {tuple(sorted(pair)) for pair in found.collect()}, want
+
+
+def test_a_text_unlike_the_head_meets_those_like_it(spark):
+    # h - x 0.95, x - y 0.81, h - y 0.77; h is the head.
+    same = [[place for place in range(minhash.HASHES)]] * 3
+    got, want = links_of_windows(spark, [0, 26, 131], 0, same)
+    assert got == want == {(0, 1), (1, 2)}
