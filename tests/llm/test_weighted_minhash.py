@@ -96,3 +96,27 @@ def test_a_text_unlike_the_head_meets_those_like_it(spark):
     same = [[place for place in range(minhash.HASHES)]] * 3
     got, want = links_of_windows(spark, [0, 26, 131], 0, same)
     assert got == want == {(0, 1), (1, 2)}
+
+
+@pytest.mark.parametrize("place", [0, minhash.BANDS - 1])
+def test_pairs_of_a_hot_bucket_meet(spark, monkeypatch, place):
+    monkeypatch.setattr(minhash, "GROUP", 6)
+    starts = [2000 * (i // 2) + 60 * (i % 2) for i in range(40)]
+    # All share 4 samples, the two of a pair 45.
+    samples = [[1] * 4 + [100 + i // 2] * 41 + [1000 + i] * 19 for i in range(40)]
+    got, want = links_of_windows(spark, starts, place, samples)
+    assert got == want and len(want) == 20
+    largest = []
+    nodes = spark.createDataFrame(
+        [(key, np.array(own, dtype="<u4").tobytes()) for key, own in enumerate(samples)], "_key long, _samples binary"
+    )
+    for row in minhash._rarest(nodes).groupBy("bucket").count().collect():
+        largest.append(row["count"])
+    assert max(largest) == 2
+
+
+def test_a_hot_bucket_of_like_samples_is_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP", 8)
+    samples = [list(range(minhash.HASHES))] * 16
+    got, want = links_of_windows(spark, [105 * i for i in range(16)], minhash.BANDS - 1, samples)
+    assert got == want and len(want) == 15
