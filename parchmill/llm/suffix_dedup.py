@@ -4,15 +4,16 @@
    are retained: where the hash of the first KEY words is the smallest of WINDOW in a row. Any
    KEY + WINDOW - 1 = MIN_WORDS words in a row hold a retained suffix with its key, at the same
    place in every copy.
-2. The suffixes are brought in order of (key, document, position). Suffixes of one key are
-   neighbours, and each is compared with the first of its run, the first holder of those words:
-   it is never cut, so no content is lost, and a run of any length needs partial minima alone,
-   not one task that walks along it.
-3. Matches are chained within a document, and the ends of a chain are extended left and right,
-   word by word, against the text of the first holder.
-4. A maximal stretch of matched words is a repeat if it has MIN_WORDS or more.
-
-So every word cut lies in KEY or more words that an earlier document has too. Documents are in
+2. Keys that more than one suffix has are looked up in their documents again: of every MIN_WORDS
+   words in a row whose smallest key is such a key, the hash of all of them is brought in order of
+   (hash, document, position). Equal ones are neighbours, and each is compared with the first of
+   its run, the first holder of those MIN_WORDS words: it is never cut, so no content is lost, and
+   a run of any length needs partial minima alone, not one task that walks along it.
+3. Words that lie in MIN_WORDS words which an earlier document has are a repeat; what overlaps or
+   touches is one stretch.
+
+So exactly the words in MIN_WORDS or more that an earlier document has too are cut, whoever else
+holds a part of them. Documents are in
 order of (doc_id, hash), null first; repetition within one document is left alone. Rows equal
 in doc_id and text are one document. Words are those of ``words``; texts of fewer than
 MIN_WORDS words (null and empty ones too) hold no repeat.
@@ -36,7 +37,6 @@ from parchmill.session import cut_lineage
 MIN_WORDS = 50
 KEY = 30
 WINDOW = MIN_WORDS - KEY + 1
-REACH = WINDOW - 1  # words beyond a chain's end that the next suffix would have covered
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -82,87 +82,57 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """Retained suffixes whose key an earlier document has, with the first holder's place."""
+def passages(docs: DataFrame) -> DataFrame:
+    """(run, doc_id, doc, at) of all MIN_WORDS words in a row whose smallest key is repeated."""
     every = suffixes(docs)
     # What is joined is written first: with an aggregate below it, a join on a hot key could not be split.
     repeated = cut_lineage(every.groupBy("key").count().where("count > 1").select("key"))
-    members = cut_lineage(every.join(broadcast_if_small(repeated), "key"))
-    order = F.struct("doc_id", "doc", "at")
-    first = cut_lineage(members.groupBy("key").agg(F.min(order).alias("first")))
-    return members.join(first, "key").where("doc <> first.doc").select(
-        "doc",
-        "at",
-        F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.doc").alias("first_doc"),
-        F.col("first.at").alias("first_at"),
-    )
-
-
-_AROUND = "first_doc long, first_at int, left array<int>, right array<int>"
+    members = every.join(broadcast_if_small(repeated), "key")
+    asked = cut_lineage(members.groupBy("doc").agg(F.collect_set("key").alias("keys")))
+    n_keys = asked.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
+    rows = docs.select("doc_id", "doc", "text").join(broadcast_if_small(asked, values=n_keys), "doc")
+    rows = rows.select("doc_id", "doc", "text", "keys")
+    schema = T.StructType([
+        T.StructField("run", T.LongType()), rows.schema["doc_id"], rows.schema["doc"], T.StructField("at", T.IntegerType()),
+    ])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (data, keys) in enumerate(zip(W.text_buffers(batch.column(2)), batch.column(3), strict=True)):
+                hashes = W.words_of(data)[0]
+                least = W.window_minima(W.runs(hashes, KEY), WINDOW)
+                at = np.flatnonzero(np.isin(least, keys.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                owner = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(W.runs(hashes, MIN_WORDS)[at].view(np.int64)),
+                        batch.column(0).take(owner),
+                        batch.column(1).take(owner),
+                        pa.array(at.astype(np.int32)),
+                    ],
+                    names=schema.names,
+                )
 
-def _words(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(33)).astype(np.int32)
+    return rows.mapInArrow(run, schema)
 
 
-def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The REACH words before and behind the key of wanted suffixes (first_doc, first_at), nearest first."""
-    asked = cut_lineage(wanted.distinct().groupBy("first_doc").agg(F.collect_list("first_at").alias("places")))
-    n_places = asked.agg(F.sum(F.size("places") + 1)).first()[0] or 0
-    texts = docs.select(F.col("doc").alias("first_doc"), "text")
-    # Rows that agree in everything are one document: any of them will do.
-    rows = texts.join(broadcast_if_small(asked, values=n_places), "first_doc").select("first_doc", "text", "places")
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc, at, first_doc_id) of MIN_WORDS words in a row that an earlier document has."""
+    every = cut_lineage(passages(docs))
+    order = F.struct("doc_id", "doc", "at")
+    first = every.groupBy("run").agg(F.min(order).alias("first"), F.min("doc").alias("least"), F.max("doc").alias("last"))
+    first = cut_lineage(first.where("least <> last").select("run", "first"))
+    return every.join(first, "run").where("doc <> first.doc").select("doc", "at", F.col("first.doc_id").alias("first_doc_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[dict] = []
-            for doc, data, places in zip(
-                batch.column(0).to_pylist(), W.text_buffers(batch.column(1)), batch.column(2).to_pylist(), strict=True
-            ):
-                words = _words(W.words_of(data)[0])
-                out += [
-                    {
-                        "first_doc": doc,
-                        "first_at": at,
-                        "left": words[max(0, at - REACH) : at][::-1].tolist(),
-                        "right": words[at + KEY : at + KEY + REACH].tolist(),
-                    }
-                    for at in places
-                ]
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    arrow = pa.schema([
-        ("first_doc", pa.int64()), ("first_at", pa.int32()), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))
-    ])
-    return rows.mapInArrow(run, _AROUND).dropDuplicates(["first_doc", "first_at"])
-
-
-def _shared(own: np.ndarray, other: list[int]) -> int:
-    n = min(len(own), len(other))
-    differ = np.flatnonzero(own[:n] != np.array(other[:n], dtype=np.int32))
-    return int(differ[0]) if len(differ) else n
-
-
-def stretches(words: np.ndarray, chain: list[dict], ends: list[dict]) -> list[tuple[int, int, int]]:
-    """Word ranges of at least MIN_WORDS that are covered by matches and their extensions, with
-    the number of the match that each begins with."""
-    around = {end["at"]: end for end in ends}
-    ranges = []
-    for i, match in enumerate(chain):
-        start, stop = match["at"], match["at"] + KEY
-        if (end := around.get(match["at"])) is not None:
-            start -= _shared(words[max(0, start - REACH) : start][::-1], end["left"])
-            stop += _shared(words[stop : stop + REACH], end["right"])
-        ranges.append((start, stop, i))
-    ranges.sort()
-    merged: list[list[int]] = []
-    for start, stop, i in ranges:
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], stop)
-        else:
-            merged.append([start, stop, i])
-    return [(start, stop, i) for start, stop, i in merged if stop - start >= MIN_WORDS]
+def stretches(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Word ranges that MIN_WORDS words from each of the ordered places cover, with the number of
+    the place that each begins with."""
+    if not len(at):
+        return []
+    begins = np.flatnonzero(np.diff(at, prepend=at[0] - MIN_WORDS - 1) > MIN_WORDS)
+    ends = np.append(begins[1:], len(at)) - 1
+    return [(int(at[i]), int(at[j]) + MIN_WORDS, int(i)) for i, j in zip(begins, ends, strict=True)]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -172,20 +142,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     word, the same in bytes, and the first holder's doc_id.
     """
     found = matches(docs)
-    ordered = F.array_sort(F.collect_list(F.struct("at", "first_doc_id", "first_doc", "first_at")))
-    chains = cut_lineage(found.groupBy("doc").agg(ordered.alias("chain")))
-
-    def is_end(x: Column, i: Column) -> Column:
-        before, after = F.get("chain", i - 1), F.get("chain", i + 1)
-        return before.isNull() | after.isNull() | (x["at"] - before["at"] > KEY) | (after["at"] - x["at"] > KEY)
-
-    ends = chains.select("doc", F.explode(F.filter("chain", is_end)).alias("end")).select("doc", "end.*")
-    around = surroundings(ends.select("first_doc", "first_at"), docs)
-    extended = (
-        ends.join(around, ["first_doc", "first_at"])
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("at", "left", "right")).alias("ends"))
-    )
+    places = F.array_sort(F.collect_list(F.struct("at", "first_doc_id")))
+    chains = found.groupBy("doc").agg(places.alias("chain"))
     id_field = docs.schema["doc_id"]
     span = T.StructType([
         T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()),
@@ -194,30 +152,39 @@ def repeats(docs: DataFrame) -> DataFrame:
     ])
     schema = T.StructType([id_field, docs.schema["doc"], T.StructField("spans", T.ArrayType(span))])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
-    chained = cut_lineage(chains.join(extended, "doc"))
-    n_values = chained.agg(F.sum(4 * F.size("chain") + (2 * REACH + 3) * F.size("ends"))).first()[0] or 0
+    range_ = T.StructType([span["start_word"], span["end_word"], span["first_doc_id"]])
+    ranged = T.StructType([T.StructField("doc", T.LongType()), T.StructField("ranges", T.ArrayType(range_))])
+    arrow_ranges = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in ranged])
+
+    def join_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, chain in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, ids = chain.values.field("at").to_numpy(), chain.values.field("first_doc_id")
+                own = [
+                    {"start_word": a, "end_word": b, "first_doc_id": ids[i].as_py()} for a, b, i in stretches(at.astype(np.int64))
+                ]
+                out.append({"doc": doc, "ranges": own})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow_ranges)
+
+    # Written: a short list of ranges in place of a place for every word.
+    chained = cut_lineage(chains.mapInArrow(join_places, ranged))
+    n_values = chained.agg(F.sum(3 * F.size("ranges") + 1)).first()[0] or 0
     rows = docs.select("doc", "doc_id", "text").join(broadcast_if_small(chained, values=n_values), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
             texts = W.text_buffers(batch.column(batch.schema.get_field_index("text")))
-            names = ("doc", "doc_id", "chain", "ends")
+            names = ("doc", "doc_id", "ranges")
             values = zip(*(batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names), strict=True)
-            for data, (doc, doc_id, chain, own_ends) in zip(texts, values, strict=True):
-                hashes, starts, stops = W.words_of(data)
+            for data, (doc, doc_id, ranges) in zip(texts, values, strict=True):
+                _, starts, stops = W.words_of(data)
                 spans = [
-                    {
-                        "start_word": a,
-                        "end_word": b,
-                        "start_byte": int(starts[a]),
-                        "end_byte": int(stops[b - 1]),
-                        "first_doc_id": chain[i]["first_doc_id"],
-                    }
-                    for a, b, i in stretches(_words(hashes), chain, own_ends)
+                    own | {"start_byte": int(starts[own["start_word"]]), "end_byte": int(stops[own["end_word"] - 1])}
+                    for own in ranges
                 ]
-                if spans:
-                    out.append({"doc_id": doc_id, "doc": doc, "spans": spans})
+                out.append({"doc_id": doc_id, "doc": doc, "spans": spans})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.mapInArrow(run, schema)

@@ -150,6 +150,11 @@ def _sliding(op: np.ufunc, values: np.ndarray, window: int) -> np.ndarray:
     return op(out[:n], out[window - size : window - size + n])
 
 
+def window_minima(keys: np.ndarray, window: int) -> np.ndarray:
+    """The smallest of every ``window`` keys in a row; none if there are fewer."""
+    return _sliding(np.minimum, keys, window) if len(keys) >= window else np.zeros(0, dtype=_U)
+
+
 def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
     """Positions whose key is the smallest of some ``window`` keys in a row, all equals counting.
 

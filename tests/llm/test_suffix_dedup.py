@@ -65,3 +65,21 @@ def test_repeats_within_a_document_and_empty_tables(spark):
     assert [[(s.start_word, s.end_word) for s in r.spans] for r in found.collect()] == [[(0, 70), (71, 141)]]
     docs, keyed, _ = spans_of(spark, [(1, "a")])
     assert dedup.repeats(keyed.limit(0)).collect() == []
+
+
+def test_an_earlier_holder_of_a_part_hides_no_repeat(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    docs, key = {}, 0
+    for n in (50, 55, 60, 70):
+        passage = [word() for _ in range(n)]
+        # Every 30 words stand in an earlier document of their own, 50 words only in the last two.
+        for at in range(0, n - dedup.KEY + 1):
+            docs[key] = " ".join([word() for _ in range(30)] + passage[at : at + dedup.KEY] + [word() for _ in range(30)])
+            key += 1
+        docs[key] = " ".join([word(), *passage, word()])
+        docs[key + 1] = " ".join([word(), word(), *passage])
+        key += 2
+    _, _, found = spans_of(spark, list(docs.items()))
+    got = {row.doc_id: {x for s in row.spans for x in range(s.start_word, s.end_word)} for row in found.collect()}
+    assert got == {key: words for key, words in windows(docs, dedup.MIN_WORDS).items() if words} and len(got) == 4
