@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import bpe, html_text, license_scan, mil_quality, rp_forest, suffix_dedup, toxicity_fm, warc, weighted_minhash
+from parchmill.llm import bpe, html_text, license_scan, mil_quality, periodic_runs, rp_forest, suffix_dedup, tile_search
+from parchmill.llm import toxicity_fm, url_rules, warc, weighted_minhash
 from parchmill.llm import positional_index as index
 from parchmill.session import configure, cut_lineage, shared_folder
 
@@ -106,3 +107,35 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return rp_forest.neighbours(embeddings, F.col("id") % 50 == 0)
+
+
+@query
+def op11_tile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return tile_search.search(documents, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+# Of a run's columns, those that the query shows.
+RUN_COLUMNS = ("n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return periodic_runs.periodic_runs(documents, tails=True, columns=RUN_COLUMNS)
+
+
+# Verdict, host and path of the rules in use.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_rules.host_rule(*rule) for rule in URL_RULES]
+    return url_rules.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
