@@ -45,28 +45,50 @@ def web_error(state: Column) -> Column:
     return F.when(state == "not_found", F.lit(S.POLL_NOT_FOUND)).when(state == "timeout", F.lit(S.POLL_TIMEOUT))
 
 
-def latencies(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """(request_id, ts_us) with (request_id, done_us): add latency_ms, NULL without a result.
+def latencies(requests: DataFrame, results: DataFrame, submitted: DataFrame | None = None) -> DataFrame:
+    """(request_id, ts_us) with (request_id, done_us[, value]): add latency_ms (NULL without a result), has_text and known.
 
     A result written twice counts at its first time. Results that come after a
-    deadline stay in ``results``; only the client's outcome says timeout.
+    deadline stay in ``results``; only the client's outcome says timeout. ``submitted`` (request_id, ts_us): an id is known from
+    then on, or from its result on; without it all are.
     """
-    first = results.groupBy("request_id").agg(F.min("done_us").alias("done_us"))
+    value = F.col("value") if "value" in results.columns else F.lit("-")
+    # Of results at one time, one with a text.
+    first = results.groupBy("request_id").agg(
+        F.min("done_us").alias("done_us"),
+        F.max_by(F.coalesce(value, F.lit("")) != "", F.struct(-F.col("done_us"), F.coalesce(value, F.lit("")) != "")).alias("text"),
+    )
     waited = F.greatest(F.col("done_us") - F.col("ts_us"), F.lit(0).cast("bigint"))
     latency = F.when(F.col("done_us").isNotNull(), F.call_function("div", waited + 999, F.lit(1000)))
-    return requests.join(first, "request_id", "left").withColumn("latency_ms", latency)
-
-
-def poll(requests: DataFrame, results: DataFrame, policy: S.PollPolicy) -> DataFrame:
+    met = requests.join(first, "request_id", "left")
+    known = F.lit(True)
+    if submitted is not None:
+        since = submitted.groupBy("request_id").agg(F.min("ts_us").alias("known_us"))
+        met = met.join(since, "request_id", "left")
+        known = F.coalesce(F.least("known_us", "done_us") <= F.col("ts_us"), F.lit(False))
+    met = met.withColumns({"latency_ms": latency, "has_text": F.coalesce("text", F.lit(True)), "known": known})
+    return met.drop("text", "known_us")
+
+
+def poll(
+    requests: DataFrame, results: DataFrame, policy: S.PollPolicy, submitted: DataFrame | None = None
+) -> DataFrame:
     """Add the outcome and the latency one client observes."""
-    state, observed = outcome(F.col("latency_ms"), policy)
-    return latencies(requests, results).withColumns({"outcome": state, "observed_ms": observed})
+    state, observed = outcome(F.col("latency_ms"), policy, F.col("known"), F.col("has_text"))
+    seen = latencies(requests, results, submitted).withColumns({"outcome": state, "observed_ms": observed})
+    return seen.drop("known", "has_text")
 
 
-def poll_as(requests: DataFrame, results: DataFrame, clients: dict[str, S.PollPolicy]) -> DataFrame:
+def poll_as(
+    requests: DataFrame,
+    results: DataFrame,
+    clients: dict[str, S.PollPolicy],
+    submitted: DataFrame | None = None,
+) -> DataFrame:
     """One row per request and client. The join runs once; the clients are arithmetic on it."""
     views = []
     for name, policy in clients.items():
-        state, observed = outcome(F.col("latency_ms"), policy)
+        state, observed = outcome(F.col("latency_ms"), policy, F.col("known"), F.col("has_text"))
         views.append(F.struct(F.lit(name).alias("client"), state.alias("outcome"), observed.alias("observed_ms")))
-    return latencies(requests, results).select("*", F.inline(F.array(*views)))
+    met = latencies(requests, results, submitted).select("*", F.inline(F.array(*views)))
+    return met.drop("known", "has_text")

@@ -17,6 +17,42 @@ BOT_ORDER = ("ts_us", "rank", "event_id")
 WEB_ORDER = ("ts_us", "event_id")
 # Marks a forgotten file, where NULL would mean "no news".
 NO_FILE = -1
+# How long the bot waits for a service, and which service a route waits for.
+SERVICES = {"summary": S.BOT_SUMMARY_POLL, "question": S.BOT_ANSWER_POLL}
+WAITING = {"summarize_text": "summary", "summarize_file": "summary", "question": "question"}
+# What is known of an event's results, where there are any.
+RESULT_COLUMNS = ("body", "error", "answer", "answer_ms", "answer_error")
+
+
+def attach_results(events: DataFrame, results: DataFrame) -> DataFrame:
+    """Events with the results of the service: latency_ms, body, error of its summary, and answer_ms,
+    answer, answer_error.
+
+    ``results``: event_id, service (``summary`` or ``question``), done_us, body, error. A row with an
+    ``error`` is a refused upload. Of several results the earliest counts. An empty result is never seen.
+    """
+    content = F.struct("done_us", "body", "error")
+    place = F.struct("done_us", F.col("error").isNull(), "body")
+    wide = results.groupBy("event_id").agg(
+        *(F.min_by(content, F.when(F.col("service") == name, place)).alias(name) for name in SERVICES)
+    )
+    met = events.drop("latency_ms", *RESULT_COLUMNS).join(wide, "event_id", "left")
+
+    def latency(name: str) -> Column:
+        there = F.col(f"{name}.error").isNull() & (F.col(f"{name}.body") != "")
+        waited = F.greatest(F.col(f"{name}.done_us") - F.col("ts_us"), F.lit(0).cast("bigint"))
+        return F.when(there, F.call_function("div", waited + 999, F.lit(1000)))
+
+    return met.withColumns(
+        {
+            "latency_ms": latency("summary"),
+            "body": F.col("summary.body"),
+            "error": F.col("summary.error"),
+            "answer_ms": latency("question"),
+            "answer": F.col("question.body"),
+            "answer_error": F.col("question.error"),
+        }
+    ).drop(*SERVICES)
 
 
 def file_results(limited: DataFrame) -> DataFrame:
@@ -67,6 +103,7 @@ def route_bot(messages: DataFrame, buttons: DataFrame, slices: Slices | None = N
     the file is sent.
     """
     carried = ["event_id", "user_id", "ts_us", "kind", "file_key", "latency_ms", "limited", "hit", "cached"]
+    carried += [c for c in RESULT_COLUMNS if c in messages.columns]
     unmarked = {"limited": F.lit(False), "hit": F.lit(False)}
     presses = buttons.select("event_id", "user_id", "ts_us", "kind").withColumns(unmarked)
     delivered = completions(messages).withColumns(unmarked)

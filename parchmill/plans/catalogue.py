@@ -42,12 +42,6 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.pair_questions(inputs.documents(spark, sf_dir), inputs.questions(spark, sf_dir), "doc_id")
 
 
-def _asked_in_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``_asked``, with the context cut before it is shuffled."""
-    contexts = inputs.documents(spark, sf_dir).withColumn("text", tx.truncate_context(F.col("text")))
-    return frames.pair_questions(contexts, inputs.questions(spark, sf_dir), "doc_id")
-
-
 # --- frames ---------------------------------------------------------------------------
 
 
@@ -218,7 +212,7 @@ def normalize_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def qa_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompt = tx.question_prompt(tx.normalize_question(F.col("question")), tx.truncate_context(F.col("text")))
-    return _asked_in_short(spark, sf_dir).select(
+    return inputs.asked_in_short(spark, sf_dir).select(
         "request_id", F.md5(prompt.cast("binary")).alias("prompt_md5"), F.length(prompt).cast("bigint").alias("n_chars")
     )
 
@@ -233,7 +227,7 @@ def summarize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = answer(_asked_in_short(spark, sf_dir))
+    done = answer(inputs.asked_in_short(spark, sf_dir))
     return done.select(
         "request_id",
         "ok",
@@ -282,9 +276,9 @@ def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All file messages as if nothing were limited."""
-    unlimited = inputs.bot_events(spark, sf_dir).withColumn("limited", F.lit(False))
-    return sessions.file_results(unlimited).withColumns(
-        {"summary": bot.summary_of(F.col("event_id")), "ok": F.lit(True)}
+    known = sessions.attach_results(inputs.bot_events(spark, sf_dir), inputs.bot_results(spark, sf_dir))
+    return sessions.file_results(known.withColumn("limited", F.lit(False))).withColumns(
+        {"summary": F.col("body"), "ok": F.lit(True)}
     )
 
 
@@ -323,7 +317,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bot(spark: SparkSession, sf_dir: str) -> bot.BotRun:
-    return bot.start(inputs.bot_events(spark, sf_dir), inputs.WINDOW_US)
+    return bot.start(inputs.bot_events(spark, sf_dir), inputs.bot_results(spark, sf_dir), inputs.WINDOW_US)
 
 
 @query
@@ -360,7 +354,7 @@ def web_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     waiting = routed.filter(F.col("route").isin("summarize_file", "summarize_text", "question"))
     latency = inputs.events(spark, sf_dir).select("event_id", "k", (F.col("latency_ms") % 60_000).alias("latency_ms"))
     seen = waiting.join(latency, "event_id")
-    summary = F.when(F.col("k") % 9 != 0, bot.summary_of(F.col("event_id")))
+    summary = F.when(F.col("k") % 9 != 0, inputs.web_result(F.col("event_id")))
     outcome, _ = polling.outcome(F.col("latency_ms"), S.WEB_POLL, has_text=summary.isNotNull())
     error = polling.web_error(outcome)
     return seen.select(
@@ -393,17 +387,22 @@ def transcript_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def poll_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of every event; errors never get a result, some results are written twice."""
+    """Requests of every event, and looks for ids nobody submitted (negative). Errors never get a result, some
+    results are empty, some are written twice."""
     ev = inputs.events(spark, sf_dir)
-    requests = ev.select(F.col("event_id").alias("request_id"), "ts_us")
-    done_us = F.col("ts_us") + F.col("latency_ms") * 1000
-    results = ev.filter("event_type <> 'error'").select(F.col("event_id").alias("request_id"), done_us.alias("done_us"))
-    again = ev.filter("event_type <> 'error' and k % 10 = 0").select(
-        F.col("event_id").alias("request_id"), (done_us + 5_000_000).alias("done_us")
+    submitted = ev.select(F.col("event_id").alias("request_id"), "ts_us")
+    unknown = ev.filter("k % 5 = 0").select((-F.col("event_id") - 1).alias("request_id"), "ts_us")
+    value = F.when(F.col("k") % 9 == 0, F.lit("")).otherwise(inputs.web_result(F.col("event_id")))
+    finished = ev.filter("event_type <> 'error'").select(
+        F.col("event_id").alias("request_id"),
+        (F.col("ts_us") + F.col("latency_ms") * 1000).alias("done_us"),
+        value.alias("value"),
+        "k",
     )
-    written = results.unionByName(again)
+    again = finished.filter("k % 10 = 0").withColumn("done_us", F.col("done_us") + 5_000_000)
+    written = finished.unionByName(again).drop("k")
     clients = {"bot_summary": S.BOT_SUMMARY_POLL, "bot_answer": S.BOT_ANSWER_POLL, "web": S.WEB_POLL}
-    return polling.poll_as(requests, written, clients).select(
+    return polling.poll_as(submitted.unionByName(unknown), written, clients, submitted).select(
         F.col("request_id").alias("event_id"), "client", "outcome", "observed_ms"
     )
 
@@ -462,7 +461,7 @@ def request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and questions submitted, framed, parsed, worked off and looked up, with
     an id that was never submitted for every document."""
     texts = spread(inputs.text_requests(spark, sf_dir))
-    asked = _asked_in_short(spark, sf_dir)
+    asked = inputs.asked_in_short(spark, sf_dir)
     submitted = [
         service.submit_texts(texts),
         service.Submission(frames.processing_rows(asked), frames.question_frames(asked)),

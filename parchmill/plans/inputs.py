@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from parchmill import schemas as S
 from parchmill.functions import text as tx
-from parchmill.operators import logs
+from parchmill.operators import frames, logs
+from parchmill.operators.answer import answer
+from parchmill.operators.summarize import summarize
 from parchmill.session import configure, spread
 
 # The test events are spread over a month, so the limiter gets a three-day window
@@ -87,6 +89,42 @@ def bot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asked_in_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the context that may be read, cut before it is shuffled."""
+    contexts = documents(spark, sf_dir).withColumn("text", tx.truncate_context(F.col("text")))
+    return frames.pair_questions(contexts, questions(spark, sf_dir), "doc_id")
+
+
+def bot_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service makes of bot events (event_id, service, done_us, body, error): the summary of document
+    k and the answer to the first question about it. Every tenth file and every tenth question is refused."""
+    ev = events(spark, sf_dir).withColumn("done_us", F.col("ts_us") + F.col("latency_ms") * 1000)
+    sent = ev.filter(F.col("event_type").isin("purchase", "view", "click"))
+    is_file = F.col("event_type") == "purchase"
+    wanted = sent.select(F.col("k").alias("doc_id")).distinct()
+    texts = summarize(documents(spark, sf_dir).join(wanted, "doc_id", "left_semi"))
+    summaries = sent.join(texts.select(F.col("doc_id").alias("k"), F.col("summary").alias("body")), "k", "left")
+    first = asked_in_short(spark, sf_dir).join(wanted, "doc_id", "left_semi")
+    turn = F.regexp_extract("request_id", r"(\d+)$", 1).cast("bigint")
+    first = first.groupBy("doc_id").agg(F.min_by(F.struct("text", "question"), turn).alias("q")).select("doc_id", "q.*")
+    answers = answer(first).select(F.col("doc_id").alias("k"), F.col("answer").alias("body"))
+    asked = sent.filter(~is_file).join(answers, "k", "left")
+
+    def rows(made: DataFrame, service: str, refused: Column) -> DataFrame:
+        error = F.when(refused, F.lit(S.EXTRACT_FAILED))
+        at = F.when(refused, F.col("ts_us")).otherwise(F.col("done_us"))
+        return made.select("event_id", F.lit(service).alias("service"), at.alias("done_us"), "body", error.alias("error"))
+
+    return rows(summaries, "summary", is_file & (F.col("k") % 10 == 7)).unionByName(
+        rows(asked, "question", F.col("k") % 10 == 3)
+    )
+
+
+def web_result(event_id: Column) -> Column:
+    """Stand-in result text of a web request."""
+    return F.concat(F.lit("result "), event_id.cast("string"))
+
+
 def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k")
     typed = F.when(k % 10 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit("\t q"), k.cast("string"), F.lit(" \n")))

@@ -43,13 +43,14 @@ EV = r"""ev AS (
          CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k,
          CAST(round(value * 4000) AS BIGINT) AS latency_ms
   FROM events)"""
-BOT_EV = """bev AS (
+BOT_EV = """sent AS (
   SELECT event_id, user_id, ts_us, latency_ms,
          CASE event_type WHEN 'purchase' THEN 'file' WHEN 'signup' THEN 'enter' WHEN 'error' THEN 'exit'
               ELSE 'text' END AS kind,
          CASE WHEN event_type = 'purchase' THEN k END AS file_key,
-         CASE WHEN event_type = 'purchase' THEN sha256('file-' || k) END AS content_sha
+         CASE WHEN event_type = 'purchase' THEN sha256('file-' || k) END AS content_sha, k
   FROM ev)"""
+PLAIN_BEV = "bev AS (SELECT * FROM sent)"
 LIMITED = f"""hits AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn
   FROM bev WHERE kind IN ('text', 'file')),
@@ -66,19 +67,21 @@ counted AS (
 # The bot looks every two seconds, at 2 s first and at 240 s last.
 SEEN_US = "ts_us + 2000000 * greatest((latency_ms + 1999) // 2000, 1)"
 MESSAGES = f"""cache AS (
-  SELECT content_sha, min(done_us) AS ready_us, arg_min(event_id, (done_us, event_id)) AS source_event
+  SELECT content_sha, min(done_us) AS ready_us, arg_min(body, (done_us, event_id)) AS cached
   FROM (SELECT *, {SEEN_US} AS done_us FROM counted WHERE kind = 'file' AND NOT limited AND latency_ms <= 240000)
   GROUP BY content_sha),
 msg AS (
-  SELECT c.*, source_event,
+  SELECT c.*, cached,
          coalesce(c.kind = 'file' AND NOT c.limited AND c.ts_us >= k.ready_us, false) AS hit
   FROM counted c LEFT JOIN cache k USING (content_sha)),
 flow AS (
-  SELECT event_id, user_id, ts_us, 1 AS rank, kind, file_key, latency_ms, limited, hit, source_event FROM msg
+  SELECT event_id, user_id, ts_us, 1 AS rank, kind, file_key, latency_ms, limited, hit,
+         CASE WHEN hit THEN cached END AS cached, body, error, answer, answer_ms, answer_error FROM msg
   UNION ALL
-  SELECT event_id, user_id, ts_us, 1, kind, NULL, NULL, false, false, NULL FROM bev WHERE kind IN ('enter', 'exit')
+  SELECT event_id, user_id, ts_us, 1, kind, NULL, NULL, false, false, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM bev WHERE kind IN ('enter', 'exit')
   UNION ALL
-  SELECT event_id, user_id, {SEEN_US}, 0, 'done', file_key, NULL, false, false, NULL
+  SELECT event_id, user_id, {SEEN_US}, 0, 'done', file_key, NULL, false, false, NULL, NULL, NULL, NULL, NULL, NULL
   FROM msg WHERE kind = 'file' AND NOT limited AND NOT hit AND latency_ms <= 240000),
 sess AS (
   SELECT *,
@@ -99,12 +102,6 @@ routed AS (
                  WHEN mode = 1 THEN 'question'
                  ELSE 'summarize_text' END AS route
   FROM sess WHERE kind <> 'done')"""
-BOT = f"WITH RECURSIVE {EV}, {BOT_EV}, {LIMITED}, {MESSAGES}"
-FILE_CACHE = f"""{EV}, {BOT_EV}, cache AS (
-  SELECT content_sha, min(done_us) AS ready_us,
-         'summary ' || arg_min(event_id, (done_us, event_id)) AS summary
-  FROM (SELECT *, {SEEN_US} AS done_us FROM bev WHERE kind = 'file' AND latency_ms <= 240000)
-  GROUP BY content_sha)"""
 WEB = r"""wev AS (
   SELECT event_id, user_id, ts_us, k, latency_ms,
          CASE event_type WHEN 'purchase' THEN 'upload' WHEN 'signup' THEN 'ask' WHEN 'error' THEN 'continue'
@@ -201,6 +198,25 @@ answered AS (
          CASE WHEN length(a) >= {S.MIN_ANSWER_CHARS} THEN a ELSE {_lit(S.ANSWER_NOT_FOUND)} END AS answer
   FROM asked k LEFT JOIN ans ON ans.id = k.request_id LEFT JOIN best b ON b.id = k.request_id)"""
 
+# The summary of document k, and the answer to its first question; some uploads are refused.
+BOT_RESULTS = f"""made AS (SELECT doc_id AS k, nullif(summary, '') AS body FROM (WITH {SUMMARY} SELECT * FROM summed)),
+told AS (
+  SELECT doc_id AS k, arg_min(nullif(answer, ''), turn) AS answer
+  FROM (WITH {ASKED}, {ANSWERS} SELECT asked.doc_id, asked.turn, answered.answer FROM asked JOIN answered USING (request_id))
+  GROUP BY doc_id),
+bev AS (
+  SELECT s.event_id, s.user_id, s.ts_us, s.kind, s.file_key, s.content_sha, made.body, told.answer,
+         CASE WHEN kind = 'file' AND s.k % 10 = 7 THEN {_lit(S.EXTRACT_FAILED)} END AS error,
+         CASE WHEN kind = 'text' AND s.k % 10 = 3 THEN {_lit(S.EXTRACT_FAILED)} END AS answer_error,
+         CASE WHEN made.body IS NOT NULL AND NOT (kind = 'file' AND s.k % 10 = 7) THEN s.latency_ms END AS latency_ms,
+         CASE WHEN told.answer IS NOT NULL AND s.k % 10 <> 3 THEN s.latency_ms END AS answer_ms
+  FROM sent s LEFT JOIN made USING (k) LEFT JOIN told USING (k))"""
+BOT = f"WITH RECURSIVE {EV}, {BOT_EV}, {BOT_RESULTS}, {LIMITED}, {MESSAGES}"
+FILE_CACHE = f"""{EV}, {BOT_EV}, {BOT_RESULTS}, cache AS (
+  SELECT content_sha, min(done_us) AS ready_us, arg_min(body, (done_us, event_id)) AS summary
+  FROM (SELECT *, {SEEN_US} AS done_us FROM bev WHERE kind = 'file' AND latency_ms <= 240000)
+  GROUP BY content_sha)"""
+
 
 def _pages() -> str:
     return """pages AS (
@@ -382,7 +398,7 @@ FROM bev LEFT JOIN cache USING (content_sha) WHERE kind = 'file'"""
     sql["dedup_compute"] = f"""WITH {SUMMARY}
 SELECT doc_id, sha256(text) AS content_sha, ok, sha256(summary) AS summary_sha FROM documents JOIN summed USING (doc_id)"""
 
-    sql["rate_limit"] = f"""WITH RECURSIVE {EV}, {BOT_EV}, {LIMITED}
+    sql["rate_limit"] = f"""WITH RECURSIVE {EV}, {BOT_EV}, {PLAIN_BEV}, {LIMITED}
 SELECT event_id, 'user:' || user_id || ':requests' AS rate_key, window_start_us, n_in_window, limited FROM counted"""
 
     sql["bot_routes"] = f"""{BOT}
@@ -393,19 +409,24 @@ SELECT event_id, user_id, route, CASE WHEN route = 'question' THEN last_file END
     sql["bot_replies"] = f"""{BOT}, seen AS (
   SELECT *, route IN ('question', 'summarize_text', 'summarize_file') AS waits,
          CASE WHEN route = 'question' THEN 120000 ELSE 240000 END AS deadline,
-         'summary ' || coalesce(CASE WHEN hit THEN source_event END, event_id) AS body FROM routed)
+         CASE WHEN route = 'question' THEN answer_ms ELSE latency_ms END AS waited_ms,
+         CASE WHEN route = 'question' THEN answer ELSE coalesce(cached, body) END AS shown,
+         CASE route WHEN 'question' THEN answer_error WHEN 'summarize_file' THEN error END AS refusal FROM routed)
 SELECT event_id, route,
-  CASE WHEN waits THEN CASE WHEN latency_ms <= deadline THEN 'done' ELSE 'timeout' END END AS outcome,
-  CASE WHEN waits THEN CASE WHEN latency_ms <= deadline THEN 2000 * greatest((latency_ms + 1999) // 2000, 1)
+  CASE WHEN refusal IS NOT NULL THEN 'error'
+       WHEN waits THEN CASE WHEN waited_ms <= deadline THEN 'done' ELSE 'timeout' END END AS outcome,
+  CASE WHEN refusal IS NOT NULL THEN CAST(0 AS BIGINT)
+       WHEN waits THEN CASE WHEN waited_ms <= deadline THEN 2000 * greatest((waited_ms + 1999) // 2000, 1)
                             ELSE CAST(deadline AS BIGINT) END END AS observed_ms,
   CASE WHEN route = 'rate_limited' THEN {_lit(S.REPLY_LIMITED)}
        WHEN route = 'qa_no_file' THEN {_lit(S.REPLY_NO_FILE)}
-       WHEN route = 'cache_hit' THEN {_lit(S.REPLY_CACHED)} || body
+       WHEN route = 'cache_hit' THEN {_lit(S.REPLY_CACHED)} || shown
        WHEN route = 'enter' THEN {_lit(S.REPLY_ENTER)}
        WHEN route = 'exit' THEN {_lit(S.REPLY_EXIT)}
-       WHEN route = 'question' AND latency_ms <= deadline THEN {_lit(S.REPLY_ANSWER)} || body
+       WHEN refusal IS NOT NULL THEN {_lit(S.REPLY_ERROR)} || refusal
+       WHEN route = 'question' AND waited_ms <= deadline THEN {_lit(S.REPLY_ANSWER)} || shown
        WHEN route = 'question' THEN {_lit(S.REPLY_ANSWER_TIMEOUT)}
-       WHEN latency_ms <= deadline THEN {_lit(S.REPLY_DONE)} || body
+       WHEN waited_ms <= deadline THEN {_lit(S.REPLY_DONE)} || shown
        ELSE {_lit(S.REPLY_SUMMARY_TIMEOUT)} END AS reply
 FROM seen"""
 
@@ -418,7 +439,7 @@ SELECT event_id, CASE WHEN latency_ms % 60000 > 29000 THEN 'timeout' WHEN k % 9
   CASE WHEN latency_ms % 60000 > 29000 OR k % 9 = 0 THEN
          CASE kind WHEN 'upload' THEN {_lit(S.WEB_FILE_FAILED)} WHEN 'continue' THEN {_lit(S.WEB_CONTINUE_FAILED)}
               ELSE {_lit(S.WEB_REQUEST_FAILED)} END
-       ELSE 'summary ' || event_id END AS shown
+       ELSE 'result ' || event_id END AS shown
 FROM web WHERE route IN ('summarize_file', 'summarize_text', 'question')"""
 
     sql["transcript"] = f"""WITH {TURNS}, s AS (
@@ -433,17 +454,23 @@ SELECT conv_id, turn, target, segment, row_number() OVER (PARTITION BY conv_id,
          count(*) OVER (PARTITION BY conv_id) AS n_messages FROM turns)
 SELECT conv_id, n_messages, turn, type, sha256(shown) AS text_sha FROM s WHERE rn = 1"""
 
-    def polled(name: str, looks: str, shown: int, deadline: int) -> str:
-        done = f"event_type <> 'error' AND latency_ms <= {deadline}"
-        return f"""SELECT event_id, '{name}' AS client, CASE WHEN {done} THEN 'done' ELSE 'timeout' END AS outcome,
-  CASE WHEN {done} THEN {looks} ELSE CAST({shown} AS BIGINT) END AS observed_ms FROM ev"""
+    def polled(name: str, looks: str, shown: int, deadline: int, gives_up: bool) -> str:
+        came = f"event_type <> 'error' AND latency_ms <= {deadline}"
+        empty = "'not_found'" if gives_up else "'timeout'"
+        waited = looks if gives_up else f"CAST({shown} AS BIGINT)"
+        unknown = ("'not_found'", 0) if gives_up else ("'timeout'", shown)
+        return f"""SELECT event_id, '{name}' AS client,
+  CASE WHEN {came} THEN CASE WHEN k % 9 = 0 THEN {empty} ELSE 'done' END ELSE 'timeout' END AS outcome,
+  CASE WHEN {came} THEN CASE WHEN k % 9 = 0 THEN {waited} ELSE {looks} END ELSE CAST({shown} AS BIGINT) END AS observed_ms
+FROM ev
+UNION ALL SELECT -event_id - 1, '{name}', {unknown[0]}, CAST({unknown[1]} AS BIGINT) FROM ev WHERE k % 5 = 0"""
 
     bot_looks = "2000 * greatest((latency_ms + 1999) // 2000, 1)"
     web_looks = "1000 * ((latency_ms + 999) // 1000)"
     sql["poll_outcomes"] = f"""WITH {EV}
-{polled("bot_summary", bot_looks, 240000, 240000)}
-UNION ALL {polled("bot_answer", bot_looks, 120000, 120000)}
-UNION ALL {polled("web", web_looks, 30000, 29000)}"""
+{polled("bot_summary", bot_looks, 240000, 240000, False)}
+UNION ALL {polled("bot_answer", bot_looks, 120000, 120000, False)}
+UNION ALL {polled("web", web_looks, 30000, 29000, True)}"""
 
     # Both halves name their steps alike, so each sits in its own subquery.
     sql["request_lifecycle"] = f"""WITH {REQUESTS}, {ASKED},

@@ -47,7 +47,7 @@ def bot_model(events, window_us, limit=5):
             elif kind == "file":
                 route = "summarize_file"
                 mode.pop(user, None)
-                if e["latency_ms"] <= 240_000:
+                if not e.get("error") and e["latency_ms"] <= 240_000:
                     seen = 2_000_000 * max(1, -(-e["latency_ms"] // 2000))
                     todo.append((ts + seen, 0, eid, e))
             elif mode.get(user):
@@ -77,22 +77,54 @@ def bot_events(n, seed):
 
 def frame(spark, events):
     df = spark.createDataFrame(
-        [tuple(e.values()) for e in events],
+        [tuple(e.values())[:6] for e in events],
         "event_id bigint, user_id bigint, ts_us bigint, kind string, file_key bigint, latency_ms bigint",
     )
     return df.withColumn("content_sha", F.when(F.col("kind") == "file", F.sha2(F.col("file_key").cast("string"), 256)))
 
 
+def results_of(spark, events):
+    """(event_id, service, done_us, body, error) of made-up events; an answer takes as long as a summary."""
+    rows = []
+    for e in events:
+        done = e["ts_us"] + e["latency_ms"] * MS
+        if e["kind"] == "file" and e.get("error"):
+            rows.append((e["event_id"], "summary", e["ts_us"], None, e["error"]))
+        elif e["kind"] in ("text", "file"):
+            body = f"file {e['file_key']}" if e["kind"] == "file" else f"text {e['event_id']}"
+            rows += [(e["event_id"], "summary", done, body, None), (e["event_id"], "summary", done + 5, "again", None)]
+        if e["kind"] == "text" and e.get("error"):
+            rows.append((e["event_id"], "question", e["ts_us"], None, e["error"]))
+        elif e["kind"] == "text":
+            rows.append((e["event_id"], "question", done, f"answer {e['event_id']}", None))
+    return spark.createDataFrame(rows, "event_id bigint, service string, done_us bigint, body string, error string")
+
+
 @pytest.mark.parametrize("seed,hot_rows", [(1, 10_000), (2, 10_000), (3, 40)])
 def test_bot_routes_equal_the_sequential_bot(spark, seed, hot_rows):
-    events = bot_events(500, seed)
+    events = [e | {"error": "broken" if e["event_id"] % 11 == 0 else None} for e in bot_events(500, seed)]
     window = 120_000_000
-    run = bot.start(frame(spark, events), window, hot_rows=hot_rows)
+    run = bot.start(frame(spark, events), results_of(spark, events), window, hot_rows=hot_rows)
     assert run.slices.any_hot == (hot_rows < 100)
     got = {r.event_id: (r.route, r.last_file) for r in run.routes().collect()}
     want = bot_model(events, window)
     assert set(r for r, _ in want.values()) >= {"question", "qa_no_file", "cache_hit", "rate_limited"}
     assert got == want
+    told = {r.event_id: (r.outcome, r.observed_ms, r.reply) for r in bot.replies(run.routes()).collect()}
+    by_id = {e["event_id"]: e for e in events}
+    for event_id, (route, _) in want.items():
+        e = by_id[event_id]
+        looks = 2000 * max(1, -(-e["latency_ms"] // 2000))
+        if e["error"] and route in ("summarize_file", "question"):
+            assert told[event_id] == ("error", 0, S.REPLY_ERROR + "broken")
+        elif route == "question":
+            done = e["latency_ms"] <= 120_000
+            reply = f"{S.REPLY_ANSWER}answer {event_id}" if done else S.REPLY_ANSWER_TIMEOUT
+            assert told[event_id] == ("done" if done else "timeout", looks if done else 120_000, reply)
+        elif route == "summarize_file" and e["latency_ms"] <= 240_000:
+            assert told[event_id] == ("done", looks, f"{S.REPLY_DONE}file {e['file_key']}")
+        elif route == "cache_hit":
+            assert told[event_id] == (None, None, f"{S.REPLY_CACHED}file {e['file_key']}")
 
 
 def web_model(events):

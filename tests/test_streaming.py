@@ -1,19 +1,13 @@
 from __future__ import annotations
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
 from parchmill import schemas as S
-from parchmill.operators import polling, sessions
-from parchmill.operators.limits import rate_limit
 from parchmill.operators.state import lookup_status
 from parchmill.operators.summarize import summarize
 from parchmill.sources import results, topics
-from parchmill.streaming import limiter, worker
-from parchmill.streaming import polling as poll_streams
-from parchmill.streaming import sessions as session_streams
+from parchmill.streaming import worker
 
 REQUEST = "request_id string, text string, question string, ts timestamp"
 
@@ -102,86 +96,6 @@ def test_repeated_deliveries_are_dropped(spark, tmp_path):
     assert sorted(r.key for r in out.collect()) == ["a", "b", "c"]
 
 
-def test_limiter_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(5)
-    times = sorted(rng.sample(range(600), 150))
-    rows = [(i, rng.choice([1, 1, 2, 3]), t * 1_000_000) for i, t in enumerate(times)]
-    hits = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts_us bigint")
-    timed = hits.select("event_id", "user_id", F.timestamp_micros("ts_us").alias("ts"))
-    write_parts(timed, "ts", str(tmp_path / "in"))
-    stream = stream_of(spark, str(tmp_path / "in"), timed.schema)
-    out = collect(spark, limiter.limit_stream(stream, 60_000_000), tmp_path, "limit")
-    names = ["event_id", "window_start_us", "n_in_window", "limited"]
-    assert out.filter("late").count() == 0
-    assert sorted(out.select(*names).collect()) == sorted(rate_limit(hits, 60_000_000).select(*names).collect())
-
-
-def test_late_hits_are_marked(spark, tmp_path):
-    rows = [(1, 1, 100), (2, 1, 105), (3, 1, 103)]
-    timed = spark.createDataFrame(rows, "event_id bigint, user_id bigint, t int")
-    timed = timed.select("event_id", "user_id", F.timestamp_seconds("t").alias("ts"))
-    write_parts(timed, "event_id", str(tmp_path / "in"), 3)
-    stream = stream_of(spark, str(tmp_path / "in"), timed.schema)
-    out = collect(spark, limiter.limit_stream(stream, delay="10 minutes"), tmp_path, "late")
-    assert {r.event_id: (r.n_in_window, r.late) for r in out.collect()} == {1: (1, False), 2: (2, False), 3: (None, True)}
-
-
-def test_bot_session_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(11)
-    kinds = ["text", "file", "enter", "exit"]
-    rows = []
-    for i, t in enumerate(sorted(rng.sample(range(2000), 240))):
-        kind = rng.choices(kinds, [4, 4, 3, 1])[0]
-        limited, hit = rng.random() < 0.1, kind == "file" and rng.random() < 0.2
-        rows.append((i, rng.choice([1, 2]), t * 1_000_000, kind, rng.randrange(9), 1000, limited and kind in ("text", "file"), hit and not limited))
-    schema = "event_id bigint, user_id bigint, ts_us bigint, kind string, file_key bigint, latency_ms bigint, limited boolean, hit boolean"
-    flow = spark.createDataFrame(rows, schema).withColumns({"content_sha": F.lit("s"), "cached": F.lit(None).cast("string")})
-    is_message = F.col("kind").isin("text", "file")
-    batch = sessions.route_bot(flow.filter(is_message), flow.filter(~is_message))
-    done = sessions.completions(flow.filter(is_message)).withColumns({"limited": F.lit(False), "hit": F.lit(False)})
-    names = ["event_id", "user_id", "ts_us", "kind", "file_key", "limited", "hit"]
-    replay = flow.select(*names).unionByName(done.select(*names))
-    write_parts(replay, F.struct("ts_us", F.when(F.col("kind") == "done", 0).otherwise(1), "event_id"), str(tmp_path / "in"))
-    out = collect(spark, session_streams.route_bot_stream(stream_of(spark, str(tmp_path / "in"), replay.schema)), tmp_path, "bot")
-    columns = ["event_id", "route", "last_file"]
-    assert sorted(map(tuple, out.select(*columns).collect()), key=repr) == sorted(map(tuple, batch.select(*columns).collect()), key=repr)
-
-
-def test_web_session_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [
-        (i, rng.choice([1, 2, 3]), i * 10, rng.choice(["text", "text", "upload", "continue", "ask"]), rng.choice(["a", " "]))
-        for i in range(300)
-    ]
-    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts_us bigint, kind string, text string")
-    batch = sessions.route_web(df)
-    replay = batch.select("event_id", "user_id", "ts_us", "kind", "user_text")
-    write_parts(replay, "event_id", str(tmp_path / "in"))
-    out = collect(spark, session_streams.route_web_stream(stream_of(spark, str(tmp_path / "in"), replay.schema)), tmp_path, "web")
-    columns = ["event_id", "segment", "action", "route"]
-    assert sorted(map(tuple, out.select(*columns).collect()), key=repr) == sorted(map(tuple, batch.select(*columns).collect()), key=repr)
-
-
-def test_poll_stream_equals_batch(spark, tmp_path):
-    rows = [(1, 1000, 1), (2, 1005, 29), (3, 1010, 31), (4, 1015, None), (5, 1900, 2)]
-    df = spark.createDataFrame(rows, "request_id int, t int, lat int")
-    asked = df.select("request_id", F.timestamp_seconds("t").alias("ts"))
-    done = df.filter("lat is not null").select("request_id", F.timestamp_seconds(F.col("t") + F.col("lat")).alias("done_ts"))
-    write_parts(asked, "ts", str(tmp_path / "asked"), 3)
-    write_parts(done, "done_ts", str(tmp_path / "done"), 3)
-    outcome = poll_streams.poll_stream(
-        stream_of(spark, str(tmp_path / "asked"), asked.schema), stream_of(spark, str(tmp_path / "done"), done.schema), S.WEB_POLL
-    )
-    out = collect(spark, outcome, tmp_path, "poll")
-    batch = polling.poll(
-        asked.select("request_id", F.unix_micros("ts").alias("ts_us")),
-        done.select("request_id", F.unix_micros("done_ts").alias("done_us")),
-        S.WEB_POLL,
-    )
-    names = ["request_id", "outcome", "observed_ms"]
-    assert sorted(out.select(*names).collect()) == sorted(batch.select(*names).collect())
-
-
 def test_text_operators_run_on_streams(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     write_parts(docs, "doc_id", str(tmp_path / "in"), 2)
