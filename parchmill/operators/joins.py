@@ -50,9 +50,10 @@ def join_salted(
     is still broadcast. Otherwise the rows of a frequent key are dealt to SALTS tasks,
     and only for such a key the right row is repeated. NULL keys match nothing and are
     dealt out too. The salt comes from the row's content: a task that runs again makes
-    the same.
+    the same. A stream's rows are not known at plan time: it takes the plain join.
     """
-    hot = frequent_keys(left, key) if hot is None else hot
+    if hot is None:
+        hot = [] if left.isStreaming else frequent_keys(left, key)
     if not hot:
         return left.join(right, key, how)
     listed = local_table(left.sparkSession, {key: [k for k in hot if k is not None]}, left.schema)

@@ -12,10 +12,24 @@ from parchmill.operators.joins import LISTED, SALT_ABOVE, join_salted
 from parchmill.session import cut_lineage
 
 
+def newest_rows(state_log: DataFrame) -> DataFrame:
+    """The last row written per request id, as it is. At equal times a result beats its ``processing`` mark,
+    and of two results the one with the larger hash."""
+    order = F.struct("ts", "state_rank", F.xxhash64("value"))
+    newest = F.max_by(F.struct("value", "state_rank", "ok", "ts"), order).alias("s")
+    return state_log.groupBy("request_id").agg(newest).select("request_id", "s.*")
+
+
 def latest_state(state_log: DataFrame) -> DataFrame:
-    """Last write per request id. At equal times a result beats its ``processing`` mark."""
-    newest = F.max_by(F.struct("value", "ok", "ts"), F.struct("ts", "state_rank", "value")).alias("s")
-    return state_log.groupBy("request_id").agg(newest).select("request_id", "s.value", "s.ok", "s.ts")
+    """Last write per request id: request_id, value, ok, ts."""
+    return newest_rows(state_log).drop("state_rank")
+
+
+def look_up(requests: DataFrame, state_log: DataFrame) -> DataFrame:
+    """Status of every asked id from the state log. Rows of other ids are left out before the
+    reduction, so that values nobody asks for are neither moved nor compared."""
+    asked = requests.select("request_id").distinct()
+    return lookup_status(requests, latest_state(state_log.join(asked, "request_id", "left_semi")))
 
 
 def lookup_status(requests: DataFrame, latest: DataFrame) -> DataFrame:
@@ -39,10 +53,14 @@ def build_cache(results: DataFrame) -> DataFrame:
 
     One small group per distinct content; copies are combined before the shuffle.
     """
+    return earliest_rows(results).select("content_sha", F.col("done_us").alias("ready_us"), "summary")
+
+
+def earliest_rows(results: DataFrame) -> DataFrame:
+    """The earliest good row per content, as it is."""
     good = results.filter("ok AND summary <> ''")
-    return good.groupBy("content_sha").agg(
-        F.min("done_us").alias("ready_us"), F.min_by("summary", F.struct("done_us", "event_id")).alias("summary")
-    )
+    first = F.min_by(F.struct("summary", "done_us", "event_id", "ok"), F.struct("done_us", "event_id")).alias("s")
+    return good.groupBy("content_sha").agg(first).select("content_sha", "s.*")
 
 
 def merge_cache(cache: DataFrame, more: DataFrame) -> DataFrame:

@@ -268,8 +268,7 @@ def status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = state.latest_state(inputs.state_log(spark, sf_dir))
-    return state.lookup_status(inputs.status_requests(spark, sf_dir), latest).select(
+    return state.look_up(inputs.status_requests(spark, sf_dir), inputs.state_log(spark, sf_dir)).select(
         "event_id", "request_id", "status", "summary", "ok"
     )
 

@@ -116,4 +116,4 @@ def run(submissions: list[Submission], wire: str = "json", models: Models = Mode
 
 
 def check_status(request_ids: DataFrame, state_log: DataFrame) -> DataFrame:
-    return state.lookup_status(request_ids, state.latest_state(state_log))
+    return state.look_up(request_ids, state_log)

@@ -116,6 +116,8 @@ TOPIC_QUESTION = "question"
 CHUNK_CHARS = 512
 CONTEXT_CHARS = 3000
 MIN_ANSWER_CHARS = 5
+# Buckets of a keyed log: a lookup of few keys reads so small a share of it.
+LOG_BUCKETS = 64
 RATE_LIMIT = 5
 RATE_WINDOW_S = 60
 ACCEPTED_EXTENSIONS = (".txt", ".doc", ".docx", ".pdf")

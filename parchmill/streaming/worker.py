@@ -34,7 +34,7 @@ def run_worker(
     def handle(batch: DataFrame, batch_id: int) -> None:
         parsed = frames.parse_frames(batch, wire).persist()
         try:
-            results.write_batch(process(parsed, models), state_path, batch_id, "worker")
+            results.state_log(state_path).write(process(parsed, models), batch_id, "worker")
             results.write_batch(frames.dead_letters(parsed), dead_letter_path, batch_id, "worker")
         finally:
             parsed.unpersist()
@@ -96,7 +96,7 @@ def run_gateway(
                 refused.select("request_id", error.alias("error"), "ts").write.mode("overwrite").parquet(
                     f"{rejects}/batch={batch_id}"
                 )
-            results.write_batch(frames.processing_rows(accepted), state_path, batch_id, "gateway")
+            results.state_log(state_path).write(frames.processing_rows(accepted), batch_id, "gateway")
             summaries = frames.summarize_frames(accepted.filter(F.col("question").isNull()), wire)
             questions = frames.question_frames(accepted.filter(F.col("question").isNotNull()), wire)
             sink(summaries.unionByName(questions), batch_id)
