@@ -7,8 +7,12 @@ needed to put them back together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from parchmill.operators.backends import ModelFactory, run_model_on_lists
 
 # A lexicon up to this many entries becomes a literal map in the plan.
 INLINE_LEXICON_ROWS = 256
+# A larger one travels to the workers in blocks of about this many entries, some 40 MB each.
+BLOCK_ENTRIES = 250_000
 
 
 @dataclass(frozen=True)
@@ -58,19 +64,17 @@ def _by_lexicon(df: DataFrame, lexicon: DataFrame, out_col: str, ok_col: str) ->
     """Replace known words, keep everything else as it is.
 
     A key is a lower-cased run of ``WORD_OR_GAP``, a word or what stands between two, whatever
-    the size of the lexicon. Entries without a source or a target are left out. A lexicon that
-    is too large for the plan is joined, which a stream cannot do.
+    the size of the lexicon. Entries without a source or a target are left out. No text is
+    shuffled, so streams and tables take the same way.
     """
     lexicon = lexicon.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
     lexicon = lexicon.groupBy("src").agg(F.min("tgt").alias("tgt"))
     entries = lexicon.limit(INLINE_LEXICON_ROWS + 1).collect()
-    if len(entries) > INLINE_LEXICON_ROWS and df.isStreaming:
-        raise ValueError(f"a stream takes a lexicon of {INLINE_LEXICON_ROWS} entries at most")
     if len(entries) <= INLINE_LEXICON_ROWS:
         known = F.create_map(*[F.lit(x) for row in entries for x in (row["src"], row["tgt"])])
         work = df.withColumn("_pieces", _map_words(F.col("_pieces"), known) if entries else F.col("_pieces"))
     else:
-        work = _join_lexicon(df, lexicon)
+        work = _look_up_words(df, lexicon)
     return work.withColumns({out_col: F.array_join("_pieces", " "), ok_col: F.lit(True)}).drop("_pieces")
 
 
@@ -87,34 +91,42 @@ def _map_words(pieces: Column, known: Column) -> Column:
     )
 
 
-def _join_lexicon(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Large lexicon: look up the distinct words of each row, not every occurrence.
+def _look_up_words(df: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Large lexicon: every block of it is broadcast and looked up in whole Arrow batches of words.
 
-    Rows are told apart by an id made here; only ids and words are shuffled, and
-    each row gets back the small map of the words it really holds. A frequent word
-    is a hot join key, so the lexicon side (unique words) is what gets replicated.
+    Keys come from the text alone, never from what another block put in its place, so the
+    blocks are independent and their number only sets how much a worker holds of each.
     """
-    row_id = F.xxhash64(*[F.col(c) for c in df.columns if c != "_pieces"])
-    work = df.withColumn("_row", row_id)
-    words = work.select(
-        "_row",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "_pieces",
-                        lambda p: F.transform(F.regexp_extract_all(p, F.lit(tx.WORD_OR_GAP), F.lit(0)), F.lower),
-                    )
-                )
-            )
-        ).alias("src"),
-    )
-    found = (
-        words.join(lexicon, "src")
-        .groupBy("_row")
-        # A set: equal rows share an id and bring the same pairs.
-        .agg(F.map_from_entries(F.collect_set(F.struct("src", "tgt"))).alias("_known"))
-    )
-    joined = work.join(found, "_row", "left")
-    mapped = F.when(F.col("_known").isNotNull(), _map_words(F.col("_pieces"), F.col("_known")))
-    return joined.withColumn("_pieces", F.coalesce(mapped, F.col("_pieces"))).drop("_row", "_known")
+    context = df.sparkSession.sparkContext
+    n_blocks = -(-lexicon.count() // BLOCK_ENTRIES)
+    runs = F.transform("_pieces", lambda p: F.regexp_extract_all(p, F.lit(tx.WORD_OR_GAP), F.lit(0)))
+    work = df.withColumn("_runs", runs)
+    keys = F.transform("_runs", lambda piece: F.transform(piece, F.lower))
+    done = F.col("_runs")
+    for block in range(n_blocks):
+        part = lexicon.filter(F.pmod(F.xxhash64("src"), F.lit(n_blocks)) == block).toArrow().combine_chunks()
+        found = _lookup(context.broadcast((part.column("src"), part.column("tgt"))))(keys)
+        done = F.zip_with(done, found, lambda a, b: F.zip_with(a, b, lambda run, new: F.coalesce(new, run)))
+    joined = F.transform(done, lambda piece: F.array_join(piece, ""))
+    # A null text has no pieces and stays null.
+    return work.withColumn("_pieces", joined).drop("_runs")
+
+
+def _lookup(block: Broadcast) -> Callable[[Column], Column]:
+    """Arrow function: the targets of array<array<string>>, null where a word is not in the block."""
+
+    def look_up(keys: pa.Array) -> pa.Array:
+        sources, targets = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in block.value)
+        inner = keys.flatten()
+        words = inner.flatten()
+        new = targets.take(pc.index_in(words, value_set=sources)).cast(pa.string())
+        # Offsets anew: flattening leaves out what null rows point at.
+        pieces = pa.ListArray.from_arrays(_offsets(inner), new)
+        return pa.ListArray.from_arrays(_offsets(keys), pieces)
+
+    return F.arrow_udf(look_up, "array<array<string>>")
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())
+    return pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes)]).cast(pa.int32())

@@ -257,6 +257,14 @@ def translate_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def translate_lexicon_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``translate_lexicon`` with more entries than a plan can hold."""
+    words = Translator(lexicon=inputs.large_lexicon(spark, sf_dir))
+    done = translate(inputs.spread_documents(spark, sf_dir), words)
+    return done.select("doc_id", _sha(F.col("translation")).alias("text_sha"))
+
+
 # --- state and cache ------------------------------------------------------------------
 
 

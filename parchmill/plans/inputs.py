@@ -270,3 +270,12 @@ LEXICON = {
 
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON.items()), "src string, tgt string")
+
+
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of letters in a conversation as an entry: some thousand words."""
+    turns = table(spark, sf_dir, "conversations")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    return turns.select(F.explode(F.array_distinct(words)).alias("src")).distinct().withColumn(
+        "tgt", F.concat(F.lit("<"), F.col("src"), F.lit(">"))
+    )

@@ -377,6 +377,12 @@ whole AS (SELECT doc_id, 0 AS pos, text AS chunk FROM documents),
 SELECT d.doc_id, sha256(coalesce(c.t, '')) AS text_sha, sha256(coalesce(u.t, '')) AS unchunked_sha
 FROM documents d LEFT JOIN cut c USING (doc_id) LEFT JOIN uncut u USING (doc_id)"""
 
+    sql["translate_lexicon_large"] = f"""WITH lex AS (
+  SELECT DISTINCT src, '<' || src || '>' AS tgt
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS src FROM conversations)), {_chunks()},
+{by_lexicon("cut", "chunk")}
+SELECT d.doc_id, sha256(coalesce(c.t, '')) AS text_sha FROM documents d LEFT JOIN cut c USING (doc_id)"""
+
     sql["status_latest"] = f"WITH {EV}, {STATE} SELECT request_id, value, ok, ts_us FROM latest"
 
     sql["status_lookup"] = f"""WITH {EV}, {STATE}, ask AS (SELECT event_id, user_id || '-' || k AS request_id FROM ev)

@@ -4,6 +4,7 @@ from parchmill import schemas as S
 from parchmill.operators.answer import answer
 from parchmill.operators.backends import first_loadable
 from parchmill.operators.summarize import summarize
+from parchmill.operators import translate as translate_module
 from parchmill.operators.translate import IDENTITY, INLINE_LEXICON_ROWS, Translator, translate
 
 
@@ -104,6 +105,31 @@ def test_lexicon_keys_do_not_depend_on_its_size(spark):
     assert texts[0] == texts[1] and texts[0][1] == "uno; two N Q"
 
 
+def test_blocks_of_a_lexicon_are_independent(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, "42"), (5, "one\n" * 700)], "i int, text string")
+    # A target that is a source elsewhere is not looked up again.
+    entries = [("one", "two"), ("two", "three"), ("three", "one")] + [(f"filler{i}", "x") for i in range(400)]
+    lexicon = spark.createDataFrame(entries, "src string, tgt string")
+    texts = []
+    for size in (250_000, 50):
+        monkeypatch.setattr(translate_module, "BLOCK_ENTRIES", size)
+        done = translate(df, Translator(lexicon=lexicon))
+        assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+        texts.append({r.i: r.translation for r in done.collect()})
+    assert texts[0] == texts[1] and texts[0][1] == "two three one" and texts[0][2] is None
+
+
+def test_a_large_lexicon_on_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "i int, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    lexicon = spark.createDataFrame([("one", "uno")] + [(f"filler{i}", "x") for i in range(400)], "src string, tgt string")
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = translate(stream, Translator(lexicon=lexicon)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.i: r.translation for r in out} == {1: "uno two", 2: None, 3: ""}
+
+
 def test_the_text_of_a_failed_model_is_not_translated(spark):
     df = spark.createDataFrame([(1, "a context", "why")], "i int, text string, question string")
     row = answer(df, model=missing, from_model=Translator(model=shouting)).first()
