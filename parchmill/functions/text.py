@@ -109,6 +109,12 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def stable_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that is the same whenever the same parts are seen again."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.regexp_replace(F.sha2(text, 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
+
+
 def cache_key(sha: Column) -> Column:
     return F.concat(F.lit("filecache:"), sha)
 

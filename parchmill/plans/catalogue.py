@@ -17,7 +17,7 @@ from parchmill.operators.slices import find_slices
 from parchmill.operators.summarize import summarize
 from parchmill.operators.translate import IDENTITY, Translator, translate
 from parchmill.plans import bot, inputs, service
-from parchmill.session import spread
+from parchmill.session import cut_lineage, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,22 +144,47 @@ def _utf8_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-@query
-def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploads of five kinds; every seventh is an empty file."""
     kind = F.col("doc_id") % 5
     ext = F.when(kind == 0, ".TXT").when(kind == 1, ".pdf").when(kind == 2, ".docx").when(kind == 3, ".doc").otherwise("")
-    files = inputs.documents(spark, sf_dir).select(
+    return inputs.documents(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("dir.x/f"), F.col("doc_id").cast("string"), ext).alias("filename"),
         F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("text")).cast("binary").alias("content"),
     )
-    texts = extract.extract_text(files, pdf_reader=_utf8_pages, docx_reader=_utf8_pages)
+
+
+@query
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract.extract_text(_uploads(spark, sf_dir), pdf_reader=_utf8_pages, docx_reader=_utf8_pages)
     return texts.select(
         "doc_id", "filename", "ext", "accepted", "error", F.length("text").cast("bigint").alias("n_chars")
     )
 
 
+@query
+def file_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads taken in under ids of their own, summarized, and looked up by them."""
+    files = _uploads(spark, sf_dir).select(
+        F.col("filename").alias("path"),
+        F.regexp_extract("filename", r"([^/]*)$", 1).alias("filename"),
+        "content",
+        F.timestamp_seconds("doc_id").alias("modified"),
+    )
+    taken = cut_lineage(service.take_in(files, pdf_reader=_utf8_pages, docx_reader=_utf8_pages))
+    told = service.check_status(taken.select("request_id"), service.run([service.submit_taken(taken)]))
+    refused = F.col("error").isNotNull()
+    return taken.select("request_id", "path", "error").join(told, "request_id").select(
+        "path",
+        F.when(~refused, F.col("request_id")).alias("request_id"),
+        "error",
+        F.when(refused, "refused").otherwise(F.col("status")).alias("status"),
+        "ok",
+        _sha(F.col("summary")).alias("summary_sha"),
+    )
+
+
 @query
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd documents are stored in a one-byte encoding where their characters allow it."""

@@ -323,6 +323,20 @@ t AS (
 SELECT doc_id, filename, ext, ext IN ('.txt', '.doc', '.docx', '.pdf') AS accepted,
        CASE WHEN text = '' THEN {_lit(S.EXTRACT_FAILED)} END AS error, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
 
+    sql["file_lifecycle"] = f"""WITH f AS (
+  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '.TXT' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx' WHEN 3 THEN '.doc'
+                 ELSE '' END AS e, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS body FROM documents),
+u AS (
+  SELECT doc_id, 'dir.x/f' || doc_id || e AS path, body = '' OR e IN ('.doc', '') AS refused,
+         sha256('dir.x/f' || doc_id || e || '|' || doc_id * 1000000 || '|' || strlen(body)) AS h FROM f),
+made AS (SELECT doc_id, summary, ok FROM (WITH {SUMMARY} SELECT * FROM summed))
+SELECT path, CASE WHEN NOT refused THEN concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) END AS request_id,
+       CASE WHEN refused THEN {_lit(S.EXTRACT_FAILED)} END AS error,
+       CASE WHEN refused THEN 'refused' WHEN summary <> '' THEN 'done' ELSE 'not_found' END AS status,
+       NOT refused AND summary <> '' AND ok AS ok,
+       CASE WHEN NOT refused AND summary <> '' THEN sha256(summary) END AS summary_sha
+FROM u JOIN made USING (doc_id)"""
+
     sql["decode_text"] = rf"""SELECT doc_id, sha256(CASE
     WHEN doc_id % 2 = 1 AND NOT regexp_matches(text, '[^\x{{00}}-\x{{FF}}]')
     THEN translate(text, {_lit(LATIN1_CHARS)}, {_lit(CP1251_CHARS)}) ELSE text END) AS text_sha

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill import schemas as S
+from parchmill.functions import text as tx
 from parchmill.operators import extract, frames, state
 from parchmill.operators.answer import answer
 from parchmill.operators.backends import ModelFactory
@@ -60,6 +61,33 @@ def submit_files(
     )
 
 
+def identify(files: DataFrame) -> DataFrame:
+    """(path, filename, content, modified) with its request_id and ts: a file that is read again gets
+    the same id, a changed file another one."""
+    n_bytes = F.octet_length("content")
+    request_id = tx.stable_id(F.col("path"), F.unix_micros("modified"), n_bytes)
+    return files.withColumns({"request_id": request_id, "n_bytes": n_bytes, "ts": F.col("modified")})
+
+
+def take_in(
+    files: DataFrame,
+    pdf_reader: extract.PartReader | None = None,
+    ocr_reader: extract.PartReader | None = None,
+    docx_reader: extract.PartReader = extract.read_docx_paragraphs,
+) -> DataFrame:
+    """Files as rows of the intake table: id, where from, and the text or why there is none. Write
+    it once and go on from there; every file is opened once."""
+    texts = extract.extract_text(identify(files), pdf_reader, ocr_reader, docx_reader)
+    return texts.select("request_id", "path", "filename", "ext", "n_bytes", "text", "read_error", "error", "ts")
+
+
+def submit_taken(taken: DataFrame, wire: str = "json") -> Submission:
+    """Rows of the intake table as summary requests."""
+    good = extract.accepted_requests(taken)
+    refused = extract.rejected_requests(taken).select("request_id", "path", "error", "ts")
+    return Submission(frames.processing_rows(good), frames.summarize_frames(good, wire), refused)
+
+
 def submit_questions(
     files: DataFrame,
     questions: DataFrame,

@@ -55,6 +55,21 @@ STATE_ROW = T.StructType(
     ]
 )
 
+# A file taken in: its id, where it came from, and its text or why there is none.
+INTAKE_ROW = T.StructType(
+    [
+        T.StructField("request_id", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("ext", T.StringType()),
+        T.StructField("n_bytes", T.IntegerType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("read_error", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
+    ]
+)
+
 CACHE_LOG = T.StructType(
     [
         T.StructField("content_sha", T.StringType()),

@@ -12,7 +12,8 @@ from parchmill.operators import extract
 def read_files(spark: SparkSession, folder: str, ext: str | None = None) -> DataFrame:
     """(path, filename, content, modified) of the files below a folder.
 
-    With ``ext`` only files of that extension are listed and read.
+    With ``ext`` only files of that extension are listed and read. Empty files are not listed
+    by Spark's source, here and on the stream; rows that come with their content may be empty.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if ext is not None:
@@ -25,6 +26,23 @@ def read_files(spark: SparkSession, folder: str, ext: str | None = None) -> Data
     )
 
 
+# Fixed by the source; a stream has to be told.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def stream_files(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """As ``read_files``, following new files below a folder."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(folder).select(
+        "path",
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
+        "content",
+        F.col("modificationTime").alias("modified"),
+    )
+
+
 def read_texts(
     spark: SparkSession,
     folder: str,
