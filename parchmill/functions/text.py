@@ -17,6 +17,10 @@ _SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 SPACE_CLASS = f"[{_SPACE}]"
 NOT_SPACE_CLASS = f"[^{_SPACE}]"
 
+# What ends a token of a budget, and its length at most.
+ASCII_SPACE = r" \t\n\x0B\f\r"
+TOKEN_CHARS = 32
+
 SENTENCE_BREAK = r"[.!?]+[ \t\r\n]+|[\r\n]+"
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 WORD_OR_GAP = r"\p{L}+|[^\p{L}]+"
@@ -61,9 +65,14 @@ def normalize_question(question: Column) -> Column:
     return F.when(stripped.endswith("?"), stripped).otherwise(F.concat(stripped, F.lit("?")))
 
 
-def first_words(text: Column, n: int) -> Column:
-    """The first ``n`` tokens between single spaces."""
-    return F.substring_index(text, " ", n)
+def first_tokens(text: Column, n: int) -> Column:
+    """The text up to the end of its ``n``-th token, or to its last one if it has fewer.
+
+    A token is up to ``TOKEN_CHARS`` characters without white space; a longer run counts as several, so
+    that a budget bounds texts of any script. The scan stops at the budget and never goes back.
+    """
+    token = rf"[{ASCII_SPACE}]*+[^{ASCII_SPACE}]{{1,{TOKEN_CHARS}}}+"
+    return F.regexp_extract(text, rf"(?s)\A(?:{token}){{0,{n}}}+", 0)
 
 
 def tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmill import schemas as S
 from parchmill.functions import text as tx
-from parchmill.operators.backends import ModelFactory, run_model
+from parchmill.operators.backends import CutterFactory, ModelFactory, cut_to_tokens, run_model
 from parchmill.operators.translate import Translator, translate
 
 
@@ -21,12 +21,14 @@ def answer(
     model: ModelFactory | None = None,
     to_model: Translator | None = None,
     from_model: Translator | None = None,
+    cutter: CutterFactory | None = None,
 ) -> DataFrame:
     """Add an answer, its score (number of question words found) and an ok flag.
 
     The question is normalized and the context cut before any costly step. With
     translators, question and context are translated on the way in and the answer
-    on the way out; the fixed not-found text is not translated.
+    on the way out; the fixed not-found text is not translated. ``cutter`` counts the tokens
+    of a model's input.
     """
     work = df.withColumns(
         {
@@ -40,7 +42,7 @@ def answer(
     if model is None:
         work = _extract(work, config)
     else:
-        work = work.withColumn("_in", tx.first_words(tx.question_prompt(F.col("_q"), F.col("_c")), config.max_input_tokens))
+        work = work.withColumn("_in", cut_to_tokens(tx.question_prompt(F.col("_q"), F.col("_c")), config.max_input_tokens, cutter))
         work = run_model(work, model, "_in", "_a", "_model_ok", S.ANSWER_FAILED).drop("_in")
         work = work.withColumn("_score", F.lit(None).cast("int"))
     found = F.coalesce(F.length("_a") >= S.MIN_ANSWER_CHARS, F.lit(False))
@@ -89,7 +91,7 @@ def _extract(work: DataFrame, config: S.GenerationConfig) -> DataFrame:
     )
     return work.withColumns(
         {
-            "_a": tx.first_words(F.array_join(F.transform(kept, lambda s: s["text"]), " "), config.max_tokens),
+            "_a": tx.first_tokens(F.array_join(F.transform(kept, lambda s: s["text"]), " "), config.max_tokens),
             "_score": F.coalesce(F.col("_best.score"), F.lit(0)),
             "_model_ok": F.lit(True),
         }

@@ -10,15 +10,48 @@ import logging
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchmill.functions import text as tx
+
 log = logging.getLogger(__name__)
 
 # A loaded model: a batch of texts in, one result per text out.
 Model = Callable[[Sequence[str]], Sequence[str]]
 ModelFactory = Callable[[], Model]
 
+# A loaded tokenizer: texts and a number of tokens in, the texts cut to that many tokens out.
+Cutter = Callable[[Sequence[str], int], Sequence[str]]
+CutterFactory = Callable[[], Cutter]
+
+
+def cut_to_tokens(text: Column, n: int, cutter: CutterFactory | None = None) -> Column:
+    """``text`` cut to ``n`` tokens: of a tokenizer, which is loaded once per task, or without one of white space.
+
+    A text the tokenizer fails on is cut at white space.
+    """
+    plain = tx.first_tokens(text, n)
+    if cutter is None:
+        return plain
+    loaded: list[Cutter] = []
+
+    def cut(texts: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(cutter())
+        out: list[str | None] = []
+        for value in texts.to_pylist():
+            try:
+                out.append(None if value is None else loaded[0]([value], n)[0])
+            except Exception:
+                log.exception("a text could not be cut by the tokenizer")
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.coalesce(F.arrow_udf(cut, "string")(text), plain)
+
 
 def first_loadable(*factories: ModelFactory) -> ModelFactory:
     """The first of several factories that works: a local folder, then a model hub."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parchmill import schemas as S
 from parchmill.functions import text as tx
-from parchmill.operators.backends import ModelFactory, run_model
+from parchmill.operators.backends import CutterFactory, ModelFactory, cut_to_tokens, run_model
 
 SCORE_SCALE = 1_000_000
 
@@ -86,8 +86,9 @@ def summarize(
     ok_col: str = "ok",
     config: S.GenerationConfig = S.SUMMARY,
     model: ModelFactory | None = None,
+    cutter: CutterFactory | None = None,
 ) -> DataFrame:
-    """Add a summary and an ok flag to every row.
+    """Add a summary and an ok flag to every row. ``cutter`` counts the tokens of the input budget.
 
     Without a model: sentences of the input budget are scored by the mean document
     frequency of their words; the best one is kept, and further ones in score
@@ -97,10 +98,10 @@ def summarize(
     prefix_words = len(config.prefix.split())
     budget = config.max_input_tokens - prefix_words
     if model is not None:
-        prompted = df.withColumn("_in", F.concat(F.lit(config.prefix), tx.first_words(F.col(text_col), budget)))
+        prompted = df.withColumn("_in", F.concat(F.lit(config.prefix), cut_to_tokens(F.col(text_col), budget, cutter)))
         return run_model(prompted, model, "_in", out_col, ok_col, S.SUMMARY_FAILED).drop("_in")
 
-    work = df.withColumn("_sents", tx.sentences(tx.first_words(F.col(text_col), budget)))
+    work = df.withColumn("_sents", tx.sentences(cut_to_tokens(F.col(text_col), budget, cutter)))
     # Every sentence has a word, so later ranks than this start at min_tokens or above.
     work = work.withColumn("_ranked", _ranked(F.col("_sents"), max(config.min_tokens, 1)))
     work = work.withColumn(
@@ -119,7 +120,7 @@ def summarize(
             "_kept",
             lambda s: F.struct(
                 s["pos"],
-                F.when(s["n"] > config.max_tokens, tx.first_words(s["text"], config.max_tokens))
+                F.when(s["n"] > config.max_tokens, tx.first_tokens(s["text"], config.max_tokens))
                 .otherwise(s["text"])
                 .alias("text"),
             ),

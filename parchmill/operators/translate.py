@@ -50,7 +50,7 @@ def translate(
     pieces = tx.chunks(F.col(text_col), chunk_chars)
     if translator.model is not None:
         budgeted = df.withColumn(
-            "_pieces", F.transform(pieces, lambda p: tx.first_words(p, S.TRANSLATE_MAX_TOKENS))
+            "_pieces", F.transform(pieces, lambda p: tx.first_tokens(p, S.TRANSLATE_MAX_TOKENS))
         )
         done = run_model_on_lists(budgeted, translator.model, "_pieces", "_done", ok_col)
         joined = F.when(F.col(ok_col), F.array_join("_done", " ")).otherwise(F.col(text_col))

@@ -25,8 +25,9 @@ def _words(expr: str) -> str:
     return f"[w FOR w IN string_split_regex(lower({expr}), '{TOKEN_BREAK}') IF w <> '']"
 
 
-def _first_words(expr: str, n: int) -> str:
-    return f"array_to_string(list_slice(string_split({expr}, ' '), 1, {n}), ' ')"
+def _first_tokens(expr: str, n: int) -> str:
+    token = r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]{1,32}"
+    return f"array_to_string(list_slice(regexp_extract_all({expr}, '{token}'), 1, {n}), '')"
 
 
 def _question(expr: str) -> str:
@@ -158,7 +159,7 @@ sent AS (
     SELECT id, pos, s, {_words("s")} AS words FROM (
       SELECT id, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM parts))
   WHERE len(words) > 0)"""
-SUMMARY = f"""body AS (SELECT doc_id AS id, {_first_words("text", S.SUMMARY.max_input_tokens - 1)} AS body FROM documents),
+SUMMARY = f"""body AS (SELECT doc_id AS id, {_first_tokens("text", S.SUMMARY.max_input_tokens - 1)} AS body FROM documents),
 {SENTENCES},
 word AS (SELECT id, pos, unnest(words) AS w FROM sent),
 tf AS (SELECT id, w, count(*) AS c FROM word GROUP BY id, w),
@@ -169,7 +170,7 @@ ranked AS (
   SELECT id, pos, s, n, row_number() OVER o AS rk, sum(n) OVER o AS cum
   FROM sent JOIN score USING (id, pos) WINDOW o AS (PARTITION BY id ORDER BY score DESC, pos)),
 kept AS (
-  SELECT id, pos, CASE WHEN n > {S.SUMMARY.max_tokens} THEN {_first_words("s", S.SUMMARY.max_tokens)} ELSE s END AS s
+  SELECT id, pos, CASE WHEN n > {S.SUMMARY.max_tokens} THEN {_first_tokens("s", S.SUMMARY.max_tokens)} ELSE s END AS s
   FROM ranked
   WHERE rk = 1 OR (cum - n < {S.SUMMARY.min_tokens} AND cum <= {S.SUMMARY.max_tokens})),
 summed AS (
@@ -191,7 +192,7 @@ tail AS (
   SELECT s.id, s.pos, s.s, sum(s.n) OVER (PARTITION BY s.id ORDER BY s.pos) - s.n AS before
   FROM sent s JOIN best b ON b.id = s.id AND s.pos >= b.pos AND b.score > 0),
 ans AS (
-  SELECT id, {_first_words("string_agg(s, ' ' ORDER BY pos)", S.ANSWER.max_tokens)} AS a
+  SELECT id, {_first_tokens("string_agg(s, ' ' ORDER BY pos)", S.ANSWER.max_tokens)} AS a
   FROM tail WHERE before < {S.ANSWER.min_tokens} GROUP BY id),
 answered AS (
   SELECT k.request_id, coalesce(length(a) >= {S.MIN_ANSWER_CHARS}, false) AS ok, coalesce(b.score, 0) AS score,

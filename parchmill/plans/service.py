@@ -15,7 +15,7 @@ from parchmill import schemas as S
 from parchmill.functions import text as tx
 from parchmill.operators import extract, frames, state
 from parchmill.operators.answer import answer
-from parchmill.operators.backends import ModelFactory
+from parchmill.operators.backends import CutterFactory, ModelFactory
 from parchmill.operators.summarize import summarize
 from parchmill.operators.translate import Translator
 from parchmill.session import cut_lineage
@@ -29,6 +29,7 @@ class Models:
     answer: ModelFactory | None = None
     to_model: Translator | None = None
     from_model: Translator | None = None
+    cutter: CutterFactory | None = None
 
 
 @dataclass(frozen=True)
@@ -123,12 +124,13 @@ def process(parsed: DataFrame, models: Models = Models()) -> DataFrame:
             "request_id", F.col(column).alias("value"), F.lit(1).alias("state_rank"), "ok", F.col("timestamp").alias("ts")
         )
 
-    summaries = summarize(frames.good_frames(parsed, S.TOPIC_SUMMARIZE), model=models.summarize)
+    summaries = summarize(frames.good_frames(parsed, S.TOPIC_SUMMARIZE), model=models.summarize, cutter=models.cutter)
     answers = answer(
         frames.good_frames(parsed, S.TOPIC_QUESTION),
         model=models.answer,
         to_model=models.to_model,
         from_model=models.from_model,
+        cutter=models.cutter,
     )
     return rows(summaries, "summary").unionByName(rows(answers, "answer"))
 
