@@ -17,10 +17,34 @@ FILE_SENT = ("Файл ", " отправлен на суммаризацию, ID
 QUESTION_SENT = ("Вопрос к файлу ", " отправлен, ID=")
 BAD_FRAME = "Неверный формат сообщения для вопроса: "
 BROKER_DOWN = "Ошибка подключения к Kafka: "
+MESSAGE_FAILED = "Ошибка обработки сообщения: "
+QUESTION_TRANSLATION = "Перевод вопроса на английский: "
+QUESTION_TRANSLATED = "Переведенный вопрос: "
+CONTEXT_TRANSLATION = "Перевод контекста на английский (первые "
+CONTEXT_TRANSLATED = "Контекст переведен на английский (длина: "
+ANSWER_MADE = "Получен ответ на английском: "
+ANSWER_TRANSLATED = "Ответ переведен на русский: "
 TEXT_LENGTH = "длина текста="
 CONTEXT_LENGTH = "длина контекста="
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 
+# The lines a worker writes on its way to an answer; none of them carries an id.
+STEPS = {
+    "question_translation": QUESTION_TRANSLATION,
+    "question_translated": QUESTION_TRANSLATED,
+    "context_translation": CONTEXT_TRANSLATION,
+    "context_translated": CONTEXT_TRANSLATED,
+    "answer_made": ANSWER_MADE,
+    "answer_translated": ANSWER_TRANSLATED,
+}
+# A stage is the time between two of these lines that follow each other.
+STAGES = {
+    "question_translation": ("question_translation", "question_translated"),
+    "context_translation": ("context_translation", "context_translated"),
+    "generation": ("context_translated", "answer_made"),
+    "back_translation": ("answer_made", "answer_translated"),
+}
+
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Raw lines -> ts, level, module, func, line, message.
@@ -61,7 +85,10 @@ def mark_requests(rows: DataFrame) -> DataFrame:
         .when(_sent(message, QUESTION_SENT), F.lit("question_sent"))
         .when(message.startswith(BAD_FRAME), F.lit("bad_frame"))
         .when(message.startswith(BROKER_DOWN), F.lit("broker_down"))
+        .when(message.startswith(MESSAGE_FAILED), F.lit("message_failed"))
     )
+    for name, start in STEPS.items():
+        event = event.when(message.startswith(start), F.lit(name))
     # The question in between is free text; the length is the last thing on the line.
     length = F.regexp_extract(message, rf"(?:{TEXT_LENGTH}|{CONTEXT_LENGTH})(\d+)\z", 1)
     marks = event.isin("summary_start", "summary_end", "question_start", "question_end")
@@ -125,21 +152,59 @@ def level_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("level", "func").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def stage_times(rows: DataFrame, source: str = "file_path") -> DataFrame:
+    """(source, stage, start_ms, stage_ms) of the stages of answering.
+
+    ``rows``: marked rows. A worker works on one message at a time, so the lines of one ``source`` (a log
+    file, which is rotated and so bounded) follow each other; lines of the same instant by their place in the program.
+    """
+    at = F.unix_millis("ts")
+    steps = rows.filter(F.col("event").isin(*STEPS))
+    before = Window.partitionBy(source).orderBy("ts", "line")
+    seen = steps.select(
+        source,
+        "event",
+        at.alias("at_ms"),
+        F.lag("event").over(before).alias("_event"),
+        F.lag(at).over(before).alias("start_ms"),
+    )
+    stage = F.lit(None).cast("string")
+    for name, (first, last) in STAGES.items():
+        stage = F.when((F.col("_event") == first) & (F.col("event") == last), F.lit(name)).otherwise(stage)
+    timed = seen.withColumns({"stage": stage, "stage_ms": F.col("at_ms") - F.col("start_ms")})
+    return timed.filter("stage is not null").select(source, "stage", "start_ms", "stage_ms")
+
+
+def stage_stats(times: DataFrame) -> DataFrame:
+    return times.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n_stages"),
+        F.sum("stage_ms").alias("total_ms"),
+        F.min("stage_ms").alias("min_ms"),
+        F.max("stage_ms").alias("max_ms"),
+    )
+
+
+def latency_counts(paired: DataFrame, *keys: str) -> DataFrame:
+    """How many requests took how many milliseconds, by service and other keys. Counts of parts add up."""
+    ended = paired.filter(F.col("latency_ms").isNotNull())
+    return ended.groupBy(*keys, "service", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+
+
 def latency_stats(paired: DataFrame) -> DataFrame:
     """Count, min, lower median and max per service, exact.
 
     Latencies are first counted per value, so the ordered pass sees one row per
     service and distinct millisecond, no matter how many requests there were.
     """
-    counted = (
-        paired.filter(F.col("latency_ms").isNotNull())
-        .groupBy("service", "latency_ms")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("service").orderBy("latency_ms")
-    everything = Window.partitionBy("service")
+    return stats_of_counts(latency_counts(paired))
+
+
+def stats_of_counts(counted: DataFrame, *keys: str) -> DataFrame:
+    """``latency_stats`` from counts (service, latency_ms, n), one row per value, service and other keys."""
+    upto = Window.partitionBy(*keys, "service").orderBy("latency_ms")
+    everything = Window.partitionBy(*keys, "service")
     ranked = counted.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(everything)})
-    return ranked.groupBy("service").agg(
+    return ranked.groupBy(*keys, "service").agg(
         F.max("total").alias("n_requests"),
         F.min("latency_ms").alias("min_ms"),
         F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("latency_ms"))).alias("median_ms"),

@@ -480,6 +480,16 @@ def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.latency_stats(logs.latencies(_log_rows(spark, sf_dir)))
 
 
+@query
+def log_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the stages of answering take, and the questions that fail on the way."""
+    rows = logs.mark_requests(logs.parse_lines(inputs.stage_lines(spark, sf_dir)))
+    failed = rows.filter("event = 'message_failed'").agg(
+        F.lit("failed").alias("stage"), F.count(F.lit(1)).alias("n_stages"), *(F.lit(None).cast("bigint").alias(c) for c in ("total_ms", "min_ms", "max_ms"))
+    )
+    return logs.stage_stats(logs.stage_times(rows)).unionByName(failed)
+
+
 @query
 def log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.level_counts(logs.parse_lines(inputs.log_lines(spark, sf_dir)))

@@ -242,6 +242,30 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.explode(F.array_compact(F.array(first, second))).alias("value"))
 
 
+def stage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on the way to the answers in ``log_lines`` (event_id, file_path, value), a log per user. Every seventh
+    question fails before its answer."""
+    ev = events(spark, sf_dir).filter("event_type = 'signup'")
+    k = F.col("k")
+    text = {
+        logs.QUESTION_TRANSLATION: F.concat(F.lit("q "), k.cast("string")),
+        logs.QUESTION_TRANSLATED: F.concat(F.lit("q "), k.cast("string"), F.lit("?")),
+        logs.CONTEXT_TRANSLATION: F.concat((k * 30).cast("string"), F.lit(" символов)")),
+        logs.CONTEXT_TRANSLATED: F.concat((k * 31).cast("string"), F.lit(")")),
+        logs.ANSWER_MADE: F.lit("a b"),
+        logs.ANSWER_TRANSLATED: F.lit("c d"),
+    }
+    lines = []
+    for i, (start, rest) in enumerate(text.items()):
+        at = F.col("ts_us") + (k + 2) * i * i * 1000
+        line = _log_line(at, "INFO", f"answer:{31 + i}", F.concat(F.lit(start), rest))
+        lines.append(F.when(k % 7 != 0, line) if i > 3 else line)
+    failed = F.concat(F.lit(logs.MESSAGE_FAILED), F.lit("no answer"))
+    lines.append(F.when(k % 7 == 0, _log_line(F.col("ts_us") + (k + 2) * 16_000, "ERROR", "main:40", failed)))
+    place = F.concat(F.lit("worker-"), F.col("user_id").cast("string"), F.lit(".log"))
+    return ev.select("event_id", place.alias("file_path"), F.explode(F.array_compact(F.array(*lines))).alias("value"))
+
+
 def gateway_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submission lines (event_id, value) of the requests in ``log_lines``, some milliseconds earlier."""
     ev = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click", "signup"))

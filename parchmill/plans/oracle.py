@@ -524,6 +524,18 @@ SELECT service, count(*) AS n_requests, min(latency_ms) AS min_ms,
        min(CASE WHEN rn * 2 >= n THEN latency_ms END) AS median_ms, max(latency_ms) AS max_ms
 FROM r GROUP BY service"""
 
+    stages = "('question_translation', 0, 1), ('context_translation', 2, 3), ('generation', 3, 4), ('back_translation', 4, 5)"
+    sql["log_stages"] = f"""WITH {EV}, q AS (SELECT * FROM ev WHERE event_type = 'signup'),
+l AS (
+  SELECT user_id, i, (ts_us + (k + 2) * i * i * 1000) // 1000 AS at_ms
+  FROM (SELECT *, unnest(range(6)) AS i FROM q) WHERE i < 4 OR k % 7 <> 0),
+p AS (SELECT *, lag(i) OVER w AS before, lag(at_ms) OVER w AS start_ms FROM l
+      WINDOW w AS (PARTITION BY user_id ORDER BY at_ms, i)),
+s(stage, a, b) AS (VALUES {stages})
+SELECT stage, count(*) AS n_stages, CAST(sum(at_ms - start_ms) AS BIGINT) AS total_ms, min(at_ms - start_ms) AS min_ms,
+       max(at_ms - start_ms) AS max_ms FROM p JOIN s ON before = a AND i = b GROUP BY stage
+UNION ALL SELECT 'failed', count(*), NULL, NULL, NULL FROM q WHERE k % 7 = 0"""
+
     sql["log_levels"] = f"""WITH {EV}, {_log_rows()}
 SELECT level, 'main' AS func, count(*) AS n_lines FROM lrow GROUP BY level"""
 
