@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmill import schemas as S
 from parchmill.functions import text as tx
 from parchmill.functions.decoding import decode_text
+from parchmill.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -147,29 +148,28 @@ def assemble_pages(pages: DataFrame, key: str = "path", separator: str = "") ->
 
     A group is one file, and its text has to fit in a row anyway.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
-    return pages.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), separator).alias("text"))
+    return pages.groupBy(key).agg(_in_page_order(F.struct("page_no", "text"), separator).alias("text"))
 
 
-def with_ocr_fallback(pages: DataFrame, ocr_pages: DataFrame, key: str = "path") -> DataFrame:
-    """Assembled texts; where the pages give only blanks, the OCR pages are taken.
+def with_ocr_fallback(
+    pages: DataFrame, ocr_pages: DataFrame | Callable[[DataFrame], DataFrame], key: str = "path"
+) -> DataFrame:
+    """Assembled texts (key, text, by_ocr); where the pages give only blanks, the OCR pages are taken.
 
-    Which files are blank is a flag per file, and costs no shuffle of text. OCR rows
-    are narrowed to those files, and then all pages are put together in one go. A
-    blank file nothing was recognized in gets the empty text.
+    ``ocr_pages``: page rows, or a function that makes them for the files (key) it is given, so that
+    nothing else is recognized. The pages are put together once and written; only blank files, which have
+    next to no text, are joined with what was recognized. A blank file nothing was recognized in gets the empty text.
     """
-    blank_page = tx.is_blank(F.col("text"))
-    blank_files = pages.groupBy(key).agg(F.bool_and(blank_page).alias("blank")).filter("blank").select(key)
-    wanted = ocr_pages.join(blank_files, key, "left_semi")
-    columns = [key, "page_no", "text"]
-    both = (
-        pages.select(*columns)
-        .withColumn("by_ocr", F.lit(False))
-        .unionByName(wanted.select(*columns).withColumn("by_ocr", F.lit(True)))
-    )
-    grouped = both.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("page_no", "text", "by_ocr"))).alias("parts"),
-        F.bool_and(blank_page | F.col("by_ocr")).alias("by_ocr"),
+    texts = pages.groupBy(key).agg(
+        _in_page_order(F.struct("page_no", "text")).alias("text"), F.bool_and(tx.is_blank(F.col("text"))).alias("blank")
     )
-    chosen = F.filter("parts", lambda p: p["by_ocr"] == F.col("by_ocr"))
-    return grouped.select(key, F.array_join(F.transform(chosen, lambda p: p["text"]), "").alias("text"), "by_ocr")
+    texts = cut_lineage(texts)
+    blank = texts.filter("blank").select(key)
+    wanted = ocr_pages(blank) if callable(ocr_pages) else ocr_pages.join(blank, key, "left_semi")
+    recognized = blank.join(assemble_pages(wanted, key), key, "left")
+    printed = texts.filter(~F.col("blank")).select(key, "text", F.lit(False).alias("by_ocr"))
+    return printed.unionByName(recognized.select(key, F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("by_ocr")))
+
+
+def _in_page_order(page: Column, separator: str = "") -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["text"]), separator)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchmill.operators.joins import join_on
 from parchmill.operators.slices import SLICE, Slices
 from parchmill.session import cut_lineage
 
@@ -96,7 +97,12 @@ def _to_frame(key: object, key_name: str, node: int, start: int, steps: Steps) -
             "exit": np.append(steps.exit, 0),
             "tail": np.append(steps.tail, steps.total),
         }
-    ).assign(**{key_name: key, "node": node, "start": start})
+    ).assign(**{key_name: _value(key), "node": node, "start": start})
+
+
+def _value(key: object) -> object:
+    """A group's key; pandas shows a NULL as NaN."""
+    return None if pd.isna(key) else key
 
 
 def _from_frame(pdf: pd.DataFrame) -> list[tuple[int, int, Steps]]:
@@ -136,7 +142,7 @@ def open_windows(hits: DataFrame, slices: Slices, window_us: int) -> DataFrame:
         return _to_frame(user, key, int(parent), start, compose([steps for _, _, steps in run], start, window_us))
 
     def push_down(group: tuple, pdf: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
-        user = group[0]
+        user = _value(group[0])
         start, count = None, 0
         if before is not None and not before.empty and not pd.isna(before["open_start"].iloc[0]):
             start, count = int(before["open_start"].iloc[0]), int(before["open_count"].iloc[0])
@@ -163,7 +169,7 @@ def open_windows(hits: DataFrame, slices: Slices, window_us: int) -> DataFrame:
         .distinct()
         .withColumn("node", F.row_number().over(Window.partitionBy(key).orderBy("start")).cast("bigint") - 1)
     )
-    levels = [cut_lineage(first.drop("node").join(numbered, [key, "start"]).select(*table.names))]
+    levels = [cut_lineage(join_on(first.drop("node"), numbered, [key, "start"]).select(*table.names))]
     width = FAN_IN
     while width < slices.max_slices:
         grouped = levels[-1].withColumn("parent", F.call_function("div", "node", F.lit(FAN_IN)))
@@ -178,6 +184,6 @@ def open_windows(hits: DataFrame, slices: Slices, window_us: int) -> DataFrame:
         states = (
             children.groupBy(key, "parent").cogroup(parents.groupBy(key, "parent")).applyInPandas(push_down_from, state)
         )
-    return states.join(numbered, [key, "node"]).select(
+    return join_on(states, numbered, [key, "node"]).select(
         key, F.col("start").alias(SLICE), "open_start", "open_count"
     )

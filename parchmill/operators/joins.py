@@ -21,6 +21,16 @@ def local_table(spark: SparkSession, columns: dict[str, list], schema: T.StructT
     return spark.createDataFrame(list(zip(*columns.values())), T.StructType(fields))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys are equal too."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_right_{k}" for k in keys))
+
+
 def frequent_keys(df: DataFrame, key: str, above: int = SALT_ABOVE) -> list:
     """The keys with more than ``above`` rows, LISTED at most; None stands for NULL.
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from parchmill import schemas as S
 from parchmill.operators.hot_windows import open_windows
+from parchmill.operators.joins import join_on
 from parchmill.operators.slices import SLICE, Slices
 
 # One row of four numbers per slice: 32 MB at most.
@@ -45,7 +46,7 @@ def rate_limit(
         windows = open_windows(hits, slices, window_us)
         if slices.total_slices <= BROADCAST_SLICES:
             windows = F.broadcast(windows)
-        sliced = slices.hot(hits).join(windows, [user, SLICE], "left")
+        sliced = join_on(slices.hot(hits), windows, [user, SLICE], "left")
         ordered = in_one_task(sliced, user, SLICE).sortWithinPartitions(user, SLICE, pos, tie)
         hot = count_ordered(ordered, [user, SLICE], pos, window_us, open_window=True).drop(SLICE)
         counted = _count(slices.ordinary(hits), window_us, user, pos, tie).unionByName(hot)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmill.operators.joins import frequent_keys, local_table
+from parchmill.operators.joins import frequent_keys, join_on, local_table
 
 # Rows of one key that one task may hold.
 HOT_ROWS = 4_000_000
@@ -33,7 +33,7 @@ _SEED = "_seed"
 
 @dataclass(frozen=True)
 class Slices:
-    """How the hot values of ``key`` are cut along the bigint column ``pos``.
+    """How the hot values of ``key``, NULL among them, are cut along the bigint column ``pos``.
 
     ``levels[0]`` maps a key to (start, width) of equal-width slices; every further
     level cuts slices that are still too large. A slice is named by its start.
@@ -55,7 +55,7 @@ class Slices:
         for depth, level in enumerate(self.levels):
             on = [self.key] if depth == 0 else [self.key, SLICE]
             # Bounded by MAX_ENTRIES rows of three numbers.
-            df = df.join(F.broadcast(level), on, "left")
+            df = join_on(df, F.broadcast(level), on, "left")
             pos = F.col(self.pos)
             start = F.col("_start") if depth == 0 else F.col(SLICE)
             cut = start + F.call_function("div", pos - start, F.col("_width")) * F.col("_width")
@@ -67,11 +67,11 @@ class Slices:
     def hot(self, df: DataFrame) -> DataFrame:
         """Only the rows of hot keys, with their slice."""
         keys = self.levels[0].select(self.key)
-        return self.assign(df.join(F.broadcast(keys), self.key, "left_semi"))
+        return self.assign(join_on(df, F.broadcast(keys), [self.key], "left_semi"))
 
     def ordinary(self, df: DataFrame) -> DataFrame:
         keys = self.levels[0].select(self.key)
-        return df.join(F.broadcast(keys), self.key, "left_anti")
+        return join_on(df, F.broadcast(keys), [self.key], "left_anti")
 
 
 def find_slices(df: DataFrame, key: str, pos: str, hot_rows: int = HOT_ROWS) -> Slices:
@@ -82,12 +82,12 @@ def find_slices(df: DataFrame, key: str, pos: str, hot_rows: int = HOT_ROWS) ->
     ``hot_rows`` reach the driver.
     """
     narrow = df.select(key, pos)
-    candidates = [k for k in frequent_keys(narrow, key, hot_rows) if k is not None]
+    candidates = frequent_keys(narrow, key, hot_rows)
     if not candidates:
         return Slices(key, pos)
     # At most LISTED keys.
     listed = local_table(df.sparkSession, {key: candidates}, narrow.schema)
-    suspects = narrow.join(F.broadcast(listed), key, "left_semi")
+    suspects = join_on(narrow, F.broadcast(listed), [key], "left_semi")
     levels: list[DataFrame] = []
     found = _crowded(suspects, [key], pos, hot_rows)
     while len(found) > MAX_ENTRIES:

@@ -118,3 +118,17 @@ def test_null_and_very_large_user_ids_are_users_of_their_own(spark, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = model([(i, -1 if user is None else user, ts) for i, user, ts in rows], WINDOW_US)
     assert got == want
+
+
+def test_hits_of_no_user_are_cut_too(spark):
+    rng = random.Random(4)
+    rows = [(i, None if i % 3 else rng.randrange(1, 40), rng.randrange(20_000)) for i in range(3000)]
+    plain = model([(e, -1 if u is None else u, t) for e, u, t in rows], 700)
+
+    def cut(df):
+        slices = find_slices(df, "user_id", "ts_us", hot_rows=100)
+        assert slices.any_hot and slices.max_slices > 8
+        assert slices.hot(df).filter("user_id is null").count() == 2000
+        return slices
+
+    assert run(spark, rows, 700, cut) == plain
