@@ -3,7 +3,7 @@
 Archives are written by Spark's text writer: records end in CR LF CR LF, which is its line
 separator, so a part file is a WARC/1.1 file (gzip as a whole). They are read back by splitting
 at ``RECORD_START``, which needs no whole file in memory. A response is an HTTP message; where its
-payload holds that very sequence, the body is base64, so a split never falls inside a record.
+message would hold that very sequence, the body is base64, so a split never falls inside a record.
 Line breaks in a URL are left out of its header.
 
 The index is merged outside memory: every task of the read-back sorts its captures into a run
@@ -27,6 +27,7 @@ RECORD_START = END + "WARC/1.1\r\n"
 ROWS_OUT = 4096
 RANGE_ROWS = 500_000  # captures merged by one task
 FIRST_CAPTURE = 1_577_836_800  # 2020-01-01: page n is taken n seconds later, as pages have no time
+SECONDS = 1 << 31  # after so many, the times begin anew; of equal times the page decides
 
 # Digits of Spark's base 32 and of RFC 4648's.
 _SPARK_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -79,7 +80,7 @@ def captures(pages: DataFrame) -> DataFrame:
         "url",
         "payload",
         "digest",
-        F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0))).alias("captured"),
+        F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS))).alias("captured"),
         F.when(is_response, "response").otherwise("revisit").alias("record_type"),
         F.when(~is_response, F.col("_page_id")).alias("refers_to"),
     )
@@ -98,7 +99,8 @@ def write_archives(rows: DataFrame, path: str) -> None:
     """Write a WARC record per capture below ``path``."""
     payload = F.col("payload")
     body = F.when(
-        F.contains(payload, F.lit(RECORD_START)),
+        # With the empty line before it: a payload may begin like a record.
+        F.contains(F.concat(F.lit(END), payload), F.lit(RECORD_START)),
         F.concat(F.lit(f"\r\nContent-Transfer-Encoding: base64{END}"), F.base64(F.encode(payload, "UTF-8"))),
     ).otherwise(F.concat(F.lit(END), payload))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"), body)

@@ -26,6 +26,8 @@ NASTY = [
     "ends\r\n\r\n",
     "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n",
     "Content-Transfer-Encoding: base64\r\n\r\nx",
+    "WARC/1.1\r\nWARC-Type: response\r\n\r\n",
+    "\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n",
     "é😀 " * 5_000,
     "lone \r and \n and  ",
 ]
@@ -41,6 +43,7 @@ def written(spark, rows):
 def test_archives_give_back_what_was_written(spark):
     rows = [(i, f"http://h{i % 3}.org/{i}", NASTY[i % len(NASTY)]) for i in range(40)]
     rows += [(None, None, "of nobody"), (39, rows[39][1], rows[39][2]), (50, "a\r\nWARC-Type: x", "only once"), (51, "", "y")]
+    rows += [(10**12, "http://far.org/", "far"), (10**15, None, "farther"), (2**63 - 1, "http://far.org/", "last"), (-5, "u", "below")]
     records = written(spark, rows).collect()
     assert len(records) == len(rows)
     payloads = {}
@@ -52,15 +55,23 @@ def test_archives_give_back_what_was_written(spark):
             assert digest not in payloads
             payloads[digest] = (record.page_id, data)
     assert {data for _, data in payloads.values()} == {(html or "").encode() for _, _, html in rows}
+    least = -(2**63)
     largest = {}
     for page, _, html in rows:
-        largest[(html or "")] = max(largest.get(html or "", -1), -1 if page is None else page)
+        largest[(html or "")] = max(largest.get(html or "", least), least if page is None else page)
     for record in records:
         page, data = payloads[record.stated_digest]
-        assert (-1 if page is None else page) == largest[data.decode()]
+        assert (least if page is None else page) == largest[data.decode()]
         assert record.refers_to == (page if record.record_type == "revisit" else None)
 
 
+def test_one_line_per_page_whatever_its_id_and_payload(spark):
+    rows = [(10**k, f"http://h.org/{k % 3}", NASTY[k % len(NASTY)]) for k in range(19)] + [(2**63 - 1, "http://h.org/", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    lines = warc.archive_and_index(pages, f"{shared_folder(spark)}/test-{uuid.uuid4().hex}").collect()
+    assert sorted((line.page_id, line.payload_bytes) for line in lines) == sorted((i, len((html or "").encode())) for i, _, html in rows)
+
+
 def test_histories_are_globally_ordered(spark):
     rng = random.Random(4)
     rows = [(i, f"https://www.{rng.choice('abc')}.example.org/{rng.randint(0, 5)}?q={i % 2}", str(i)) for i in range(300)]
