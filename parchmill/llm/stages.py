@@ -17,24 +17,48 @@ from parchmill.llm.sampling import scored
 from parchmill.session import cut_lineage
 
 
+# Rows of whole texts that a Python worker is handed at once: some megabytes, and a bounded number of very long ones.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
+    bounded_batches(spark)
     model = mil_quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     shared = spark.sparkContext.broadcast(model)
     rows = scored(docs, lambda data: shared.value.score(data), name="_pm_score")
     return rows.where(F.col("_pm_score") >= mil_quality.THRESHOLD).drop("_pm_score")
 
 
+_KEY = ["_pm_a", "_pm_b"]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest doc_id; documents without words stay."""
-    placed = weighted_minhash.classes(docs.select("doc_id", "text"), ["_row"])
-    others = broadcast_if_small(cut_lineage(placed.where(~F.col("first")).select(F.col("_row").alias("_pm_other"))))
-    rows = docs.withColumn("_pm_row", F.monotonically_increasing_id())
-    return rows.join(others, F.col("_pm_row") == F.col("_pm_other"), "left_anti").drop("_pm_row")
+    """One document of each class of near-duplicates, that of the smallest doc_id; documents without words stay.
+
+    Rows are told apart by 128 bits of doc_id and text, which come out the same however ``docs`` is
+    planned, so it may be any table. Of rows equal in both any one stays.
+    """
+    bounded_batches(spark)
+    hashes = [F.xxhash64(F.lit(seed), "doc_id", F.lit("/"), "text") for seed in (1, 2)]
+    keyed = docs.withColumns(dict(zip(_KEY, hashes, strict=True)))
+    placed = weighted_minhash.classes(keyed.select("doc_id", "text", *_KEY), _KEY)
+    rows = placed.groupBy(*_KEY).agg(F.count("*").alias("_pm_n"), F.count_if("first").alias("_pm_first"))
+    marked = cut_lineage(rows.where(F.col("_pm_first") < F.col("_pm_n")))
+    marked = broadcast_if_small(marked.select(*_KEY, (F.col("_pm_first") > 0).alias("_pm_again")), 3)
+    # Null: all rows of the key stay. True: one of several equal rows stays. False: none does.
+    found = keyed.join(marked, _KEY, "left")
+    single = found.where(F.col("_pm_again").isNull()).select(*docs.columns)
+    return single.unionByName(found.where("_pm_again").dropDuplicates(_KEY).select(*docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each without the passages that an earlier one has. n_chars follows the text."""
+    bounded_batches(spark)
     own = docs.select("doc_id", "text").withColumn("doc", suffix_dedup.document_key(F.col("doc_id"), F.col("text")))
     found = suffix_dedup.repeats(own).select(F.col("doc").alias("_pm_doc"), F.col("spans").alias("_pm_spans"))
     # Rows equal in doc_id and text have equal spans.
@@ -55,6 +79,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stands in windows of the benchmark."""
+    bounded_batches(spark)
     segments = cut_lineage(index.build(docs.select(F.xxhash64("text").alias("doc_id"), "text")))
     found = index.contamination(index.search(segments, table(spark, sf_dir, "benchmark", "item_id", "text")))
     bad = found.where("contaminated").select(F.col("id").alias("_pm_text")).distinct()
@@ -64,5 +89,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document; the text itself is not kept."""
+    bounded_batches(spark)
     rows = docs.select("doc_id", "lang", "source", "text")
     return bpe.round_trip(rows, *vocabulary()).drop("text")

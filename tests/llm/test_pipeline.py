@@ -76,3 +76,16 @@ def test_odd_columns_nulls_and_empty_tables(spark):
             out = stage(spark, table, SF_DIR)
             assert out.schema.names == docs.columns and out.count() <= table.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF_DIR).count() == table.count()
+
+
+def test_no_text_is_lost_however_the_table_is_planned(spark):
+    words = [f"{chr(97 + i % 26)}{i}" for i in range(3000)]
+    texts = [" ".join(words[i * 29 : i * 29 + 25]) for i in range(100)]
+    rows = [(i, texts[i % 100], f"s{i % 7}") for i in range(300)] + [(5, texts[5], "again"), (None, texts[6], "x"), (7, "", "y"), (7, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = spark.createDataFrame([(f"s{i}", i) for i in range(7)] + [("again", 8), ("x", 9), ("y", 10)], "source string, number int")
+    for table in (docs, docs.repartition(7), docs.repartition(5, "source"), docs.join(sources, "source").orderBy("number")):
+        kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, table, SF_DIR)
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert sorted(got) == sorted([(i, texts[i]) for i in range(100)] + [(7, "")] * 2)
+        assert kept.columns == table.columns
