@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 BITS = 64
 CACHED = 300_000  # encoded pre-tokens kept by a task; only speed depends on it
 TOGETHER = 128  # bytes; a longer pre-token gets a queue run of its own and is not kept
-CHARS_AT_ONCE = 6_000_000  # texts encoded together, one at least
+CHARS_AT_ONCE = 1_000_000  # texts encoded together, one at least
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
