@@ -91,4 +91,5 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Token counts and digests of each document; the text itself is not kept."""
     bounded_batches(spark)
     rows = docs.select("doc_id", "lang", "source", "text")
-    return bpe.round_trip(rows, *vocabulary()).drop("text")
+    # Executors are fullest at the end of the pipeline, so less text is worked on together.
+    return bpe.round_trip(rows, *vocabulary(), at_once=1_000_000).drop("text")
