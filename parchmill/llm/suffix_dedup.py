@@ -3,25 +3,34 @@
 1. Of all suffixes (from a word to the end of the document) those at content-selected positions
    are retained: where the hash of the first KEY words is the smallest of WINDOW in a row. Any
    KEY + WINDOW - 1 = MIN_WORDS words in a row hold a retained suffix with its key, at the same
-   place in every copy.
-2. Keys that more than one suffix has are looked up in their documents again: of every MIN_WORDS
-   words in a row whose smallest key is such a key, the hash of all of them is brought in order of
-   (hash, document, position). Equal ones are neighbours, and each is compared with the first of
-   its run, the first holder of those MIN_WORDS words: it is never cut, so no content is lost, and
-   a run of any length needs partial minima alone, not one task that walks along it.
-3. Words that lie in MIN_WORDS words which an earlier document has are a repeat; what overlaps or
-   touches is one stretch.
+   place in every copy. So a match of MIN_WORDS never reaches further from its key than REACH
+   words on either side.
+2. Suffixes whose key others have too are brought in order of (key, words around it, document):
+   the words around are the key with REACH words on its left and right, fewer at an end of the
+   text. Neighbours that agree in these are a class, and its first document represents it; the
+   matches of all others with it reach as far as any can, and need no further comparison.
+3. Where a key stands in several classes, matches between these end within REACH words. The
+   representatives alone are looked up in their texts again and extended left and right word by
+   word: of the MIN_WORDS words in a row whose smallest key it is, the hashes are brought in order
+   with their documents, and each is compared with the first of its run. Other members of a class
+   gain nothing there, as step 2 covers them wholly.
+4. Overlapping or touching matches of a document are one stretch.
 
 So exactly the words in MIN_WORDS or more that an earlier document has too are cut, whoever else
-holds a part of them. Documents are in
-order of (doc_id, hash), null first; repetition within one document is left alone. Rows equal
-in doc_id and text are one document. Words are those of ``words``; texts of fewer than
-MIN_WORDS words (null and empty ones too) hold no repeat.
+holds a part of them; no content loses its first copy. Runs are reduced by partial minima, so a
+passage in very many documents is no long walk of one task, and a group of copies yields one row
+a retained suffix, no pairs.
+
+Documents are in order of (doc_id, hash), null first; repetition within one document is left
+alone. Rows equal in doc_id and text are one document and give one row. Words are those of
+``words``; texts of fewer than MIN_WORDS words (null and empty ones too) hold no repeat. A very
+long text is one row here, with at most a match for every retained suffix and for every MIN_WORDS
+words of step 3.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +46,7 @@ from parchmill.session import cut_lineage
 MIN_WORDS = 50
 KEY = 30
 WINDOW = MIN_WORDS - KEY + 1
+REACH = MIN_WORDS - KEY
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -52,142 +62,146 @@ def retained(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], at
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, doc, at) of every retained suffix of ``docs`` (doc_id, doc, text)."""
-    rows = docs.select("doc_id", "doc", "text")
-    schema = T.StructType([
-        T.StructField("key", T.LongType()), rows.schema["doc_id"], rows.schema["doc"], T.StructField("at", T.IntegerType()),
-    ])
+def _of_texts(docs: DataFrame, made: str, make: Callable[..., tuple[np.ndarray, ...]], *more: str) -> DataFrame:
+    """(doc_id, doc, *made) of what ``make`` finds in the bytes of each text and its columns ``more``."""
+    rows = docs.select("doc_id", "doc", "text", *more)
+    fields = T.StructType.fromDDL(made)
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["doc"], *fields])
+    types = [to_arrow_type(field.dataType).to_pandas_dtype() for field in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, owners = [], [], []
-            for i, data in enumerate(W.text_buffers(batch.column(2))):
-                key, at = retained(W.words_of(data)[0])
-                keys.append(key)
-                places.append(at)
-                owners.append(np.full(len(at), i))
-            if keys:
-                owner = pa.array(np.concatenate(owners))
+            if batch.num_rows:
+                inputs = zip(W.text_buffers(batch.column(2)), *batch.columns[3:], strict=True)
+                found = [make(*values) for values in inputs]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(columns[0]) for columns in found]))
+                columns = [
+                    pa.array(np.concatenate(parts).astype(kind, copy=False))
+                    for parts, kind in zip(zip(*found, strict=True), types, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        batch.column(0).take(owner),
-                        batch.column(1).take(owner),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                    ],
-                    names=schema.names,
+                    [batch.column(0).take(owner), batch.column(1).take(owner), *columns], names=schema.names
                 )
 
     return rows.mapInArrow(run, schema)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(run, doc_id, doc, at) of all MIN_WORDS words in a row whose smallest key is repeated."""
-    every = suffixes(docs)
+def _keys(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    return (retained(W.words_of(data)[0])[0].view(np.int64),)
+
+
+def _suffixes(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    hashes, starts, stops = W.words_of(data)
+    keys, at = retained(hashes)
+    first, last = np.maximum(at - REACH, 0), np.minimum(at + KEY + REACH, len(hashes))
+    around = W.stretches(hashes, first, last)
+    return keys.view(np.int64), around.view(np.int64), first, last, starts[first], stops[last - 1]
+
+
+def _extensions(data: np.ndarray, asked: pa.Scalar) -> tuple[np.ndarray, ...]:
+    hashes, starts, stops = W.words_of(data)
+    least = W.window_minima(W.runs(hashes, KEY), WINDOW)
+    at = np.flatnonzero(np.isin(least, asked.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+    last = at + MIN_WORDS
+    around = W.stretches(hashes, at, last)
+    return least[at].view(np.int64), around.view(np.int64), at, last, starts[at], stops[last - 1]
+
+
+_PLACE = "key long, around long, start_word int, end_word int, start_byte int, end_byte int"
+
+
+def suffixes(docs: DataFrame) -> DataFrame:
+    """Every retained suffix of ``docs`` (doc_id, doc, text): its key, the hash of the words around
+    the key, and where these start and end."""
+    return _of_texts(docs, _PLACE, _suffixes)
+
+
+def shared_suffixes(docs: DataFrame) -> DataFrame:
+    """The ``suffixes`` whose key is there more than once."""
+    counts = _of_texts(docs, "key long", _keys).groupBy("key").count()
     # What is joined is written first: with an aggregate below it, a join on a hot key could not be split.
-    repeated = cut_lineage(every.groupBy("key").count().where("count > 1").select("key"))
-    members = every.join(broadcast_if_small(repeated), "key")
-    asked = cut_lineage(members.groupBy("doc").agg(F.collect_set("key").alias("keys")))
-    n_keys = asked.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
-    rows = docs.select("doc_id", "doc", "text").join(broadcast_if_small(asked, values=n_keys), "doc")
-    rows = rows.select("doc_id", "doc", "text", "keys")
-    schema = T.StructType([
-        T.StructField("run", T.LongType()), rows.schema["doc_id"], rows.schema["doc"], T.StructField("at", T.IntegerType()),
-    ])
+    repeated = cut_lineage(counts.where("count > 1").select("key"))
+    return suffixes(docs).join(broadcast_if_small(repeated), "key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (data, keys) in enumerate(zip(W.text_buffers(batch.column(2)), batch.column(3), strict=True)):
-                hashes = W.words_of(data)[0]
-                least = W.window_minima(W.runs(hashes, KEY), WINDOW)
-                at = np.flatnonzero(np.isin(least, keys.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                owner = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(W.runs(hashes, MIN_WORDS)[at].view(np.int64)),
-                        batch.column(0).take(owner),
-                        batch.column(1).take(owner),
-                        pa.array(at.astype(np.int32)),
-                    ],
-                    names=schema.names,
-                )
 
-    return rows.mapInArrow(run, schema)
+def classes_of(places: DataFrame) -> DataFrame:
+    """(key, around, first, shared) of equal places: the first document, and whether there are others."""
+    order = F.struct("doc_id", "doc")
+    shared = (F.min("doc") < F.max("doc")).alias("shared")
+    return places.groupBy("key", "around").agg(F.min(order).alias("first"), shared)
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc, at, first_doc_id) of MIN_WORDS words in a row that an earlier document has."""
-    every = cut_lineage(passages(docs))
-    order = F.struct("doc_id", "doc", "at")
-    first = every.groupBy("run").agg(F.min(order).alias("first"), F.min("doc").alias("least"), F.max("doc").alias("last"))
-    first = cut_lineage(first.where("least <> last").select("run", "first"))
-    return every.join(first, "run").where("doc <> first.doc").select("doc", "at", F.col("first.doc_id").alias("first_doc_id"))
+def _repeated(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """The places whose words an earlier document has."""
+    first = classes.where("shared").select("key", "around", "first")
+    found = places.join(first, ["key", "around"]).where("doc <> first.doc")
+    return found.select(
+        "doc_id", "doc", "start_word", "end_word", "start_byte", "end_byte", F.col("first.doc_id").alias("first_doc_id")
+    )
 
 
-def stretches(at: np.ndarray) -> list[tuple[int, int, int]]:
-    """Word ranges that MIN_WORDS words from each of the ordered places cover, with the number of
-    the place that each begins with."""
-    if not len(at):
-        return []
-    begins = np.flatnonzero(np.diff(at, prepend=at[0] - MIN_WORDS - 1) > MIN_WORDS)
-    ends = np.append(begins[1:], len(at)) - 1
-    return [(int(at[i]), int(at[j]) + MIN_WORDS, int(i)) for i, j in zip(begins, ends, strict=True)]
+def extensions(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """All MIN_WORDS words in a row, of representatives of keys that stand in several classes, whose
+    smallest key is such a key. Columns as in ``suffixes``, ``around`` being the hash of the words."""
+    several = cut_lineage(classes.groupBy("key").count().where("count > 1").select("key"))
+    members = classes.select("key", F.col("first.doc").alias("doc")).join(broadcast_if_small(several), "key")
+    asked = cut_lineage(members.groupBy("doc").agg(F.collect_set("key").alias("keys")))
+    n_keys = asked.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
+    rows = docs.select("doc_id", "doc", "text").join(broadcast_if_small(asked, values=n_keys), "doc")
+    return _of_texts(rows, _PLACE, _extensions, "keys")
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, start_word, end_word, start_byte, end_byte, first_doc_id): words that an earlier
+    document has, MIN_WORDS or more of them."""
+    members = cut_lineage(shared_suffixes(docs))
+    classes = cut_lineage(classes_of(members))
+    extended = cut_lineage(extensions(docs, classes))
+    return _repeated(members, classes).unionByName(_repeated(extended, cut_lineage(classes_of(extended))))
+
+
+def stretches(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the ranges, which are in order of their starts, that begin and end each stretch of
+    overlapping or touching ones."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    reach = np.maximum.accumulate(ends)
+    begins = np.append(0, np.flatnonzero(starts[1:] > reach[:-1]) + 1)
+    # The range that reaches furthest, among those up to the last of the stretch.
+    furthest = np.maximum.accumulate(np.where(ends == reach, np.arange(len(ends)), 0))
+    return begins, furthest[np.append(begins[1:], len(starts)) - 1]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, spans) of each document that repeats passages of earlier ones.
 
     ``docs`` has doc_id, doc (see ``document_key``) and text. A span has first and last-plus-one
-    word, the same in bytes, and the first holder's doc_id.
+    word, the same in bytes, and the doc_id of an earlier document that has the words it begins with.
     """
-    found = matches(docs)
-    places = F.array_sort(F.collect_list(F.struct("at", "first_doc_id")))
-    chains = found.groupBy("doc").agg(places.alias("chain"))
     id_field = docs.schema["doc_id"]
     span = T.StructType([
-        T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()),
-        T.StructField("start_byte", T.IntegerType()), T.StructField("end_byte", T.IntegerType()),
+        *T.StructType.fromDDL("start_word int, end_word int, start_byte int, end_byte int"),
         T.StructField("first_doc_id", id_field.dataType),
     ])
+    # A set: repeated rows of a document are the same places.
+    ranges = F.array_sort(F.collect_set(F.struct(*span.names))).alias("ranges")
+    found = matches(docs).groupBy("doc_id", "doc").agg(ranges)
     schema = T.StructType([id_field, docs.schema["doc"], T.StructField("spans", T.ArrayType(span))])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
-    range_ = T.StructType([span["start_word"], span["end_word"], span["first_doc_id"]])
-    ranged = T.StructType([T.StructField("doc", T.LongType()), T.StructField("ranges", T.ArrayType(range_))])
-    arrow_ranges = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in ranged])
 
-    def join_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, chain in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, ids = chain.values.field("at").to_numpy(), chain.values.field("first_doc_id")
-                own = [
-                    {"start_word": a, "end_word": b, "first_doc_id": ids[i].as_py()} for a, b, i in stretches(at.astype(np.int64))
-                ]
-                out.append({"doc": doc, "ranges": own})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow_ranges)
-
-    # Written: a short list of ranges in place of a place for every word.
-    chained = cut_lineage(chains.mapInArrow(join_places, ranged))
-    n_values = chained.agg(F.sum(3 * F.size("ranges") + 1)).first()[0] or 0
-    rows = docs.select("doc", "doc_id", "text").join(broadcast_if_small(chained, values=n_values), "doc")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[dict] = []
-            texts = W.text_buffers(batch.column(batch.schema.get_field_index("text")))
-            names = ("doc", "doc_id", "ranges")
-            values = zip(*(batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names), strict=True)
-            for data, (doc, doc_id, ranges) in zip(texts, values, strict=True):
-                _, starts, stops = W.words_of(data)
-                spans = [
-                    own | {"start_byte": int(starts[own["start_word"]]), "end_byte": int(stops[own["end_word"] - 1])}
-                    for own in ranges
-                ]
-                out.append({"doc_id": doc_id, "doc": doc, "spans": spans})
+            for doc_id, doc, own in zip(*batch.columns, strict=True):
+                start, end, start_byte, end_byte, first = own.values.flatten()
+                begins, ends = stretches(start.to_numpy(), end.to_numpy())
+                columns = [column.take(pa.array(at)).to_pylist() for column, at in
+                           [(start, begins), (end, ends), (start_byte, begins), (end_byte, ends), (first, begins)]]
+                spans = [dict(zip(span.names, values, strict=True)) for values in zip(*columns, strict=True)]
+                out.append({"doc_id": doc_id.as_py(), "doc": doc.as_py(), "spans": spans})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return found.mapInArrow(join_ranges, schema)
 
 
 def without_spans(text: Column, spans: Column) -> Column:

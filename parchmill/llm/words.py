@@ -135,6 +135,14 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n])
 
 
+def stretches(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to before its end."""
+    up, down = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=_U)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """As ``runs``; a text of fewer words, but not none, is one shingle of all its words."""
     return runs(hashes, k) if len(hashes) >= k or not len(hashes) else runs(hashes, len(hashes))

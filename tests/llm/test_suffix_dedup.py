@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parchmill.llm import suffix_dedup as dedup
+from parchmill.llm.queries import queries
 from tests.llm.test_words import plain_words
 
 
@@ -83,3 +85,62 @@ def test_an_earlier_holder_of_a_part_hides_no_repeat(spark):
     _, _, found = spans_of(spark, list(docs.items()))
     got = {row.doc_id: {x for s in row.spans for x in range(s.start_word, s.end_word)} for row in found.collect()}
     assert got == {key: words for key, words in windows(docs, dedup.MIN_WORDS).items() if words} and len(got) == 4
+
+
+def overlapping(seed, n):
+    """Documents cut from three long passages, so that a key stands in many contexts."""
+    rng = random.Random(seed)
+    long = [[f"w{seed}x{i}x{j}" for j in range(220)] for i in range(3)]
+    docs = {}
+    for key in range(n):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            passage, at = rng.choice(long), rng.randint(0, 160)
+            words += passage[at : at + rng.randint(20, 120)] + [f"u{key}x{rng.random()}"] * rng.randint(0, 2)
+        docs[key] = " ".join(words)
+    return docs
+
+
+def covered(row):
+    return {x for span in row.spans for x in range(span.start_word, span.end_word)}
+
+
+def test_keys_in_many_contexts(spark):
+    docs = overlapping(5, 120) | {200 + i: text for i, text in enumerate([overlapping(5, 120)[3]] * 40)}
+    _, _, found = spans_of(spark, [*docs.items(), *list(docs.items())[:9]])
+    rows = found.collect()
+    assert {row.doc_id: covered(row) for row in rows} == {
+        key: words for key, words in windows(docs, dedup.MIN_WORDS).items() if words
+    }
+    assert len(rows) == len({row.doc_id for row in rows})
+    for row in rows:
+        text = docs[row.doc_id].encode()
+        for span in row.spans:
+            words = plain_words(text[span.start_byte : span.end_byte].decode())
+            assert words == plain_words(docs[row.doc_id])[span.start_word : span.end_word]
+
+
+def test_a_very_long_text_and_ids_that_are_null(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = {1: long, 2: long[:4_000].rsplit(" ", 1)[0], 3: "before " + long}
+    _, _, found = spans_of(spark, [*docs.items(), (None, " ".join(long.split()[100:170]))])
+    got = {row.doc_id: [(s.start_word, s.end_word, s.first_doc_id) for s in row.spans] for row in found.collect()}
+    n = len(docs[2].split())
+    assert got == {1: [(100, 170, None)], 2: [(0, n, 1)], 3: [(1, 300_001, 1)]}
+
+
+def test_stretches():
+    at = lambda *values: np.array(values)
+    begins, ends = dedup.stretches(at(0, 5, 30, 60, 200), at(70, 55, 60, 110, 250))
+    assert (begins.tolist(), ends.tolist()) == ([0, 4], [3, 4])
+    assert [x.tolist() for x in dedup.stretches(at(0, 10), at(100, 60))] == [[0], [0]]
+    assert [x.tolist() for x in dedup.stretches(at(), at())] == [[], []]
+
+
+def test_query(spark, sf_dir):
+    docs = {row.doc_id: row.text for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {}
+    for row in queries()["op3_suffix_dedup"](spark, sf_dir).collect():
+        assert row.first_doc_id < row.doc_id
+        got.setdefault(row.doc_id, set()).update(range(row.start_word, row.start_word + row.n_words))
+    assert got == {key: words for key, words in windows(docs, dedup.MIN_WORDS).items() if words} and got
