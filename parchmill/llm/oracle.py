@@ -65,27 +65,33 @@ WITH t AS (
   FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, text)),
 tg AS (SELECT t, license, w[i] || ' ' || w[i + 1] AS gram, count(*) AS often
        FROM (SELECT t, license, w, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL),
-tn AS (SELECT t, license, sum(often) AS n FROM tg GROUP BY ALL),
+tn AS (SELECT t, license, sum(often)::BIGINT AS n FROM tg GROUP BY ALL),
 parts AS (
-  SELECT r, doc_id, 'line' AS kind, unnest(x) AS text, unnest(range(0, len(x))) AS number
-  FROM (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS x FROM documents)
-  UNION ALL
-  SELECT r, doc_id, 'paragraph', unnest(x), unnest(range(0, len(x)))
-  FROM (SELECT row_number() OVER () AS r, doc_id,
-               regexp_split_to_array(text, '(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)') AS x FROM documents)),
-words AS (
-  SELECT r, doc_id, kind, number,
-         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w
-  FROM parts WHERE kind = 'line' OR regexp_matches(text, '[^\r\n][\r\n]+[^\r\n]')),
-dg AS (SELECT r, doc_id, kind, number, w[i] || ' ' || w[i + 1] AS gram, count(*) AS often
-       FROM (SELECT r, doc_id, kind, number, w, unnest(range(1, len(w))) AS i FROM words) GROUP BY ALL),
-dn AS (SELECT r, doc_id, kind, number, sum(often) AS n FROM dg GROUP BY ALL),
-met AS (SELECT r, kind, number, t, sum(least(dg.often, tg.often)) AS common FROM dg JOIN tg USING (gram) GROUP BY ALL),
-scores AS (
-  SELECT dn.r, doc_id, kind, number, license, 2.0::DOUBLE * common / (dn.n + tn.n) AS dice
-  FROM met JOIN dn USING (r, kind, number) JOIN tn USING (t))
-SELECT doc_id, kind, number, license, dice FROM scores WHERE dice >= 0.75
-QUALIFY row_number() OVER (PARTITION BY r, kind, number ORDER BY dice DESC, license) = 1
+  SELECT r, doc_id, i, regexp_extract_all(x[i], '[a-z0-9]+') AS w
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM (
+    SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(regexp_replace(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\r\n]|[.!?;:][ \t]', chr(10), 'g'), '\n') AS x
+    FROM documents))),
+ends AS (SELECT r, doc_id, sum(len(w)) OVER (PARTITION BY r ORDER BY i) - len(w) AS a,
+                sum(len(w)) OVER (PARTITION BY r ORDER BY i) AS b FROM parts WHERE len(w) > 0),
+words AS (SELECT r, flatten(list(w ORDER BY i)) AS w FROM parts GROUP BY r),
+grams AS (SELECT r, w[i] || ' ' || w[i + 1] AS gram, i - 1 AS place FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM words)),
+hits AS (SELECT r, t, tg.gram, often, place FROM grams JOIN tg USING (gram)),
+runs AS (
+  SELECT s.r, s.doc_id, s.a::BIGINT AS a, e.b::BIGINT AS b, tn.t, tn.license, tn.n AS size
+  FROM (SELECT DISTINCT r, t FROM hits) h JOIN tn USING (t) JOIN ends s USING (r)
+  JOIN ends e ON e.r = s.r AND e.b > s.a AND e.b - s.a - 1 <= 2 * tn.n AND 2 * (e.b - s.a - 1) >= tn.n),
+common AS (
+  SELECT doc_id, r, a, b, t, license, size, least(count(*), max(often)) AS c
+  FROM runs JOIN hits USING (r, t) WHERE place >= a AND place + 1 < b
+  GROUP BY doc_id, r, a, b, t, license, size, gram),
+scores AS (SELECT doc_id, r, a, b, license, max(dice) AS dice FROM (
+  SELECT doc_id, r, a, b, license, 2.0::DOUBLE * sum(c) / (b - a - 1 + size) AS dice
+  FROM common GROUP BY doc_id, r, a, b, t, license, size) WHERE dice >= 0.75 GROUP BY ALL)
+SELECT doc_id, a AS first_word, b - a AS n_words, license, dice FROM scores
+QUALIFY row_number() OVER (PARTITION BY r, a ORDER BY dice DESC, license, b - a) = 1
+    AND row_number() OVER (PARTITION BY r, b ORDER BY dice DESC, license, b - a) = 1
 """
 
 ORACLES["op11_tile_search"] = r"""
