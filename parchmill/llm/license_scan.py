@@ -33,6 +33,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.llm.joins import broadcast_if_small
 from parchmill.session import cut_lineage
 
 DICE = 0.75
@@ -128,17 +129,24 @@ def marks_of(grams: dict[str, int], dice: float) -> list[list[str]]:
 
 
 def may_name(text: Column, marks: list[list[str]]) -> Column:
-    """Whether a text holds both words of one of ``marks``, as parts of words too."""
+    """Whether a text holds both words of one of ``marks``: as parts of words too, but side by side if
+    both are short, as most texts have them somewhere."""
     if not marks:
         return F.lit(False)
     of_word: dict[str, set[str]] = {}
     for rare, other in marks:
         of_word.setdefault(rare, set()).add(other)
 
+    def beside(lowered: Column, rare: str, other: str) -> Column:
+        if len(rare) > 3:
+            return lowered.contains(other)
+        ordered = "|".join(f"{a}[^a-zA-Z0-9]+{b}" for a, b in ((rare, other), (other, rare)))
+        return lowered.contains(other) & text.rlike(f"(?i)(?<![a-zA-Z0-9])(?:{ordered})(?![a-zA-Z0-9])")
+
     def held(lowered: Column) -> Column:
         # Each rare word is looked for once, and what stands beside it only where it is found.
         tests = [
-            lowered.contains(rare) & reduce(or_, [lowered.contains(other) for other in sorted(others)])
+            lowered.contains(rare) & reduce(or_, [beside(lowered, rare, other) for other in sorted(others)])
             for rare, others in of_word.items()
         ]
         return reduce(or_, tests)
@@ -210,12 +218,12 @@ def scan(
     )
     runs = runs.withColumn("n", F.col("last.end") - F.col("first") - 1)
     can = F.lit(2.0) * (F.col("last.upto") - F.col("before")) >= F.lit(dice) * (F.col("n") + F.col("size")) - 1e-9
-    runs = runs.where(F.col("n").between(F.col("low"), F.col("high")) & can)
+    runs = cut_lineage(runs.where(F.col("n").between(F.col("low"), F.col("high")) & can).drop("last"))
 
     whole = kept.select("row", "doc_id", F.split(F.array_join("pieces", " "), " ").alias("words"))
     part = F.slice("words", F.col("first").cast("int") + 1, F.col("n").cast("int") + 1)
     key = ["row", "doc_id", "first", "n", "template", "license", "size"]
-    grams = runs.join(whole, "row").select(*key, F.explode(pairs(part)).alias("gram"))
+    grams = whole.join(broadcast_if_small(runs, 9), "row").select(*key, F.explode(pairs(part)).alias("gram"))
     counts = grams.groupBy(*key, "gram").count().join(template, ["template", "gram"])
     score = F.lit(2.0) * F.sum(F.least("count", "often")) / (F.col("n") + F.col("size"))
     scores = counts.groupBy(*key).agg(score.alias("dice")).where(F.col("dice") >= dice)
