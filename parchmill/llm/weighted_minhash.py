@@ -7,11 +7,12 @@
 3. In each bucket of a band the members are compared with the bucket's head, its member that
    most others meet anywhere. In a bucket that this leaves in several components all members are
    compared with each other where their samples promise it: AGREE of HASHES or more are equal,
-   which a pair of similarity 0.8 misses once in a thousand. That is looked up inside groups of
-   bounded size. The members of a larger bucket are grouped anew by their PREFIX rarest samples,
-   of which a pair with AGREE equal ones shares one at least; what is still larger is dealt into
-   blocks, and each two blocks meet. Pairs come in rounds, the most promising of each text first,
-   and the last round has all that are still in different components.
+   which a pair of similarity 0.8 misses once in a thousand. That is done inside groups of
+   bounded size, in which a comparison of texts that are connected already is left out: a group
+   gives links that connect components of it, less than it has members, and no pairs. The members
+   of a larger bucket are grouped anew by their PREFIX rarest samples, of which a pair with AGREE
+   equal ones shares one at least; what is still larger is dealt into blocks. Each block is looked
+   at by itself, then each two blocks of what is still in different components.
 4. A comparison is the exact weighted Jaccard similarity of both whole texts.
 5. Classes are the connected components of the links, by label propagation and pointer jumps.
 
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +43,9 @@ IDF_COLUMNS = 1 << 16
 HASHES, BANDS = 64, 16
 AGREE = 41  # equal samples of a pair that is worth a comparison
 PREFIX = HASHES - AGREE + 1  # rarest samples of a text, one of which every such pair shares
-GROUP = 1024  # members whose samples are compared with each other in one place
-ROUNDS = (1, 8, 64, 0)  # pairs that a text brings to a round from a group; 0: all
+GROUP = 1024  # members that are compared with each other in one place
+GROUP_BYTES = 16 << 20  # and their texts, if these are several
+STEP = 64  # comparisons of a text with others at once
 DRAWS = 1 << 16  # prepared triples of random variables
 AT_ONCE = 2048  # shingles times HASHES in one step
 
@@ -187,35 +190,61 @@ def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "head long, member long, similarity double")
 
 
-def _promising(most: int) -> Callable[[pa.Table], pa.Table]:
-    """For a group: pairs of different components with AGREE equal samples, the ``most`` best of
-    each text (0: all), and whether the text has more of them."""
+def similar_to(
+    own: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], similarity: float
+) -> np.ndarray:
+    """Which of ``others`` have that ``weighted_jaccard`` with ``own`` or more; none is without shingles."""
+    sizes = np.array([len(shingles) for shingles, _ in others])
+    shingles, weights = (np.concatenate(parts) for parts in zip(*others, strict=True))
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    at = np.minimum(np.searchsorted(own[0], shingles), len(own[0]) - 1)
+    common = np.add.reduceat(np.where(own[0][at] == shingles, np.minimum(own[1][at], weights), 0.0), starts)
+    found = common / (own[1].sum(dtype=np.float64) + np.add.reduceat(weights.astype(np.float64), starts) - common)
+    # Sums in another order differ in their last digits.
+    for i in np.flatnonzero(np.abs(found - similarity) < 1e-6).tolist():
+        found[i] = weighted_jaccard(own, others[i])
+    return found >= similarity
+
+
+def _connecting(idf: Broadcast, similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """For a group: links between its components, enough of them to connect what its promising pairs connect."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("_key")
-        keys, labels = group["_key"].to_numpy(), group["label"].to_numpy()
-        blocks, across = group["block"].to_numpy(), group["low"][0].as_py() != group["high"][0].as_py()
-        packed = np.frombuffer(b"".join(group["_samples"].to_pylist()), dtype="<u4").reshape(len(keys), HASHES)
-        names, sizes = np.unique(labels, return_counts=True)
+        order = np.argsort(group["_key"].to_numpy(), kind="stable")
+        keys, blocks = group["_key"].to_numpy()[order], group["block"].to_numpy()[order]
+        packed = np.frombuffer(b"".join(group["_samples"].to_pylist()), dtype="<u4").reshape(-1, HASHES)[order]
+        component = np.unique(group["label"].to_numpy()[order], return_inverse=True)[1]
+        across = group["low"][0].as_py() != group["high"][0].as_py()
         # The pairs of the largest component are brought by their other sides.
-        own = np.flatnonzero(labels != names[sizes.argmax()])
-        out: list[list[np.ndarray]] = [[], [], []]
-        for i in own.tolist():
-            agree = (packed == packed[i]).sum(axis=1)
-            fits = (agree >= AGREE) & (labels != labels[i])
+        largest = component == np.bincount(component).argmax()
+        weighed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def weights_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in weighed:
+                text = np.frombuffer(group["text"][int(order[i])].as_buffer(), dtype=np.uint8)
+                weighed[i] = weigh(text, idf.value)
+            return weighed[i]
+
+        links = []
+        for i in np.flatnonzero(~largest).tolist():
+            fits = component != component[i]
+            fits[: i + 1] &= largest[: i + 1]
             if across:
                 fits &= blocks != blocks[i]
-            found = np.flatnonzero(fits)
-            more = 0 < most < len(found)
-            if more:
-                found = found[np.argsort(-agree[found], kind="stable")[:most]]
-            out[0].append(np.minimum(keys[found], keys[i]))
-            out[1].append(np.maximum(keys[found], keys[i]))
-            out[2].append(np.full(len(found), more))
-        kinds = (("head", np.int64), ("member", np.int64), ("more", np.bool_))
-        return pa.table({
-            name: np.concatenate(part or [np.zeros(0)]).astype(kind) for (name, kind), part in zip(kinds, out, strict=True)
-        })
+            others = np.flatnonzero(fits)
+            agree = (packed[others] == packed[i]).sum(axis=1)
+            others, agree = others[agree >= AGREE], agree[agree >= AGREE]
+            others = others[np.argsort(-agree, kind="stable")]
+            while len(others):
+                now, others = others[:STEP], others[STEP:]
+                alike = similar_to(weights_of(i), [weights_of(j) for j in now.tolist()], similarity)
+                for j in now[alike].tolist():
+                    if component[j] != component[i]:
+                        links.append((keys[min(i, j)], keys[max(i, j)]))
+                        component[component == component[j]] = component[i]
+                others = others[component[others] != component[i]]
+        heads, members = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"head": heads, "member": members})
 
     return run
 
@@ -242,35 +271,50 @@ def _rarest(wide: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of groups (bucket, _key) with texts of several components, with label and group size n."""
-    own = groups.join(labels.select(F.col("node").alias("_key"), "label"), "_key", "left")
-    own = cut_lineage(own.withColumn("label", F.coalesce("label", "_key")))
-    sizes = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("last"), F.count("*").alias("n"))
-    return own.join(cut_lineage(sizes.where("least <> last").select("bucket", "n")), "bucket")
-
-
-def _hopes(groups: DataFrame, nodes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(head, member, more): promising pairs of different components, see ``_promising``."""
-    dealt = _mixed(groups, labels).withColumn("blocks", F.when(F.col("n") > GROUP, F.ceil(F.col("n") * 2 / GROUP)).otherwise(1))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "_key"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    dealt = dealt.withColumn("other", other).select(
+def _mixed(groups: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups (bucket, _key) with texts of several components, with their label and in how
+    many ``blocks`` the group has to be dealt. Of groups of the same texts one is left."""
+    marks = texts.select("_key", "size").join(labels.withColumnRenamed("node", "_key"), "_key", "left")
+    own = cut_lineage(groups.join(marks, "_key").withColumn("label", F.coalesce("label", "_key")))
+    same = ["n", "bytes", "least", "last", "mark"]
+    sizes = own.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("last"),
+        F.bit_xor(F.xxhash64("_key")).alias("mark"),
+    )
+    several = sizes.where("least <> last").groupBy(*same).agg(F.min("bucket").alias("bucket"))
+    by_number = F.when(F.col("n") > GROUP, F.ceil(F.col("n") * 2 / GROUP)).otherwise(1)
+    by_bytes = F.when((F.col("bytes") > GROUP_BYTES) & (F.col("n") > 2), F.ceil(F.col("bytes") * 2 / GROUP_BYTES)).otherwise(1)
+    blocks = F.least(F.greatest(by_number, by_bytes), "n").alias("blocks")
+    return own.join(cut_lineage(several.select("bucket", "n", blocks)), "bucket")
+
+
+def _links_within(mixed: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float, across: bool) -> DataFrame:
+    """(head, member): links between components of the blocks of each group (``across``: of each two blocks)."""
+    shared = mixed.sparkSession.sparkContext.broadcast(idf)
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "_key"), F.col("blocks")))
+    if across:
+        dealt = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.where("block <> other")
+    else:
+        dealt = dealt.withColumn("other", F.col("block"))
+    dealt = dealt.select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_key", "label"
     )
-    met = cut_lineage(dealt).join(nodes.select("_key", "_samples"), "_key")
-    pairs = met.groupBy("bucket", "low", "high").applyInArrow(_promising(most), "head long, member long, more boolean")
-    return cut_lineage(pairs.groupBy("head", "member").agg(F.max("more").alias("more")))
+    met = cut_lineage(dealt).join(texts.select("_key", "_samples", "text"), "_key")
+    return cut_lineage(
+        met.groupBy("bucket", "low", "high").applyInArrow(_connecting(shared, similarity), "head long, member long")
+    )
 
 
-def _groups(met: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _groups(met: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, _key): groups in which every promising pair of a bucket of ``met`` meets."""
-    mixed = cut_lineage(_mixed(met.select("bucket", "_key"), labels))
-    groups = mixed.where(F.col("n") <= GROUP).select("bucket", "_key")
+    mixed = cut_lineage(_mixed(met.select("bucket", "_key"), texts, labels))
+    # Of two texts one was the head.
+    groups = mixed.where(F.col("n").between(3, GROUP)).select("bucket", "_key")
     large = mixed.where(F.col("n") > GROUP)
     if large.isEmpty():
         return groups
-    wide = nodes.join(large.select("_key").distinct(), "_key", "left_semi")
+    wide = texts.select("_key", "_samples").join(large.select("_key").distinct(), "_key", "left_semi")
     return cut_lineage(groups.unionByName(_rarest(wide)))
 
 
@@ -291,25 +335,19 @@ def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
     starred = cut_lineage(met.join(heads, "bucket").select("bucket", F.col("_key").alias("member"), "head"))
     starred = starred.where("member <> head")
     needed = broadcast_if_small(cut_lineage(met.select("_key").distinct()))
-    texts = cut_lineage(docs.select("_key", "text").join(needed, "_key", "left_semi").dropDuplicates(["_key"]))
-
-    def similar(seen: DataFrame) -> DataFrame:
-        return seen.where(F.col("similarity") >= similarity).select("head", "member")
+    texts = docs.select("_key", "text").join(needed, "_key", "left_semi").dropDuplicates(["_key"])
+    texts = texts.join(nodes.select("_key", "_samples"), "_key").withColumn("size", F.octet_length("text").cast("long"))
+    texts = cut_lineage(texts)
 
-    seen = cut_lineage(compare(starred.select("head", "member").distinct(), texts, idf))
-    edges, tried = similar(seen), seen.select("head", "member")
+    seen = compare(starred.select("head", "member").distinct(), texts, idf)
+    edges = cut_lineage(seen.where(F.col("similarity") >= similarity).select("head", "member"))
     labels = components(edges)
-    groups = _groups(met, nodes, labels)
-    for most in ROUNDS:
-        hopes = _hopes(groups, nodes, labels, most)
-        # A bucket's head may be on either side.
-        known = tried.unionByName(tried.select(F.col("member").alias("head"), F.col("head").alias("member")))
-        fresh = hopes.select("head", "member").join(known, ["head", "member"], "left_anti")
-        found = cut_lineage(compare(fresh, texts, idf))
-        edges, tried = edges.unionByName(similar(found)), tried.unionByName(found.select("head", "member"))
-        if hopes.where("more").isEmpty():
-            break
-        labels = components(edges)
+    groups = _groups(met, texts, labels)
+    mixed = cut_lineage(_mixed(groups, texts, labels))
+    edges = edges.unionByName(_links_within(mixed, texts, idf, similarity, across=False))
+    if not mixed.where("blocks > 1").isEmpty():
+        mixed = _mixed(groups, texts, components(edges))
+        edges = edges.unionByName(_links_within(mixed, texts, idf, similarity, across=True))
     return edges
 
 

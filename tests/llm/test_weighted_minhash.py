@@ -120,3 +120,29 @@ def test_a_hot_bucket_of_like_samples_is_dealt_into_blocks(spark, monkeypatch):
     samples = [list(range(minhash.HASHES))] * 16
     got, want = links_of_windows(spark, [105 * i for i in range(16)], minhash.BANDS - 1, samples)
     assert got == want and len(want) == 15
+
+
+def test_a_group_gives_links_and_no_pairs(spark, monkeypatch):
+    """All samples agree, but only the last two texts are similar."""
+    pairs, compare = [], minhash.compare
+    monkeypatch.setattr(minhash, "compare", lambda rows, *more: pairs.append(rows.count()) or compare(rows, *more))
+    got, want = links_of_windows(spark, [*range(0, 5700, 300), 5460], 0, [list(range(minhash.HASHES))] * 20)
+    assert got == want == {(18, 19)}
+    assert sum(pairs) < 20
+
+
+def test_texts_of_many_bytes_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 20_000)
+    got, want = links_of_windows(spark, [105 * i for i in range(12)], 0, [list(range(minhash.HASHES))] * 12)
+    assert len(want) == 11 and got == want
+
+
+def test_similar_to_one_text_at_once():
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        shingles = np.sort(rng.choice(60, rng.integers(1, 50), replace=False)).astype(np.uint64)
+        texts.append((shingles, rng.integers(1, 4, len(shingles)) * np.float32(0.1)))
+    for least in (0.2, 0.5, minhash.weighted_jaccard(texts[0], texts[1])):
+        want = [minhash.weighted_jaccard(texts[0], other) >= least for other in texts]
+        assert minhash.similar_to(texts[0], texts, least).tolist() == want
