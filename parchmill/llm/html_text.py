@@ -1,10 +1,13 @@
 """Main text of web pages, with site templates removed.
 
-1. Every page is read into a tree. Each element outside the article proper gives a hash of its
-   whole subtree (tag, text and children in order).
-2. Hashes are counted per host in Spark, once a page. What stands on MIN_PAGES pages of a host
-   and on MIN_SHARE of them is template. A host has at most (mean elements a page) / MIN_SHARE
-   such hashes, so its list is bounded; the counting is by (host, hash), whatever the host's size.
+1. Every page is read into a tree. Each element gives a hash of its whole subtree (tag, text and
+   children in order); inside an article only elements of structure do (STRUCTURE: boxes, lists,
+   tables), as its paragraphs, headings and quotations are content.
+2. Hashes are counted per host in Spark. What stands on MIN_PAGES different pages of a host and on
+   MIN_SHARE of them is template. Equal pages are one; inside articles those with the same title are,
+   so that copies of a page do not make their content a template. A host has at most (mean elements
+   a page) / MIN_SHARE such hashes, so its list is bounded; the counting is by (host, hash),
+   whatever the host's size. Pages whose url names no host have nothing in common: none is deleted.
 3. Pages meet the list of their host. Subtrees on it are deleted, elements that say what they
    are (navigation, footers, forms, adverts, comments and the like) too, and the rest of the
    article, or of the body where a page marks no article, is joined block by block.
@@ -58,7 +61,7 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 NEVER_TEXT = {
-    "head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "math", "audio", "video",
+    "head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video",
     "nav", "aside", "footer", "form", "button", "select", "textarea", "dialog", "menu", "search", "title",
     "noembed", "noframes", "datalist", "progress", "meter",
 }
@@ -74,7 +77,22 @@ NOT_CONTENT = {
     "sidebars", "skip", "toolbar", "topbar", "widget", "widgets", "pagination", "pager", "copyright", "hidden", "outbrain",
     "taboola",
 }
+# Words that beside one of these in a name do not change what it tells.
+_NEUTRAL = {
+    "area", "article", "articles", "author", "bar", "block", "blog", "body", "bottom", "box", "button", "buttons",
+    "column", "container", "content", "count", "div", "element", "email", "entry", "fixed", "form", "global", "google",
+    "group", "head", "heading", "holder", "home", "icon", "icons", "info", "inner", "item", "items", "js", "label",
+    "latest", "leaderboard", "left", "link", "links", "list", "main", "media", "message", "meta", "more", "outer",
+    "page", "panel", "post", "posts", "primary", "reader", "recent", "reply", "right", "row", "secondary", "section",
+    "site", "slot", "stories", "story", "text", "this", "thread", "title", "to", "top", "unit", "us", "user", "wrap",
+    "wrapper",
+}
 MAIN = {"article", "main"}
+# What is counted inside an article.
+STRUCTURE = {
+    "address", "aside", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figure", "footer", "form", "header",
+    "hgroup", "menu", "nav", "ol", "search", "section", "table", "ul",
+}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*>", re.S
@@ -112,8 +130,9 @@ class Element:
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", names.get("style", "")):
             return True
         own = f"{names.get('class', '')} {names.get('id', '')}".lower().split()
-        words = [word for name in own if not _ABOUT_OTHERS.search(name) for word in _NAME_PARTS.findall(name)]
-        return not NOT_CONTENT.isdisjoint(words)
+        words = [set(_NAME_PARTS.findall(name)) for name in own if not _ABOUT_OTHERS.search(name)]
+        # A name counts as a whole: related-posts, but not related-work.
+        return any(parts & NOT_CONTENT and parts <= NOT_CONTENT | _NEUTRAL for parts in words)
 
 
 def _ancestors(element: Element) -> Iterator[Element]:
@@ -209,16 +228,32 @@ def hash_subtrees(root: Element) -> None:
         element.hash = int.from_bytes(digest, "little", signed=True)
 
 
-def outside(root: Element) -> Iterator[Element]:
-    """Elements that are counted: in the body, not in or around an article."""
-    stack = [root]
+def _title(article: Element) -> int:
+    """The hash of the first h1 of an article, or of the whole."""
+    stack = [article]
     while stack:
         element = stack.pop()
+        if element.tag == "h1":
+            return element.hash
+        stack += [child for child in reversed(element.children) if isinstance(child, Element)]
+    return article.hash
+
+
+def counted(root: Element) -> Iterator[tuple[int, int]]:
+    """Hashes of the elements of the body that are counted, each with that of what it stands in: the
+    page, or the title of the article."""
+    stack = [(root, root.hash, False)]
+    while stack:
+        element, around, inside = stack.pop()
         for child in element.children:
-            if isinstance(child, Element) and child.tag not in MAIN and child.tag not in RAW | VOID:
-                stack.append(child)
-                if child.tag not in {"html", "head", "body"}:
-                    yield child
+            if not isinstance(child, Element) or child.tag in RAW | VOID:
+                continue
+            if child.tag in MAIN:
+                stack.append((child, around if inside else _title(child), True))
+                continue
+            stack.append((child, around, inside))
+            if child.tag in STRUCTURE if inside else child.tag not in {"html", "head", "body"}:
+                yield child.hash, around
 
 
 def main_text(root: Element, template: set[int]) -> str:
@@ -251,7 +286,7 @@ def main_text(root: Element, template: set[int]) -> str:
                 finish()
             elif isinstance(item, str):
                 inline.append(_plain(item))
-            elif item.no_content() or (not kept and item.hash in template):
+            elif item.no_content() or (item.hash in template and (not kept or item.tag in STRUCTURE)):
                 if item.tag in BLOCK:
                     finish()
             elif item.tag == "br":
@@ -275,30 +310,30 @@ def host_of(url: Column) -> Column:
 
 
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """(host, hash) of subtrees, a row for each page that has one; hash null for the page itself."""
-    rows = pages.select("host", "html")
+    """(host, hash, around) of counted subtrees, see ``counted``; hash null for the page itself."""
+    rows = pages.where("host <> ''").select("host", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, hashes = [], []
+            owners, found = [], []
             for i, source in enumerate(batch.column(1)):
                 root = parse(source.as_py() or "")
                 hash_subtrees(root)
-                own = [None, *{element.hash for element in outside(root)}]
+                own = [(None, root.hash), *set(counted(root))]
                 owners.append(np.full(len(own), i))
-                hashes += own
+                found += own
             if owners:
+                hashes, around = (pa.array(values, type=pa.int64()) for values in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(owners))), pa.array(hashes, type=pa.int64())],
-                    ["host", "hash"],
+                    [batch.column(0).take(pa.array(np.concatenate(owners))), hashes, around], ["host", "hash", "around"]
                 )
 
-    return rows.mapInArrow(run, "host string, hash long")
+    return rows.mapInArrow(run, "host string, hash long, around long")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template): the recurring subtrees of each host that has any."""
-    counts = subtree_counts(pages).groupBy("host", "hash").count()
+    counts = subtree_counts(pages).groupBy("host", "hash").agg(F.count_distinct("around").alias("count"))
     sizes = counts.where("hash IS NULL").select("host", F.col("count").alias("pages"))
     found = counts.where((F.col("count") >= min_pages) & F.col("hash").isNotNull()).join(sizes, "host")
     found = found.where(F.col("count") >= min_share * F.col("pages"))
