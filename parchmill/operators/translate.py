@@ -7,22 +7,27 @@ needed to put them back together.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill import schemas as S
 from parchmill.functions import text as tx
 from parchmill.operators.backends import ModelFactory, run_model_on_lists
+from parchmill.session import cut_lineage
 
 # A lexicon up to this many entries becomes a literal map in the plan.
 INLINE_LEXICON_ROWS = 256
-# A larger one travels to the workers in blocks of about this many entries, some 40 MB each.
+# A larger one is a file of blocks of about this many entries, some megabytes each.
 BLOCK_ENTRIES = 250_000
 
 
@@ -92,34 +97,56 @@ def _map_words(pieces: Column, known: Column) -> Column:
 
 
 def _look_up_words(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Large lexicon: every block of it is broadcast and looked up in whole Arrow batches of words.
+    """Large lexicon: a file of blocks that every executor fetches once, looked up in whole Arrow
+    batches of words. A worker holds one block at a time and the entries that its batch asks for.
 
     Keys come from the text alone, never from what another block put in its place, so the
     blocks are independent and their number only sets how much a worker holds of each.
     """
-    context = df.sparkSession.sparkContext
-    n_blocks = -(-lexicon.count() // BLOCK_ENTRIES)
+    name = _ship_blocks(lexicon)
     runs = F.transform("_pieces", lambda p: F.regexp_extract_all(p, F.lit(tx.WORD_OR_GAP), F.lit(0)))
     work = df.withColumn("_runs", runs)
     keys = F.transform("_runs", lambda piece: F.transform(piece, F.lower))
-    done = F.col("_runs")
-    for block in range(n_blocks):
-        part = lexicon.filter(F.pmod(F.xxhash64("src"), F.lit(n_blocks)) == block).toArrow().combine_chunks()
-        found = _lookup(context.broadcast((part.column("src"), part.column("tgt"))))(keys)
-        done = F.zip_with(done, found, lambda a, b: F.zip_with(a, b, lambda run, new: F.coalesce(new, run)))
+    found = _lookup(name)(keys)
+    done = F.zip_with("_runs", found, lambda a, b: F.zip_with(a, b, lambda run, new: F.coalesce(new, run)))
     joined = F.transform(done, lambda piece: F.array_join(piece, ""))
     # A null text has no pieces and stays null.
     return work.withColumn("_pieces", joined).drop("_runs")
 
 
-def _lookup(block: Broadcast) -> Callable[[Column], Column]:
-    """Arrow function: the targets of array<array<string>>, null where a word is not in the block."""
+def _ship_blocks(lexicon: DataFrame) -> str:
+    """Write the lexicon block by block and hand the file to all executors; its name there."""
+    n_blocks = max(1, -(-lexicon.count() // BLOCK_ENTRIES))
+    path = Path(tempfile.mkdtemp(prefix="parchmill-")) / f"lexicon-{uuid.uuid4().hex}.arrow"
+    schema = pa.schema([("src", pa.string()), ("tgt", pa.string())])
+    # Written first: the blocks are read from it one by one.
+    lexicon = cut_lineage(lexicon.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(n_blocks))))
+    with pa.OSFile(str(path), "wb") as out, pa.ipc.new_file(out, schema) as file:
+        for block in range(n_blocks):
+            part = lexicon.where(F.col("block") == block).select("src", "tgt").toArrow().cast(schema).combine_chunks()
+            file.write_table(part)
+    lexicon.sparkSession.sparkContext.addFile(str(path))
+    return path.name
+
+
+def _lookup(name: str) -> Callable[[Column], Column]:
+    """Arrow function: the targets of array<array<string>>, null where a word is not in the lexicon."""
 
     def look_up(keys: pa.Array) -> pa.Array:
-        sources, targets = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in block.value)
         inner = keys.flatten()
-        words = inner.flatten()
-        new = targets.take(pc.index_in(words, value_set=sources)).cast(pa.string())
+        words = inner.flatten().dictionary_encode()
+        places = np.full(len(words.dictionary), -1)
+        parts, n = [pa.array([], type=pa.string())], 0
+        with pa.OSFile(SparkFiles.get(name)) as source, pa.ipc.open_file(source) as file:
+            for i in range(file.num_record_batches):
+                block = file.get_batch(i)
+                asked = pc.index_in(block.column("src"), value_set=words.dictionary)
+                rows = np.flatnonzero(asked.is_valid().to_numpy(zero_copy_only=False))
+                places[asked.drop_null().to_numpy()] = np.arange(n, n + len(rows))
+                parts.append(block.column("tgt").take(pa.array(rows)))
+                n += len(rows)
+        targets = pa.concat_arrays(parts).take(pa.array(places, mask=places < 0))
+        new = targets.take(words.indices)
         # Offsets anew: flattening leaves out what null rows point at.
         pieces = pa.ListArray.from_arrays(_offsets(inner), new)
         return pa.ListArray.from_arrays(_offsets(keys), pieces)

@@ -138,3 +138,17 @@ def test_the_text_of_a_failed_model_is_not_translated(spark):
 
 def test_null_text_is_not_ok(spark):
     assert summarize(spark.createDataFrame([(None,)], "text string")).first().ok is False
+
+
+def test_a_batch_meets_the_blocks_of_a_lexicon_one_by_one(spark, monkeypatch):
+    """What a worker is given and gives back does not grow with the number of blocks."""
+    df = spark.createDataFrame([(1, "one word299 word7"), (2, "")], "i int, text string")
+    lexicon = spark.createDataFrame([("one", "uno")] + [(f"word{i}", f"w{i}") for i in range(300)], "src string, tgt string")
+    lookups = []
+    for size in (1000, 20):
+        monkeypatch.setattr(translate_module, "BLOCK_ENTRIES", size)
+        done = translate(df, Translator(lexicon=lexicon))
+        lookups.append(done._jdf.queryExecution().optimizedPlan().toString().count("look_up("))
+        # Digits are no letters: the gap between two words.
+        assert {r.i: r.translation for r in done.collect()} == {1: "uno word299 word7", 2: ""}
+    assert lookups[0] == lookups[1] > 0
