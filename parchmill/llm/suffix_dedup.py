@@ -8,7 +8,8 @@
 2. Suffixes whose key others have too are brought in order of (key, words around it, document):
    the words around are the key with REACH words on its left and right, fewer at an end of the
    text. Neighbours that agree in these are a class, and its first document represents it; the
-   matches of all others with it reach as far as any can, and need no further comparison.
+   matches of all others with it reach as far as any can, and need no further comparison. Where a
+   text goes on repeating a few words, the places of a class in it overlap and move as two rows.
 3. Where a key stands in several classes, matches between these end within REACH words. The
    representatives alone are looked up in their texts again and extended left and right word by
    word: of the MIN_WORDS words in a row whose smallest key it is, the hashes are brought in order
@@ -18,8 +19,8 @@
 
 So exactly the words in MIN_WORDS or more that an earlier document has too are cut, whoever else
 holds a part of them; no content loses its first copy. Runs are reduced by partial minima, so a
-passage in very many documents is no long walk of one task, and a group of copies yields one row
-a retained suffix, no pairs.
+passage in very many documents is no long walk of one task, and a group of copies yields at most
+one row a retained suffix, no pairs.
 
 Documents are in order of (doc_id, hash), null first; repetition within one document is left
 alone. Rows equal in doc_id and text are one document and give one row. Words are those of
@@ -87,24 +88,44 @@ def _of_texts(docs: DataFrame, made: str, make: Callable[..., tuple[np.ndarray,
 
 
 def _keys(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    return (retained(W.words_of(data)[0])[0].view(np.int64),)
+    # Once a text: what stands in one text alone is no repeat, however often.
+    return (np.unique(retained(W.words_of(data)[0])[0]).view(np.int64),)
+
+
+def chains(
+    keys: np.ndarray, around: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the places that begin and end each row: places of one class that overlap or touch
+    in a text cover one range and are one row. The first of them is a row of its own, as its end
+    settles which of several earlier documents a stretch names."""
+    order = np.lexsort((first, around, keys))
+    same = (np.diff(keys[order]) == 0) & (np.diff(around[order]) == 0) & (first[order][1:] <= last[order][:-1])
+    opens = np.append(True, ~same)[: len(order)]
+    begins = np.flatnonzero(opens | np.append(True, opens[:-1])[: len(order)])
+    return order[begins], order[np.append(begins[1:], len(order))[: len(begins)] - 1]
+
+
+def _places(
+    keys: np.ndarray, first: np.ndarray, last: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, ...]:
+    hashes, starts, stops = words
+    around = W.stretches(hashes, first, last)
+    begin, end = chains(keys, around, first, last)
+    keys, around, first, last = keys[begin], around[begin], first[begin], last[end]
+    return keys.view(np.int64), around.view(np.int64), first, last, starts[first], stops[last - 1]
 
 
 def _suffixes(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    hashes, starts, stops = W.words_of(data)
-    keys, at = retained(hashes)
-    first, last = np.maximum(at - REACH, 0), np.minimum(at + KEY + REACH, len(hashes))
-    around = W.stretches(hashes, first, last)
-    return keys.view(np.int64), around.view(np.int64), first, last, starts[first], stops[last - 1]
+    words = W.words_of(data)
+    keys, at = retained(words[0])
+    return _places(keys, np.maximum(at - REACH, 0), np.minimum(at + KEY + REACH, len(words[0])), words)
 
 
 def _extensions(data: np.ndarray, asked: pa.Scalar) -> tuple[np.ndarray, ...]:
-    hashes, starts, stops = W.words_of(data)
-    least = W.window_minima(W.runs(hashes, KEY), WINDOW)
+    words = W.words_of(data)
+    least = W.window_minima(W.runs(words[0], KEY), WINDOW)
     at = np.flatnonzero(np.isin(least, asked.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-    last = at + MIN_WORDS
-    around = W.stretches(hashes, at, last)
-    return least[at].view(np.int64), around.view(np.int64), at, last, starts[at], stops[last - 1]
+    return _places(least[at], at, at + MIN_WORDS, words)
 
 
 _PLACE = "key long, around long, start_word int, end_word int, start_byte int, end_byte int"
@@ -112,12 +133,12 @@ _PLACE = "key long, around long, start_word int, end_word int, start_byte int, e
 
 def suffixes(docs: DataFrame) -> DataFrame:
     """Every retained suffix of ``docs`` (doc_id, doc, text): its key, the hash of the words around
-    the key, and where these start and end."""
+    the key, and where these start and end; of ``chains`` of them, where the range does."""
     return _of_texts(docs, _PLACE, _suffixes)
 
 
 def shared_suffixes(docs: DataFrame) -> DataFrame:
-    """The ``suffixes`` whose key is there more than once."""
+    """The ``suffixes`` whose key stands in more than one row of ``docs``."""
     counts = _of_texts(docs, "key long", _keys).groupBy("key").count()
     # What is joined is written first: with an aggregate below it, a join on a hot key could not be split.
     repeated = cut_lineage(counts.where("count > 1").select("key"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmill.llm import suffix_dedup as dedup
 from parchmill.llm.queries import queries
+from parchmill.session import cut_lineage
 from tests.llm.test_words import plain_words
 
 
@@ -120,6 +121,37 @@ def test_keys_in_many_contexts(spark):
             assert words == plain_words(docs[row.doc_id])[span.start_word : span.end_word]
 
 
+def test_texts_that_go_on_repeating_a_few_words(spark):
+    docs = {}
+    for key in range(12):
+        own = " ".join(f"u{key}x{i}" for i in range(40))
+        docs[key] = f"{own} {'is onhe. ' * (200 + 10 * key)} {own} v{key} {'a b c. ' * 100} {own}"
+    docs[20] = "x y " * 5_000  # in no other text
+    _, keyed, found = spans_of(spark, list(docs.items()))
+    rows = found.collect()
+    assert {row.doc_id: covered(row) for row in rows} == {
+        key: words for key, words in windows(docs, dedup.MIN_WORDS).items() if words
+    }
+    assert {span.first_doc_id for row in rows for span in row.spans} == {0} and len(rows) == 11
+    # A row for every repetition made 289 to 402 a text.
+    places = {row.doc_id: row["count"] for row in dedup.suffixes(keyed).groupBy("doc_id").count().collect()}
+    assert max(places.values()) < 150
+    members = cut_lineage(dedup.shared_suffixes(keyed))
+    assert {row.doc_id for row in members.select("doc_id").collect()} == set(range(12))
+    extended = dedup.extensions(keyed, dedup.classes_of(members)).groupBy("doc_id").count().collect()
+    assert extended and max(row["count"] for row in extended) < 250
+
+
+def test_chains():
+    key = lambda *values: np.array(values, dtype=np.uint64)
+    # Of five places of a class the second to fourth are one row; one apart, and one of another key, stay.
+    begin, end = dedup.chains(
+        key(5, 5, 7, 5, 5, 5), key(1, 1, 1, 1, 1, 1), np.array([0, 2, 3, 4, 54, 105]), np.array([50, 52, 53, 54, 104, 155])
+    )
+    assert list(zip(begin.tolist(), end.tolist(), strict=True)) == [(0, 0), (1, 4), (5, 5), (2, 2)]
+    assert [x.tolist() for x in dedup.chains(key(), key(), np.array([]), np.array([]))] == [[], []]
+
+
 def test_a_very_long_text_and_ids_that_are_null(spark):
     long = " ".join(f"w{i}" for i in range(300_000))
     docs = {1: long, 2: long[:4_000].rsplit(" ", 1)[0], 3: "before " + long}
